@@ -61,15 +61,16 @@ def _spark_column(name: str, kind: str):
 
 
 def _sql_column(name: str, kind: str) -> str:
+    quoted = f'"{name}"'
     forms = {
-        "t": f"strftime({name}, '%Y-%m-%d %H:%M:%S')",
-        "d": f"strftime({name}, '%Y-%m-%d')",
-        "f": f"round(CAST({name} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",
-        "i": f"CAST({name} AS BIGINT)",
-        "b": f"CAST(CAST({name} AS INTEGER) AS BIGINT)",
-        "s": f"CAST({name} AS VARCHAR)",
+        "t": f"strftime({quoted}, '%Y-%m-%d %H:%M:%S')",
+        "d": f"strftime({quoted}, '%Y-%m-%d')",
+        "f": f"round(CAST({quoted} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",
+        "i": f"CAST({quoted} AS BIGINT)",
+        "b": f"CAST(CAST({quoted} AS INTEGER) AS BIGINT)",
+        "s": f"CAST({quoted} AS VARCHAR)",
     }
-    return f"{forms[kind]} AS {name}"
+    return f"{forms[kind]} AS {quoted}"
 
 
 def run(q: Query, spark: SparkSession, sf_dir: str) -> DataFrame:
