@@ -47,7 +47,9 @@ def _rows(payloads: DataFrame, column: str, fields: list[str]) -> DataFrame:
     """One row per hour; a variable the block lacks gives NULL."""
     keep = [c for c in payloads.columns if c != column]
     block = payloads.withColumn("_b", F.from_json(column, _block_type(fields)))
-    zipped = F.arrays_zip(F.col("_b.hourly.time"), *[F.col(f"_b.hourly.{f}") for f in fields])
+    none = F.array().cast("array<double>")
+    arrays = [F.coalesce(F.col(f"_b.hourly.{f}"), none).alias(f) for f in fields]
+    zipped = F.arrays_zip(F.col("_b.hourly.time").alias("time"), *arrays)
     return block.select(*keep, F.explode(zipped).alias("_h")).select(
         *keep, F.to_timestamp("_h.time", "yyyy-MM-dd'T'HH:mm").alias("valid_time"), "_h"
     )
