@@ -9,7 +9,7 @@ matters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.weather import clip
@@ -24,6 +24,7 @@ GROUND_ALBEDO = 0.25
 CLEAR_INDEX_CAP = 1.3
 NIGHT_FLOOR_MW = 1e-3
 SUBSTEPS = 6
+LOW_SUN = 0.065
 
 
 def declination(day_of_year: Column) -> Column:
@@ -45,57 +46,69 @@ def equation_of_time(day_of_year: Column) -> Column:
 
 def hour_angle(ts: Column, longitude: Column) -> Column:
     """Hour angle in radians, zero at solar noon."""
-    doy = F.dayofyear(ts)
     clock = F.hour(ts) + F.minute(ts) / 60.0
-    sun_time = clock + longitude / 15.0 + equation_of_time(doy) / 60.0
+    sun_time = clock + longitude / 15.0 + equation_of_time(F.dayofyear(ts)) / 60.0
     return F.radians((sun_time - 12.0) * 15.0)
 
 
-def sin_elevation(ts: Column, latitude: Column, longitude: Column) -> Column:
-    phi, dec = F.radians(latitude), declination(F.dayofyear(ts))
-    return F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.cos(hour_angle(ts, longitude))
+def sin_elevation(dec: Column, hour: Column, latitude: Column) -> Column:
+    """Sine of the sun's elevation from declination and hour angle in radians."""
+    phi = F.radians(latitude)
+    return F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.cos(hour)
 
 
-def elevation_deg(ts: Column, latitude: Column, longitude: Column) -> Column:
-    return F.degrees(F.asin(clip(sin_elevation(ts, latitude, longitude), -1.0, 1.0)))
+def elevation_deg(sin_elev: Column) -> Column:
+    return F.degrees(F.asin(clip(sin_elev, -1.0, 1.0)))
+
+
+def with_sun(frame: DataFrame, moments: dict[str, Column]) -> DataFrame:
+    """Add ``sun_<name>`` (sine of elevation) and ``sun_<name>_dec``/``_h`` for each moment.
+
+    Angles are columns of their own: an expression used twice is computed once, and plans stay
+    small, because the optimizer does not inline a column that is referenced more than once.
+    """
+    angles = {}
+    for name, ts in moments.items():
+        angles[f"sun_{name}_dec"] = declination(F.dayofyear(ts))
+        angles[f"sun_{name}_h"] = hour_angle(ts, F.col("longitude"))
+    heights = {
+        f"sun_{name}": sin_elevation(F.col(f"sun_{name}_dec"), F.col(f"sun_{name}_h"), F.col("latitude"))
+        for name in moments
+    }
+    return frame.withColumns(angles).withColumns(heights)
 
 
 def clear_sky_ghi(sin_elev: Column) -> Column:
     """Haurwitz clear-sky global irradiance."""
-    up = sin_elev > 1e-3
-    return F.when(up, sin_elev * 1098.0 * F.exp(F.lit(-0.057) / F.when(up, sin_elev))).otherwise(0.0)
+    return F.when(sin_elev > 1e-3, sin_elev * 1098.0 * F.exp(F.lit(-0.057) / sin_elev)).otherwise(0.0)
 
 
-def diffuse_fraction(ghi: Column, sin_elev: Column) -> Column:
+def clearness_index(ghi: Column, sin_elev: Column) -> Column:
+    """Share of extraterrestrial irradiance that reaches the ground."""
+    return clip(F.when(sin_elev > LOW_SUN, ghi / (sin_elev * SOLAR_CONSTANT)).otherwise(0.0), 0.0, 1.0)
+
+
+def diffuse_fraction(kt: Column) -> Column:
     """Erbs diffuse share of global irradiance from the clearness index."""
-    kt = clip(F.when(sin_elev > 0.065, ghi / (sin_elev * SOLAR_CONSTANT)).otherwise(0.0), 0.0, 1.0)
-    middle = (
-        F.lit(0.9511) - kt * 0.1604 + F.pow(kt, 2.0) * 4.388
-        - F.pow(kt, 3.0) * 16.638 + F.pow(kt, 4.0) * 12.336
-    )
+    middle = ((kt * 12.336 - 16.638) * kt + 4.388) * kt * kt - kt * 0.1604 + 0.9511
     return F.when(kt <= 0.22, 1.0 - kt * 0.09).when(kt <= 0.80, middle).otherwise(0.165)
 
 
-def cos_incidence(
-    ts: Column, latitude: Column, longitude: Column, tilt: Column, azimuth: Column
-) -> Column:
+def cos_incidence(dec: Column, hour: Column, latitude: Column, tilt: Column, azimuth: Column) -> Column:
     """Cosine of the angle between sun and panel normal, floored at zero."""
-    phi, dec, h = F.radians(latitude), declination(F.dayofyear(ts)), hour_angle(ts, longitude)
-    east = -F.cos(dec) * F.sin(h)
-    north = F.cos(phi) * F.sin(dec) - F.sin(phi) * F.cos(dec) * F.cos(h)
-    up = F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.cos(h)
-    t, a = F.radians(tilt), F.radians(azimuth)
-    return clip(F.sin(t) * F.sin(a) * east + F.sin(t) * F.cos(a) * north + F.cos(t) * up, 0.0)
+    phi, t, a = F.radians(latitude), F.radians(tilt), F.radians(azimuth)
+    east = -F.cos(dec) * F.sin(hour)
+    north = F.cos(phi) * F.sin(dec) - F.sin(phi) * F.cos(dec) * F.cos(hour)
+    up = F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.cos(hour)
+    return F.greatest(F.lit(0.0), F.sin(t) * F.sin(a) * east + F.sin(t) * F.cos(a) * north + F.cos(t) * up)
 
 
-def plane_of_array(ghi: Column, sin_elev: Column, cos_aoi: Column, tilt: Column) -> Column:
+def plane_of_array(ghi: Column, diffuse_share: Column, sin_elev: Column, cos_aoi: Column, tilt: Column) -> Column:
     """Beam, isotropic diffuse and ground-reflected irradiance on the panel."""
-    diffuse = ghi * diffuse_fraction(ghi, sin_elev)
-    beam = F.when(sin_elev > 0.065, (ghi - diffuse) / sin_elev).otherwise(0.0)
+    beam = F.when(sin_elev > LOW_SUN, ghi * (1.0 - diffuse_share) / sin_elev).otherwise(0.0)
     cos_tilt = F.cos(F.radians(tilt))
-    return clip(
-        beam * cos_aoi + diffuse * (cos_tilt + 1.0) / 2.0 + ghi * GROUND_ALBEDO * (1.0 - cos_tilt) / 2.0,
-        0.0,
+    return (
+        beam * cos_aoi + ghi * diffuse_share * (cos_tilt + 1.0) / 2.0 + ghi * (1.0 - cos_tilt) * (GROUND_ALBEDO / 2.0)
     )
 
 

@@ -35,10 +35,14 @@ def clip(c: Column, lower: float | Column | None = None, upper: float | Column |
     """Clip and keep NULL as NULL (``greatest``/``least`` alone would drop it)."""
     out = c
     if lower is not None:
-        out = F.when(out < lower, lower).otherwise(out)
+        out = F.greatest(out, _as_column(lower))
     if upper is not None:
-        out = F.when(out > upper, upper).otherwise(out)
-    return out
+        out = F.least(out, _as_column(upper))
+    return F.when(c.isNotNull(), out)
+
+
+def _as_column(bound: float | Column) -> Column:
+    return bound if isinstance(bound, Column) else F.lit(float(bound))
 
 
 def clip_nonnegative(frame: DataFrame, columns: list[str]) -> DataFrame:

@@ -303,7 +303,7 @@ def _(t):
 
 @query("metadata_trained_sites", "A15", "site_id", "SELECT DISTINCT 'S' || CAST(l_suppkey AS VARCHAR) AS site_id FROM lineitem")
 def _(t):
-    # One metadata document per order; an order has at most seven lines.
+    # One metadata document per order; an order is a small group.
     docs = t.t("lineitem").groupBy("l_orderkey").agg(
         F.to_json(F.struct(F.collect_set(F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))).alias("trained_sites"))).alias("document")
     )
