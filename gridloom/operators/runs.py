@@ -41,7 +41,10 @@ def runs_where(
 
 
 def event_runs(points: DataFrame, kind: str, *, threshold: float = 0.5, min_hours: int = 2) -> DataFrame:
-    """Hours in a row whose probability is at or over the threshold: span, peak, energy."""
+    """Hours in a row whose probability is at or over the threshold: span, peak, energy.
+
+    Values stay unrounded; rounding belongs to the export.
+    """
     p = F.col(f"p_{kind}")
     found = runs_where(
         points, ["region"], "valid_time", p >= threshold,
@@ -50,8 +53,7 @@ def event_runs(points: DataFrame, kind: str, *, threshold: float = 0.5, min_hour
     )
     return found.select(
         "region", F.lit(kind).alias("kind"), F.col("starts").alias("from_utc"), F.col("ends").alias("to_utc"),
-        F.col("length").alias("hours"), F.round("peak_probability", 3).alias("peak_probability"),
-        F.round("energy_mwh", 1).alias("energy_mwh"),
+        F.col("length").alias("hours"), "peak_probability", "energy_mwh",
     )
 
 

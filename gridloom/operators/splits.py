@@ -134,5 +134,5 @@ def scenario_picks(starts: DataFrame, keys: list[str], n_scenarios: int, seed: i
         *keys, ts, (F.row_number().over(w.orderBy(h)) - 1).alias("_r"), F.count("*").over(w).alias("_n")
     ).where(F.col("_r") < n_scenarios)
     # Block r serves scenarios r, r + n, r + 2n, ...
-    repeats = F.sequence(F.col("_r").cast("long"), F.lit(n_scenarios - 1).cast("long"), F.col("_n"))
-    return ranked.select(*keys, F.explode(repeats).cast("int").alias("scenario"), F.col(ts).alias("block_start"))
+    repeats = F.sequence(F.col("_r").cast("int"), F.lit(n_scenarios - 1), F.col("_n").cast("int"))
+    return ranked.select(*keys, F.explode(repeats).alias("scenario"), F.col(ts).alias("block_start"))

@@ -269,6 +269,21 @@ class Tables:
         )
 
 
+    @cached_property
+    def demand(self) -> DataFrame:
+        """Regional demand on the dense calendar with a day-ahead forecast and its scaled error."""
+        w = Window.partitionBy("region").orderBy("valid_time")
+        zero = F.lit(0.0)
+        rows = self.market_grid.select(
+            "region", "valid_time", F.coalesce("demand_mw", zero).alias("actual_mw"),
+            F.coalesce(F.lag("demand_mw", 24).over(w), zero).alias("p50_mw"),
+        )
+        peaks = rows.groupBy("region").agg(F.percentile("actual_mw", F.lit(0.999)).alias("peak_mw"))
+        return rows.join(peaks, "region").withColumn(
+            "residual", (F.col("actual_mw") - F.col("p50_mw")) / F.col("peak_mw")
+        )
+
+
 CTES: dict[str, str] = {
     "x_readings": """
         SELECT event_id, 'S' || CAST(user_id // 10 AS VARCHAR) AS site_id,
@@ -379,4 +394,11 @@ CTES: dict[str, str] = {
                coalesce(l.actual_mw, 0) AS actual_mw,
                (coalesce(l.actual_mw, 0) - l.p50_mw) / s.capacity_mw AS residual
         FROM x_leads l JOIN x_sites s ON l.site_id = s.site_id WHERE l.horizon_h = 24""",
+    "x_demand": """
+        SELECT d.*, p.peak_mw, (d.actual_mw - d.p50_mw) / p.peak_mw AS residual
+        FROM (SELECT region, valid_time, coalesce(demand_mw, 0) AS actual_mw,
+                     coalesce(lag(demand_mw, 24) OVER (PARTITION BY region ORDER BY valid_time), 0) AS p50_mw
+              FROM x_market_grid) d
+        JOIN (SELECT region, quantile_cont(coalesce(demand_mw, 0), 0.999) AS peak_mw FROM x_market_grid GROUP BY 1) p
+          ON p.region = d.region""",
 }

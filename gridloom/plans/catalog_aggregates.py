@@ -234,8 +234,9 @@ def _(t):
 
 
 @query("exact_quantiles", "E21 E2", "l_returnflag level:f n:i quantile:f", """
-    SELECT l_returnflag, l AS level, count(*) AS n, CASE l WHEN 0.005 THEN quantile_cont(l_extendedprice, 0.005) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.995) END AS quantile
-    FROM lineitem CROSS JOIN (VALUES (0.005), (0.5), (0.995)) v(l) GROUP BY ALL""")
+    SELECT l_returnflag, 0.005 AS level, count(*) AS n, quantile_cont(l_extendedprice, 0.005) AS quantile FROM lineitem GROUP BY 1
+    UNION ALL SELECT l_returnflag, 0.5, count(*), quantile_cont(l_extendedprice, 0.5) FROM lineitem GROUP BY 1
+    UNION ALL SELECT l_returnflag, 0.995, count(*), quantile_cont(l_extendedprice, 0.995) FROM lineitem GROUP BY 1""")
 def _(t):
     return exact_quantiles(t.t("lineitem"), ["l_returnflag"], "l_extendedprice", [0.005, 0.5, 0.995])
 

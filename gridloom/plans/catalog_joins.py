@@ -53,7 +53,7 @@ def _(t):
 
 
 @query("target_alignment", "D5 D6 C22", "site_id valid_time:t horizon_h:i denominator_mw:f power_mw:f target:f", """
-    SELECT w.site_id, w.valid_time, w.horizon_h, s.capacity_mw AS denominator_mw, h.power_mw, least(greatest(h.power_mw / s.capacity_mw, 0), 1) AS target
+    SELECT w.site_id, w.valid_time, w.horizon_h, s.capacity_mw AS denominator_mw, h.power_mw, CASE WHEN h.power_mw IS NOT NULL THEN least(greatest(h.power_mw / s.capacity_mw, 0), 1) END AS target
     FROM x_weather w JOIN x_sites s ON w.site_id = s.site_id LEFT JOIN x_hourly h ON h.site_id = w.site_id AND h.valid_time = w.valid_time""")
 def _(t):
     return features.assemble_target(t.weather.select("site_id", "valid_time", "horizon_h"), t.hourly, t.sites)

@@ -1 +1,186 @@
-"""Catalogue."""
+"""Catalogue: splits, folds, learned bands and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gridloom.operators import contracts, features, metrics, splits
+from gridloom.operators.resample import keep_one
+from gridloom.plans import training
+from gridloom.plans.adapters import REGION_CLOCKS
+from gridloom.plans.registry import query
+
+_MODELS: dict = {}
+
+
+def _once(t, name, make):
+    """Fitted models are kept per session and data folder: scoring queries share one fit."""
+    key = (t.spark.sparkContext.applicationId, t.dir, name)
+    if key not in _MODELS:
+        _MODELS[key] = make()
+    return _MODELS[key]
+
+
+def _wind_data(t):
+    return training.wind_dataset(t.weather.where("tech = 'wind'"), t.hourly, t.sites)
+
+
+WIND_FEATURES = [
+    "horizon_h", "lead_day", "hour_sin", "hour_cos", "wind_speed_10m", "wind_speed_100m", "ws_corrected", "ws_corrected_cube", "cf_powercurve",
+    "wdir100_sin", "wdir100_cos", "ws_corrected_lag1", "ws_corrected_lead1", "ws_corrected_roll_mean", "ws_corrected_roll_std",
+    "turbulence_intensity", "ws_range_6h", "site_hub_height", "site_specific_power",
+]
+
+
+def _wind_model(t):
+    return _once(t, "wind", lambda: training.train_bands(_wind_data(t), WIND_FEATURES, rounds=10, depth=4))
+
+
+_GROUPS = """
+    s AS (SELECT site_id, row_number() OVER (ORDER BY md5(site_id || '#42')) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT site_id FROM x_eval)),
+    g AS (SELECT site_id, CASE WHEN r <= greatest(1, round_even(n * 0.2, 0)) THEN 'test' WHEN r <= greatest(1, round_even(n * 0.2, 0)) + greatest(1, round_even(n * 0.1, 0)) THEN 'calib' ELSE 'fit' END AS grp FROM s)"""
+
+
+@query("four_way_split", "L1", "site_id valid_time:t horizon_h:i split", f"""
+    WITH {_GROUPS}, c AS (SELECT min(epoch(valid_time)) + (max(epoch(valid_time)) - min(epoch(valid_time))) * 0.875 AS c FROM x_eval e JOIN g ON g.site_id = e.site_id WHERE grp = 'fit')
+    SELECT e.site_id, valid_time, horizon_h, CASE WHEN grp <> 'fit' THEN grp WHEN epoch(valid_time) > c.c THEN 'val' ELSE 'train' END AS split FROM x_eval e JOIN g ON g.site_id = e.site_id CROSS JOIN c""")
+def _(t):
+    return splits.make_split(t.eval)
+
+
+@query("split_summary", "E38 L1", "split n:i percent:f", f"""
+    WITH {_GROUPS}, c AS (SELECT min(epoch(valid_time)) + (max(epoch(valid_time)) - min(epoch(valid_time))) * 0.875 AS c FROM x_eval e JOIN g ON g.site_id = e.site_id WHERE grp = 'fit'),
+    z AS (SELECT CASE WHEN grp <> 'fit' THEN grp WHEN epoch(valid_time) > c.c THEN 'val' ELSE 'train' END AS split FROM x_eval e JOIN g ON g.site_id = e.site_id CROSS JOIN c)
+    SELECT split, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS percent FROM z GROUP BY 1""")
+def _(t):
+    return splits.share_summary(splits.make_split(t.eval), "split")
+
+
+@query("holdout_split", "L2", "site_id valid_time:t horizon_h:i is_holdout:b", """
+    SELECT site_id, valid_time, horizon_h, epoch(valid_time) > (SELECT min(epoch(valid_time)) + (max(epoch(valid_time)) - min(epoch(valid_time))) * 0.8 FROM x_eval) AS is_holdout FROM x_eval""")
+def _(t):
+    return splits.holdout_split(t.eval, 0.2)
+
+
+@query("forward_folds", "L3", "fold:i role n:i last:t", """
+    WITH b AS (SELECT min(epoch(valid_time)) AS lo, max(epoch(valid_time)) AS hi FROM x_eval),
+    z AS (SELECT valid_time, (epoch(valid_time) - lo) * 4 / (hi - lo) AS p FROM x_eval CROSS JOIN b)
+    SELECT f AS fold, CASE WHEN p <= f + 0.000000001 THEN 'train' ELSE 'valid' END AS role, count(*) AS n, max(valid_time) AS last FROM z CROSS JOIN (VALUES (1), (2), (3)) v(f) WHERE p <= f + 1 + 0.000000001 GROUP BY ALL""")
+def _(t):
+    folds = splits.forward_folds(t.eval.select("valid_time"), 3)
+    return folds.groupBy("fold", "role").agg(F.count("*").alias("n"), F.max("valid_time").alias("last"))
+
+
+@query("time_blocks", "L4", "o_orderkey:i split", """
+    WITH b AS (SELECT max(epoch(o_orderdate)) AS hi, max(epoch(o_orderdate)) - min(epoch(o_orderdate)) AS s FROM orders)
+    SELECT o_orderkey, CASE WHEN epoch(o_orderdate) < hi - s * 0.2 - s * 0.1 - s * 0.1 THEN 'train' WHEN epoch(o_orderdate) < hi - s * 0.2 - s * 0.1 THEN 'val' WHEN epoch(o_orderdate) < hi - s * 0.2 THEN 'calib' ELSE 'test' END AS split FROM orders CROSS JOIN b""")
+def _(t):
+    return splits.time_blocks(t.t("orders").withColumnRenamed("o_orderdate", "valid_time"))
+
+
+@query("site_folds", "L5", "site_id fold:i", "SELECT site_id, (row_number() OVER (ORDER BY site_id) - 1) % 4 AS fold FROM x_sites")
+def _(t):
+    return splits.site_folds(t.sites, 4)
+
+
+@query("leakage_check", "B13 F7", "horizon_h:i rows_checked:i rows_moved:i", """
+    SELECT h AS horizon_h, count(*) AS rows_checked, 0 AS rows_moved FROM x_market CROSS JOIN (VALUES (1), (24), (72)) v(h)
+    WHERE valid_time - to_hours(CAST(h AS INTEGER)) <= TIMESTAMP '2024-01-16' GROUP BY 1""")
+def _(t):
+    """Corrupt everything after the cutoff, rebuild, and compare rows issued at or before it."""
+    cutoff = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    after = F.col("valid_time") > cutoff
+    spoiled = t.market_grid.withColumns({c: F.when(after, F.col(c) * 7 + 3).otherwise(F.col(c)) for c in ("demand_mw", "rooftop_pv_mw")})
+    keep = [*features.HISTORY_COLUMNS]
+
+    def build(market):
+        targets = features.expand_horizons(t.market.select("region", "valid_time"), (1, 24, 72))
+        rows = features.at_issue_time(targets, features.load_history(market)).where(F.col("issue_time") <= cutoff)
+        return rows.select("region", "valid_time", "horizon_h", *[F.round(c, 6).alias(c) for c in keep])
+
+    clean = build(t.market_grid)
+    moved = contracts.differing_rows(clean, build(spoiled)).groupBy("horizon_h").agg(F.count("*").alias("rows_moved"))
+    checked = clean.groupBy("horizon_h").agg(F.count("*").alias("rows_checked"))
+    return checked.join(moved, "horizon_h", "left").withColumn("rows_moved", F.coalesce("rows_moved", F.lit(0)))
+
+
+@query("band_training", "L7", "feature gain:f")
+def _(t):
+    return _wind_model(t).importances(t.spark).orderBy(F.col("gain").desc()).limit(20)
+
+
+@query("band_scoring", "L8 C24 D18", "site_id valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f")
+def _(t):
+    return training.score_bands(_wind_data(t), _wind_model(t))
+
+
+@query("solar_band_scoring", "L7 L8 C23", "site_id valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f clearsky_mw:f")
+def _(t):
+    names = ["horizon_h", "ghi_wm2", "cloud_total", "temp_2m_c", "physics_cf", "clearsky_cf", "kt_nwp", "hour_sin", "hour_cos", "ghi_wm2_roll_mean", "cloud_total_roll_std"]
+    data = training.solar_dataset(t.weather.where("tech = 'solar'"), t.hourly, t.sites)
+    model = _once(t, "solar", lambda: training.train_bands(data, names, rounds=8, depth=4))
+    return training.score_bands(data, model)
+
+
+def _demand_data(t):
+    centre = keep_one(t.weather.where("horizon_h = 24").select("region", "valid_time", "site_id", "temp_2m_c", "cloud_total", "wind_speed_10m", "ghi_wm2"),
+                      ["region", "valid_time"], ["site_id"]).drop("site_id")
+    return training.demand_dataset(t.market_grid, centre, REGION_CLOCKS, (1, 24, 48, 72), sorted(REGION_CLOCKS))
+
+
+@query("demand_scoring", "L9 L7 C30", "region valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f actual_mw:f")
+def _(t):
+    data = _demand_data(t)
+    names = [c for c in training.feature_names(data) if c not in ("is_holiday",)]
+    model = _once(t, "demand", lambda: training.train_bands(data, names, rounds=8, depth=4))
+    return training.score_demand(data, model)
+
+
+def _evaluated(t):
+    scored = training.score_bands(_wind_data(t), _wind_model(t)).where(F.col("power_mw").isNotNull())
+    scored = scored.select("site_id", "valid_time", "horizon_h", "split", F.lit("wind").alias("tech"), "p10_mw", "p50_mw", "p90_mw",
+                           F.col("power_mw").alias("actual_mw"), F.col("denominator_mw").alias("capacity_mw"), F.col("denominator_mw").alias("clearsky_mw"),
+                           (F.col("cf_powercurve") * F.col("denominator_mw")).alias("physics_mw"))
+    measured = t.grid.where("tech = 'wind'").select("site_id", "valid_time", "power_mw", F.lit(1.0).alias("clearsky_mw"))
+    return training.evaluation_frame(scored.drop("physics_mw"), measured, scored.select("site_id", "valid_time", "horizon_h", "physics_mw"))
+
+
+@query("evaluation_frame", "L10", "site_id valid_time:t horizon_h:i is_holdout:b p50_mw:f actual_mw:f physics_mw:f power_at_issue_mw:f")
+def _(t):
+    return _evaluated(t)
+
+
+@query("model_benchmark", "L14 E20", "method lead_bucket n:i nmae_pct:f nrmse_pct:f bias_pct:f skill:f")
+def _(t):
+    return training.benchmark_report(training.with_baselines(_evaluated(t)))
+
+
+@query("baseline_benchmark", "L14 E20 F19 E37", "method lead_bucket n:i nmae_pct:f skill:f", """
+    WITH c AS (SELECT min(epoch(valid_time)) + (max(epoch(valid_time)) - min(epoch(valid_time))) * 0.8 AS c FROM x_eval),
+    tr AS (SELECT e.* FROM x_eval e CROSS JOIN c WHERE epoch(valid_time) <= c.c), a AS (SELECT site_id, (dayofyear(valid_time) - 1) // 15 AS b, hour(valid_time) AS h, avg(actual_mw) AS m FROM tr GROUP BY ALL),
+    s AS (SELECT site_id, avg(actual_mw) AS m FROM tr GROUP BY 1),
+    z AS (SELECT e.*, coalesce(h.power_mw, 0) AS pers, coalesce(a.m, s.m, 0) AS clim FROM x_eval e CROSS JOIN c LEFT JOIN x_hourly h ON h.site_id = e.site_id AND h.valid_time = e.issue_time
+        LEFT JOIN a ON a.site_id = e.site_id AND a.b = (dayofyear(e.valid_time) - 1) // 15 AND a.h = hour(e.valid_time) LEFT JOIN s ON s.site_id = e.site_id WHERE epoch(e.valid_time) > c.c),
+    l AS (SELECT *, CASE horizon_h WHEN 24 THEN '1-24h' WHEN 48 THEN '25-48h' ELSE '49-72h' END AS b FROM z), k AS (SELECT b AS lead_bucket, * FROM l UNION ALL SELECT 'all', * FROM l),
+    m AS (SELECT 'persistence' AS method, lead_bucket, pers AS p, actual_mw, capacity_mw FROM k UNION ALL SELECT 'climatology', lead_bucket, clim, actual_mw, capacity_mw FROM k UNION ALL SELECT 'band', lead_bucket, p50_mw, actual_mw, capacity_mw FROM k),
+    r AS (SELECT method, lead_bucket, count(*) AS n, avg(abs(p - actual_mw) / capacity_mw) * 100 AS nmae_pct FROM m GROUP BY ALL)
+    SELECT r.*, 1 - r.nmae_pct / q.nmae_pct AS skill FROM r JOIN r q ON q.lead_bucket = r.lead_bucket AND q.method = 'persistence'""")
+def _(t):
+    measured = t.grid.select("site_id", "valid_time", "power_mw", F.lit(1.0).alias("clearsky_mw"))
+    rows = t.eval.withColumn("clearsky_mw", F.col("capacity_mw"))
+    frame = training.evaluation_frame(rows, measured, rows.select("site_id", "valid_time", "horizon_h", F.col("p90_mw").alias("physics_mw")))
+    return training.benchmark_report(training.with_baselines(frame), {"band": "p50_mw", "persistence": "persistence_mw", "climatology": "climatology_mw"})
+
+
+@query("leave_sites_out", "L11 E35", "site_id n:i nmae_pct:f bias_pct:f")
+def _(t):
+    names = WIND_FEATURES[:9]
+    scored = _once(t, "lso", lambda: training.leave_sites_out(_wind_data(t), names, 3, rounds=4))
+    rows = scored.where(F.col("power_mw").isNotNull()).select("site_id", F.col("power_mw").alias("actual_mw"), F.col("denominator_mw").alias("capacity_mw"), "p50_mw")
+    return metrics.score(rows, ["site_id"])
+
+
+@query("band_coverage", "E24 E44", "lead_bucket n:i nmae_pct:f coverage:f mean_width:f")
+def _(t):
+    scored = training.score_bands(_wind_data(t).where("split = 'test'"), _wind_model(t)).where(F.col("power_mw").isNotNull())
+    return metrics.by_lead_bucket(scored.withColumns({"actual_mw": F.col("power_mw"), "capacity_mw": F.col("denominator_mw")}))
