@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import clock
 from gridloom.operators.quantiles import exact_quantiles
+from gridloom.session import materialise
 
 COVERAGE = 0.80
 MIN_BUCKET_ROWS = 500
@@ -81,7 +82,7 @@ def fit_probability_maps(frame: DataFrame, keys: list[str], p: str, outcome: str
     distinct ones, so a fit sees a table whose size does not grow with the hours. With fewer than
     200 rows the knots are NULL, which maps as identity.
     """
-    pooled = frame.groupBy(*keys, p).agg(F.sum(outcome).alias("_o"), F.count("*").alias("_n"))
+    pooled = materialise(frame.groupBy(*keys, p).agg(F.sum(outcome).alias("_o"), F.count("*").alias("_n")))
     spark = frame.sparkSession
     rows = []
     for key in pooled.select(*keys).distinct().collect():

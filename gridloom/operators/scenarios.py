@@ -91,7 +91,8 @@ def site_mw(dispersion: float | Column = 1.0) -> Column:
 
 def site_scenarios(hours: DataFrame, blocks: DataFrame, store: DataFrame, n_hours: int, dispersion: float = 1.0) -> DataFrame:
     """The full ensemble per site, for export and per-site checks; unknown sites carry p50."""
-    fan = hours.join(blocks.select(*WINDOW_KEYS, "scenario"), WINDOW_KEYS)
+    wanted = hours.select(*WINDOW_KEYS, "offset", "valid_time", "site_id", "p50_mw", "capacity_mw")
+    fan = wanted.join(blocks.select(*WINDOW_KEYS, "scenario"), WINDOW_KEYS)
     errors = block_errors(blocks, store, n_hours)
     joined = fan.join(errors, [*WINDOW_KEYS, "scenario", "offset", "site_id"], "left")
     return joined.select(*WINDOW_KEYS, "scenario", "offset", "valid_time", "site_id", site_mw(dispersion).alias("mw"))

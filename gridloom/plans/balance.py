@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import balance, calibration, metrics, scenarios
+from gridloom.session import materialise
 from gridloom.sources.payloads import nest
 
 FIT_SHARE = 0.60
@@ -67,7 +68,7 @@ def calibrate_and_verify(scored: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fit the probability maps on the earlier hours and score raw and mapped on the later ones."""
     from gridloom.functions.bands import map_probability
 
-    sided = fit_side(scored)
+    sided = materialise(fit_side(scored))
     maps = calibration.fit_probability_maps(sided.where("fits"), ["region", "event"], "p", "outcome")
     later = sided.where(~F.col("fits")).join(maps, ["region", "event"], "left").withColumn("q", map_probability(F.col("p"), F.col("knots")))
     raw = metrics.brier(later, ["region", "event"], "p", "outcome").withColumn("calibrated", F.lit(False))

@@ -9,6 +9,7 @@ from gridloom.operators.resample import keep_one
 from gridloom.plans import training
 from gridloom.plans.adapters import REGION_CLOCKS
 from gridloom.plans.registry import query
+from gridloom.session import materialise
 
 _MODELS: dict = {}
 
@@ -22,7 +23,8 @@ def _once(t, name, make):
 
 
 def _wind_data(t):
-    return training.wind_dataset(t.weather.where("tech = 'wind'"), t.hourly, t.sites)
+    """The corpus table: built once and read by training, scoring and validation."""
+    return _once(t, "wind data", lambda: materialise(training.wind_dataset(t.weather.where("tech = 'wind'"), t.hourly, t.sites)))
 
 
 WIND_FEATURES = [
@@ -117,7 +119,7 @@ def _(t):
 @query("solar_band_scoring", "L7 L8 C23", "site_id valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f clearsky_mw:f")
 def _(t):
     names = ["horizon_h", "ghi_wm2", "cloud_total", "temp_2m_c", "physics_cf", "clearsky_cf", "kt_nwp", "hour_sin", "hour_cos", "ghi_wm2_roll_mean", "cloud_total_roll_std"]
-    data = training.solar_dataset(t.weather.where("tech = 'solar'"), t.hourly, t.sites)
+    data = _once(t, "solar data", lambda: materialise(training.solar_dataset(t.weather.where("tech = 'solar'"), t.hourly, t.sites)))
     model = _once(t, "solar", lambda: training.train_bands(data, names, rounds=8, depth=4))
     return training.score_bands(data, model)
 
@@ -130,7 +132,7 @@ def _demand_data(t):
 
 @query("demand_scoring", "L9 L7 C30", "region valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f actual_mw:f")
 def _(t):
-    data = _demand_data(t)
+    data = _once(t, "demand data", lambda: materialise(_demand_data(t)))
     names = [c for c in training.feature_names(data) if c not in ("is_holiday",)]
     model = _once(t, "demand", lambda: training.train_bands(data, names, rounds=8, depth=4))
     return training.score_demand(data, model)
@@ -152,7 +154,8 @@ def _(t):
 
 @query("model_benchmark", "L14 E20", "method lead_bucket n:i nmae_pct:f nrmse_pct:f bias_pct:f skill:f")
 def _(t):
-    return training.benchmark_report(training.with_baselines(_evaluated(t)))
+    frame = _once(t, "evaluated", lambda: materialise(_evaluated(t)))
+    return training.benchmark_report(training.with_baselines(frame))
 
 
 @query("baseline_benchmark", "L14 E20 F19 E37", "method lead_bucket n:i nmae_pct:f skill:f", """

@@ -46,9 +46,9 @@ _DEMAND = """
 
 
 def _latest(t):
-    windows = scenarios.latest_window(t.residuals, HOURS)
-    blocks = scenarios.window_blocks(windows, t.residuals, HOURS, MEMBERS, SEED)
-    return windows, blocks, scenarios.window_hours(windows, t.residuals, HOURS)
+    windows = scenarios.latest_window(t.stored("residuals"), HOURS)
+    blocks = scenarios.window_blocks(windows, t.stored("residuals"), HOURS, MEMBERS, SEED)
+    return windows, blocks, scenarios.window_hours(windows, t.stored("residuals"), HOURS)
 
 
 def _headroom(t):
@@ -56,17 +56,17 @@ def _headroom(t):
 
 
 def _members(t):
-    return balance_plan.window_members(scenarios.latest_window(t.residuals, HOURS), t.residuals, t.demand, _headroom(t), hours=HOURS, n_scenarios=MEMBERS, seed=SEED)
+    return balance_plan.window_members(scenarios.latest_window(t.stored("residuals"), HOURS), t.stored("residuals"), t.stored("demand"), _headroom(t), hours=HOURS, n_scenarios=MEMBERS, seed=SEED)
 
 
 @query("latest_windows", "G5", "region window_start:t", f"WITH {_STARTS}, {_LATEST} SELECT region, w0 AS window_start FROM win")
 def _(t):
-    return scenarios.latest_window(t.residuals, HOURS)
+    return scenarios.latest_window(t.stored("residuals"), HOURS)
 
 
 @query("sampled_windows", "L12", "region window_start:t", f"WITH {_STARTS}, {_SAMPLED} SELECT region, w0 AS window_start FROM win")
 def _(t):
-    return scenarios.sampled_windows(t.residuals, HOURS, 3, SEED)
+    return scenarios.sampled_windows(t.stored("residuals"), HOURS, 3, SEED)
 
 
 @query("scenario_picks", "L13", "region window_start:t scenario:i block_start:t", f"WITH {_STARTS}, {_LATEST}, {_CHAIN} SELECT region, w0 AS window_start, scenario, b0 AS block_start FROM sc")
@@ -78,21 +78,21 @@ def _(t):
     WITH {_STARTS}, {_LATEST}, {_CHAIN} SELECT region, scenario, valid_time, site_id, least(greatest(p50_mw + 1.3 * residual * capacity_mw, 0), capacity_mw) AS mw FROM er""")
 def _(t):
     _, blocks, hours = _latest(t)
-    return scenarios.site_scenarios(hours, blocks, t.residuals, HOURS, 1.3)
+    return scenarios.site_scenarios(hours, blocks, t.stored("residuals"), HOURS, 1.3)
 
 
 @query("regional_scenarios", "D13 E25", "region window_start:t offset:i scenario:i renewable_mw:f", f"""
     WITH {_STARTS}, {_LATEST}, {_CHAIN} SELECT region, w0 AS window_start, o AS "offset", scenario, renewable AS renewable_mw FROM tot""")
 def _(t):
     _, blocks, hours = _latest(t)
-    return scenarios.regional_scenarios(hours, blocks, t.residuals, HOURS)
+    return scenarios.regional_scenarios(hours, blocks, t.stored("residuals"), HOURS)
 
 
 @query("first_scenarios", "A16", "region offset:i members:i mean_mw:f", f"""
     WITH {_STARTS}, {_LATEST}, {_CHAIN} SELECT region, o AS "offset", count(*) AS members, avg(renewable) AS mean_mw FROM tot WHERE scenario < 8 GROUP BY ALL""")
 def _(t):
     _, blocks, hours = _latest(t)
-    members = first_scenarios(scenarios.regional_scenarios(hours, blocks, t.residuals, HOURS), 8)
+    members = first_scenarios(scenarios.regional_scenarios(hours, blocks, t.stored("residuals"), HOURS), 8)
     return members.groupBy("region", "offset").agg(F.count("*").alias("members"), F.avg("renewable_mw").alias("mean_mw"))
 
 
@@ -100,7 +100,7 @@ def _(t):
     WITH {_STARTS}, {_LATEST}, {_CHAIN} SELECT region, o AS "offset", avg(renewable) AS mean_mw, quantile_cont(renewable, 0.1) AS p10_mw, quantile_cont(renewable, 0.5) AS p50_mw, quantile_cont(renewable, 0.9) AS p90_mw FROM tot GROUP BY ALL""")
 def _(t):
     _, blocks, hours = _latest(t)
-    return scenarios.ensemble_quantiles(scenarios.regional_scenarios(hours, blocks, t.residuals, HOURS), ["region", "offset"])
+    return scenarios.ensemble_quantiles(scenarios.regional_scenarios(hours, blocks, t.stored("residuals"), HOURS), ["region", "offset"])
 
 
 @query("naive_quantile_sum", "E26", "region valid_time:t p10_mw:f p50_mw:f p90_mw:f", """
@@ -119,10 +119,10 @@ def _(t):
     h AS (SELECT CAST(least(floor(r * 10 / (n + 1)), 9) AS INTEGER) AS bin, count(*) AS n FROM (SELECT tot.region, tot.w0, tot.o, count(CASE WHEN renewable < actual THEN 1 END) AS r, count(*) AS n FROM tot JOIN tru ON tru.region = tot.region AND tru.w0 = tot.w0 AND tru.o = tot.o GROUP BY ALL) GROUP BY 1)
     SELECT bin, n, n / sum(n) OVER () AS share, stddev_pop(n) OVER () / sum(n) OVER () * 10 AS flatness FROM h""")
 def _(t):
-    windows = scenarios.sampled_windows(t.residuals, HOURS, 3, SEED)
-    blocks = scenarios.window_blocks(windows, t.residuals, HOURS, MEMBERS, SEED)
-    hours = scenarios.window_hours(windows, t.residuals, HOURS)
-    ensemble = scenarios.regional_scenarios(hours, blocks, t.residuals, HOURS)
+    windows = scenarios.sampled_windows(t.stored("residuals"), HOURS, 3, SEED)
+    blocks = scenarios.window_blocks(windows, t.stored("residuals"), HOURS, MEMBERS, SEED)
+    hours = scenarios.window_hours(windows, t.stored("residuals"), HOURS)
+    ensemble = scenarios.regional_scenarios(hours, blocks, t.stored("residuals"), HOURS)
     return scenarios.rank_histogram(ensemble, scenarios.regional_truth(hours), balance.AT)
 
 
@@ -132,10 +132,10 @@ def _(t):
     c AS (SELECT d, avg(c) AS c FROM (SELECT q.region, d, avg(CAST(actual + 0.0000001 >= lo AND actual - 0.0000001 <= hi AS INTEGER)) AS c FROM q JOIN tru ON tru.region = q.region AND tru.w0 = q.w0 AND tru.o = q.o GROUP BY ALL) GROUP BY 1)
     SELECT d AS dispersion, c AS coverage FROM c ORDER BY round(abs(c - 0.8), 9), d LIMIT 1""")
 def _(t):
-    windows = scenarios.sampled_windows(t.residuals, HOURS, 3, SEED)
-    blocks = scenarios.window_blocks(windows, t.residuals, HOURS, MEMBERS, SEED)
-    hours = scenarios.window_hours(windows, t.residuals, HOURS)
-    ensemble = scenarios.regional_scenarios(hours, blocks, t.residuals, HOURS, factors=scenarios.DISPERSION_GRID)
+    windows = scenarios.sampled_windows(t.stored("residuals"), HOURS, 3, SEED)
+    blocks = scenarios.window_blocks(windows, t.stored("residuals"), HOURS, MEMBERS, SEED)
+    hours = scenarios.window_hours(windows, t.stored("residuals"), HOURS)
+    ensemble = scenarios.regional_scenarios(hours, blocks, t.stored("residuals"), HOURS, factors=scenarios.DISPERSION_GRID)
     bands = scenarios.ensemble_quantiles(ensemble, [*balance.AT, "dispersion"])
     eps = 1e-7
     widened = bands.withColumns({"p10_mw": F.col("p10_mw") - eps, "p90_mw": F.col("p90_mw") + eps})
@@ -148,26 +148,26 @@ def _(t):
     n AS (SELECT region, w0, o, sum(0.8 * p50_mw) AS w FROM fh GROUP BY ALL)
     SELECT q.region, count(*) AS hours, avg(q.w) AS mean_width, avg(n.w) AS naive_width, avg(n.w) / avg(q.w) AS width_ratio FROM q JOIN n ON n.region = q.region AND n.w0 = q.w0 AND n.o = q.o GROUP BY 1""")
 def _(t):
-    windows = scenarios.sampled_windows(t.residuals, HOURS, 3, SEED)
-    blocks = scenarios.window_blocks(windows, t.residuals, HOURS, MEMBERS, SEED)
-    banded = t.residuals.withColumns({"p10_mw": F.col("p50_mw") * 0.6, "p90_mw": F.col("p50_mw") * 1.4})
+    windows = scenarios.sampled_windows(t.stored("residuals"), HOURS, 3, SEED)
+    blocks = scenarios.window_blocks(windows, t.stored("residuals"), HOURS, MEMBERS, SEED)
+    banded = t.stored("residuals").withColumns({"p10_mw": F.col("p50_mw") * 0.6, "p90_mw": F.col("p50_mw") * 1.4})
     hours = scenarios.window_hours(windows, banded, HOURS)
-    return scenarios.verify(hours, scenarios.regional_scenarios(hours, blocks, t.residuals, HOURS))
+    return scenarios.verify(hours, scenarios.regional_scenarios(hours, blocks, t.stored("residuals"), HOURS))
 
 
 @query("site_scenario_coverage", "E34", "site_id coverage_before:f coverage_after:f")
 def _(t):
     _, blocks, _ = _latest(t)
-    banded = t.residuals.withColumns({"p10_mw": F.col("p50_mw") * 0.6, "p90_mw": F.col("p50_mw") * 1.4})
-    hours = scenarios.window_hours(scenarios.latest_window(t.residuals, HOURS), banded, HOURS)
-    return scenarios.site_coverage(hours, scenarios.site_scenarios(hours, blocks, t.residuals, HOURS))
+    banded = t.stored("residuals").withColumns({"p10_mw": F.col("p50_mw") * 0.6, "p90_mw": F.col("p50_mw") * 1.4})
+    hours = scenarios.window_hours(scenarios.latest_window(t.stored("residuals"), HOURS), banded, HOURS)
+    return scenarios.site_coverage(hours, scenarios.site_scenarios(hours, blocks, t.stored("residuals"), HOURS))
 
 
 @query("demand_scenarios", "D12", "region offset:i scenario:i demand_mw:f", f"""
     WITH {_STARTS}, {_LATEST}, {_CHAIN}, {_DEMAND} SELECT region, o AS "offset", scenario, demand AS demand_mw FROM dd""")
 def _(t):
     windows, blocks, _ = _latest(t)
-    return balance.demand_scenarios(scenarios.window_hours(windows, t.demand, HOURS), blocks, t.demand, HOURS)
+    return balance.demand_scenarios(scenarios.window_hours(windows, t.stored("demand"), HOURS), blocks, t.stored("demand"), HOURS)
 
 
 _POINTS = "region valid_time:t horizon_h:i n_scenarios:i demand_p50_mw:f renewable_p10_mw:f renewable_p90_mw:f residual_p50_mw:f p_surplus:f p_shortage:f conditional_surplus_mw:f conditional_shortage_mw:f expected_surplus_mw:f recommended_action"
@@ -193,7 +193,7 @@ def _(t):
 @query("balance_payload", "L15 A14 F11", "region window_start:t n_points:i peak_shortage:f expected_mwh:f", f"""
     WITH {_STARTS}, {_LATEST}, {_CHAIN}, {_DEMAND} SELECT region, w0 AS window_start, count(*) AS n_points, max(p_shortage) AS peak_shortage, sum(p_shortage * conditional_shortage_mw) AS expected_mwh FROM bp GROUP BY ALL""")
 def _(t):
-    points = balance_plan.build(t.residuals, t.demand, _headroom(t), hours=HOURS, n_scenarios=MEMBERS, seed=SEED)
+    points = balance_plan.build(t.stored("residuals"), t.stored("demand"), _headroom(t), hours=HOURS, n_scenarios=MEMBERS, seed=SEED)
     docs = balance_plan.payload(points)
     return docs.select(
         "region", "window_start", F.size("points").alias("n_points"), F.array_max("points.p_shortage").alias("peak_shortage"),
@@ -207,12 +207,12 @@ def _(t):
     z AS (SELECT a.region, a.valid_time, d.actual_mw - a.ren AS res, hd.headroom FROM a JOIN x_demand d ON d.region = a.region AND d.valid_time = a.valid_time JOIN hd ON hd.region = a.region)
     SELECT region, valid_time, 'surplus' AS event, CAST(res < 0 AS INTEGER) AS outcome FROM z UNION ALL SELECT region, valid_time, 'shortage', CAST(res > headroom AS INTEGER) FROM z""")
 def _(t):
-    return balance_plan.scored_windows(t.residuals, t.demand, _headroom(t), hours=HOURS, n_windows=3, n_scenarios=MEMBERS, seed=SEED)
+    return balance_plan.scored_windows(t.stored("residuals"), t.stored("demand"), _headroom(t), hours=HOURS, n_windows=3, n_scenarios=MEMBERS, seed=SEED)
 
 
 @query("balance_verification", "L16 E29 E30", "region event calibrated:b n:i base_rate:f brier:f brier_climatology:f skill:f")
 def _(t):
-    scored = balance_plan.scored_windows(t.residuals, t.demand, _headroom(t), hours=HOURS, n_windows=12, n_scenarios=MEMBERS, seed=SEED)
+    scored = balance_plan.scored_windows(t.stored("residuals"), t.stored("demand"), _headroom(t), hours=HOURS, n_windows=12, n_scenarios=MEMBERS, seed=SEED)
     return balance_plan.calibrate_and_verify(scored)[1]
 
 

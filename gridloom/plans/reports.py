@@ -62,9 +62,9 @@ def audit_balance(points: DataFrame) -> list:
 
 def output_audit(t, *, hours: int = 24, n_scenarios: int = 20, seed: int = 7) -> DataFrame:
     """Bands, scenarios and balance of one data folder, checked rule by rule."""
-    store = t.residuals
+    store = t.stored("residuals")
     members = balance_plan.window_members(
-        scenarios.latest_window(store, hours), store, t.demand, fitting.dispatchable_headroom(t.market), hours=hours, n_scenarios=n_scenarios, seed=seed
+        scenarios.latest_window(store, hours), store, t.stored("demand"), fitting.dispatchable_headroom(t.market), hours=hours, n_scenarios=n_scenarios, seed=seed
     )
     installed = store.select("region", "site_id", "capacity_mw").distinct().groupBy("region").agg(F.sum("capacity_mw").alias("installed_mw"))
     return contracts.audit([

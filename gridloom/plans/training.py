@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import bands, clock, solar
 from gridloom.operators import calibration, contracts, features, joins, metrics, splits
 from gridloom.operators.quantiles import exact_quantiles
-from gridloom.session import shared_dir
+from gridloom.session import materialise
 
 BINS = 10
 MIN_BIN_ROWS = 50
@@ -97,17 +97,17 @@ def train_bands(
     frame: DataFrame, names: list[str], *, label: str = "target", rounds: int = 20, depth: int = 5, step: float = 0.2, seed: int = 42
 ) -> BandModel:
     """Fit on ``split`` = train, stop on val, residual quantiles on val, widening on calib."""
-    spark = frame.sparkSession
-    shared_dir(spark)
-    labelled = _vectors(frame.where(F.col(label).isNotNull()), names).withColumn("target", F.col(label))
-    fitting = labelled.where("split IN ('train', 'val')").withColumn("_val", F.col("split") == "val")
+    keep = ["horizon_h", "split", *[c for c in ("region",) if c in frame.columns]]
+    vectors = _vectors(frame.where(F.col(label).isNotNull() & F.col("split").isin("train", "val", "calib")), names)
+    # Boosting reads its input once per round: the assembled table is written once instead of
+    # recomputing joins and windows for every round.
+    data = materialise(vectors.select("features", F.col(label).alias("target"), *keep))
     trees = GBTRegressor(
         lossType="absolute", featuresCol="features", labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=step,
         validationIndicatorCol="_val", seed=seed, predictionCol="median",
-    ).fit(fitting.select("features", "target", "_val"))
-    keep = ["target", "horizon_h", "split", *[c for c in ("region",) if c in labelled.columns]]
-    scored = trees.transform(labelled.where("split IN ('val', 'calib')").select("features", *keep)).drop("features")
-    residuals = _residual_table(scored.where("split = 'val'")).checkpoint()
+    ).fit(data.where("split <> 'calib'").withColumn("_val", F.col("split") == "val"))
+    scored = trees.transform(data.where("split <> 'train'")).drop("features")
+    residuals = materialise(_residual_table(scored.where("split = 'val'")))
     banded = _with_raw_band(scored.where("split = 'calib'"), residuals)
     scores = banded.withColumn("score", calibration.conformity(F.col("target"), F.col("p10"), F.col("p90")))
     if "region" in keep:
@@ -116,7 +116,7 @@ def train_bands(
         )
     else:
         widening = calibration.widening_by_bucket(scores, [])
-    return BandModel(trees, names, residuals, widening.checkpoint())
+    return BandModel(trees, names, residuals, materialise(widening))
 
 
 def score_bands(frame: DataFrame, model: BandModel) -> DataFrame:
@@ -219,7 +219,7 @@ def leave_sites_out(frame: DataFrame, names: list[str], k: int, *, rounds: int =
     and every fourth site (by hash) calibrates, so a scored site was never seen.
     """
     folds = splits.site_folds(frame, k)
-    keyed = frame.drop("split").join(folds, "site_id")
+    keyed = materialise(frame.drop("split").join(folds, "site_id"))
     out = None
     for fold in range(k):
         rest = keyed.where(F.col("fold") != fold)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that hold at any scale. Partition counts are left to the cluster and to AQE, which
 # coalesces small shuffle partitions and splits the skewed ones.
@@ -53,3 +54,14 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def materialise(frame: DataFrame) -> DataFrame:
+    """Write a frame once to the shared folder and read it back.
+
+    Cuts lineage like a checkpoint, but computes the frame once, keeps it columnar with statistics,
+    and survives lost executors.
+    """
+    path = f"{shared_dir(frame.sparkSession)}/tables/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
