@@ -17,6 +17,14 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Settings every plan relies on, applied to whatever session runs it. HotSpot never compiles a method
+# over 8000 bytes, so a fused stage larger than that runs in the bytecode interpreter; past this limit
+# Spark emits one compiled projection per operator instead.
+PER_QUERY = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
 
 def local_session(app: str = "gridloom", cores: str = "8", memory: str = "8g") -> SparkSession:
     """A single-JVM session for tests and benches."""
@@ -36,8 +44,9 @@ def local_session(app: str = "gridloom", cores: str = "8", memory: str = "8g") -
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session clock to UTC; every stamp in the engine is UTC unless named local."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in PER_QUERY.items():
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark
 
 
