@@ -52,7 +52,8 @@ def read_stations(spark: SparkSession, path: str) -> DataFrame:
     """Stations from a GeoJSON FeatureCollection; geometry stays text so both shapes parse."""
     schema = f"features array<struct<{_field_types()}>>"
     docs = spark.read.schema(schema).json(path, multiLine=True)
-    return parse_features(docs.select(F.to_json(F.explode("features")).alias("feature")))
+    one = docs.select(F.explode("features").alias("f"))
+    return parse_features(one.select(F.to_json("f").alias("feature")))
 
 
 def _field_types() -> str:
