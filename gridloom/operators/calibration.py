@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import clock
+from gridloom.operators.joins import small_map
 from gridloom.operators.quantiles import exact_quantiles
 from gridloom.session import materialise
 
@@ -53,8 +54,9 @@ def region_shift(frame: DataFrame, *, min_rows: int = MIN_BUCKET_ROWS) -> DataFr
 
 def region_calibration(frame: DataFrame, *, coverage: float = COVERAGE, min_rows: int = MIN_BUCKET_ROWS) -> DataFrame:
     """Shift, then widening per bucket around the shifted band. Few rows give zero for both."""
-    shifts = region_shift(frame, min_rows=min_rows)
-    moved = frame.join(shifts, "region").withColumn(
+    shifts = materialise(region_shift(frame, min_rows=min_rows))
+    shift = F.try_element_at(small_map(shifts, F.col("region"), F.col("shift")), F.col("region"))
+    moved = frame.withColumn("shift", shift).withColumn(
         "score", conformity(F.col("actual"), F.col("lower") + F.col("shift"), F.col("upper") + F.col("shift"))
     )
     table = widening_by_bucket(moved, ["region"], coverage=coverage, min_rows=min_rows).drop("n")

@@ -95,29 +95,29 @@ def forecast_vs_outcome(points: DataFrame, outcomes: DataFrame) -> DataFrame:
     return points.join(actual, ["region", "valid_time"])
 
 
+def small_map(table: DataFrame, key: Column, value: Column) -> Column:
+    """A table of a few dozen rows (regions, technologies, lead buckets) as one map literal.
+
+    It enters the plan as a scalar subquery, so the large side is neither shuffled on a key with a
+    handful of values nor joined at all. Not for tables keyed by site. Repeated keys keep their
+    largest value.
+    """
+    once = table.groupBy(key.alias("k")).agg(F.max(value).alias("v"))
+    return once.agg(F.map_from_entries(F.collect_list(F.struct("k", "v")))).scalar()
+
+
 def widening_lookup(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """Per-row widening by lead bucket (and ``keys``), falling back to ``all``, then to zero.
+    """Per-row widening by lead bucket (and region or technology), falling back to ``all``, then 0.
 
-    ``table`` is ``(keys, lead_bucket, widening)``. It is pivoted to one row per key first, so rows
-    are joined once. Three buckets and a fallback make it a few hundred bytes per key.
+    ``table`` is ``(keys, lead_bucket, widening)``: at most four rows per region.
     """
-    labels = [b[2] for b in clock.LEAD_BUCKETS]
-    cells = [F.max(F.when(F.col("lead_bucket") == b, F.col("widening"))).alias(f"_w{i}") for i, b in enumerate([*labels, "all"])]
+    def name(bucket: Column) -> Column:
+        return F.concat_ws("|", *keys, bucket)
+
+    cells = small_map(table, name(F.col("lead_bucket")), F.col("widening"))
     bucket = clock.lead_bucket(F.col("horizon_h"))
-    picked = F.lit(None).cast("double")
-    for i, label in enumerate(labels):
-        picked = F.when(bucket == label, F.col(f"_w{i}")).otherwise(picked)
-    drop = [f"_w{i}" for i in range(len(labels) + 1)]
-    if keys:
-        joined = rows.join(table.groupBy(*keys).agg(*cells), keys, "left")
-        value = F.coalesce(picked, F.col(f"_w{len(labels)}"), F.lit(0.0))
-        return joined.withColumn("widening", value).drop(*drop)
-    # Without keys the table is four numbers: fold them in as scalar subqueries.
-    one = {label: table.where(F.col("lead_bucket") == label).agg(F.max("widening")).scalar() for label in [*labels, "all"]}
-    scalar = F.lit(None).cast("double")
-    for label in labels:
-        scalar = F.when(bucket == label, one[label]).otherwise(scalar)
-    return rows.withColumn("widening", F.coalesce(scalar, one["all"], F.lit(0.0)))
+    value = F.coalesce(F.try_element_at(cells, name(bucket)), F.try_element_at(cells, name(F.lit("all"))), F.lit(0.0))
+    return rows.withColumn("widening", value)
 
 
 def with_grid(frame: DataFrame, grid: dict[str, list[float]]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import clock
@@ -73,12 +73,14 @@ def score_methods(frame: DataFrame, methods: dict[str, str], keys: list[str] | N
 
 
 def with_skill(scores: DataFrame, reference: str, keys: list[str] | None = None, metric: str = "nmae_pct") -> DataFrame:
-    """1 - metric / reference metric; NULL where the reference is not positive."""
-    keys = keys or []
-    base = scores.where(F.col("method") == reference).select(*keys, F.col(metric).alias("_ref"))
-    joined = scores.join(base, keys) if keys else scores.join(F.broadcast(base))
+    """1 - metric / reference metric; NULL where the reference is not positive.
+
+    The score table holds one row per method and key, so the window sees a handful of rows.
+    """
+    reference_value = F.max(F.when(F.col("method") == reference, F.col(metric))).over(Window.partitionBy(*(keys or [])))
+    staged = scores.withColumn("_ref", reference_value)
     positive = F.when(F.col("_ref") > 0, F.col("_ref"))
-    return joined.withColumn("skill", 1.0 - F.col(metric) / positive).drop("_ref")
+    return staged.withColumn("skill", 1.0 - F.col(metric) / positive).drop("_ref")
 
 
 def climatology(train: DataFrame, value: str = "actual_mw") -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 10_000
+SALTS = 32
 
 
 def _rank_struct(level: Column, n: Column, method: str) -> Column:
@@ -59,10 +60,12 @@ def exact_quantiles(
             for i, q in enumerate(levels)
         ])).alias("_k"),
     ).select(*keys, "n", "_k.*")
-    # Side of the bracket per distinct value; repeats collapse before anything is ordered.
+    # Side of the bracket per distinct value; repeats collapse before anything is ordered. The join is
+    # salted by value, so a group holding most of the rows is spread over many tasks.
     distinct = data.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    join_keys = keys if keys else None
-    sided = (distinct.join(brackets, join_keys) if keys else distinct.join(F.broadcast(brackets))).withColumn(
+    salted = distinct.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    spread = brackets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    sided = salted.join(spread, [*keys, "_salt"]).drop("_salt").withColumn(
         "_side", F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") <= F.col("hi"), 1).otherwise(2)
     )
     sizes = sided.groupBy(*keys, "level", "n").agg(

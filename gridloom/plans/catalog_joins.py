@@ -12,14 +12,13 @@ from gridloom.sources import market, stations
 
 
 @query("demand_price_rooftop", "D1", "region valid_time:t demand_mw:f rrp_aud_mwh:f rooftop_pv_mw:f", """
-    SELECT region, valid_time, demand_mw, CASE WHEN hour(valid_time) % 3 <> 0 THEN rrp_aud_mwh END AS rrp_aud_mwh,
-           CASE WHEN rooftop_pv_mw IS NOT NULL AND hour(valid_time) % 2 = 0 THEN rooftop_pv_mw END AS rooftop_pv_mw FROM x_market""")
+    SELECT region, valid_time, demand_mw, CASE WHEN rrp_aud_mwh > -3 THEN rrp_aud_mwh END AS rrp_aud_mwh, rooftop_pv_mw FROM x_market""")
 def _(t):
     m = t.market
     return market.combine(
         m.select("region", "valid_time", "demand_mw"),
-        m.where(F.hour("valid_time") % 3 != 0).select("region", "valid_time", "rrp_aud_mwh"),
-        m.where(F.col("rooftop_pv_mw").isNotNull() & (F.hour("valid_time") % 2 == 0)).select("region", "valid_time", "rooftop_pv_mw"),
+        m.where(F.col("rrp_aud_mwh") > -3).select("region", "valid_time", "rrp_aud_mwh"),
+        m.where(F.col("rooftop_pv_mw").isNotNull()).select("region", "valid_time", "rooftop_pv_mw"),
     )
 
 
@@ -87,14 +86,14 @@ def _(t):
 
 
 @query("gathered_variables", "D9 H1", "site_id valid_time:t a:f b:f c:f", """
-    SELECT site_id, valid_time, max(CASE WHEN hour(valid_time) % 2 = 0 THEN power_mw END) AS a, max(CASE WHEN hour(valid_time) % 3 = 0 THEN power_mw * 2 END) AS b,
-           max(CASE WHEN hour(valid_time) % 5 = 0 THEN power_mw * 3 END) AS c FROM x_hourly
-    WHERE hour(valid_time) % 2 = 0 OR hour(valid_time) % 3 = 0 OR hour(valid_time) % 5 = 0 GROUP BY ALL""")
+    SELECT site_id, valid_time, CASE WHEN power_mw > 4 THEN power_mw END AS a, CASE WHEN power_mw > 8 THEN power_mw * 2 END AS b, CASE WHEN power_mw < 20 THEN power_mw * 3 END AS c
+    FROM x_hourly WHERE power_mw > 4 OR power_mw < 20""")
 def _(t):
-    def part(step, factor):
-        return t.hourly.where(F.hour("valid_time") % step == 0).select("site_id", "valid_time", (F.col("power_mw") * factor).alias("value"))
+    def part(keep, factor):
+        return t.hourly.where(keep).select("site_id", "valid_time", (F.col("power_mw") * factor).alias("value"))
 
-    return joins.gather_variables({"a": part(2, 1), "b": part(3, 2), "c": part(5, 3)}, ["site_id", "valid_time"])
+    p = F.col("power_mw")
+    return joins.gather_variables({"a": part(p > 4, 1), "b": part(p > 8, 2), "c": part(p < 20, 3)}, ["site_id", "valid_time"])
 
 
 @query("cell_fan_out", "D10 C8", "lat_cell:i lon_cell:i site_id owner", """
@@ -130,9 +129,9 @@ def _(t):
 @query("aligned_price", "D16 F21", "region valid_time:t rrp_aud_mwh:f", """
     SELECT region, valid_time, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY region ORDER BY valid_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
         first_value(p IGNORE NULLS) OVER (PARTITION BY region ORDER BY valid_time ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS rrp_aud_mwh
-    FROM (SELECT region, valid_time, CASE WHEN hour(valid_time) % 4 = 1 THEN rrp_aud_mwh END AS p FROM x_market_grid)""")
+    FROM (SELECT region, valid_time, CASE WHEN rrp_aud_mwh > 2 THEN rrp_aud_mwh END AS p FROM x_market_grid)""")
 def _(t):
-    sparse = t.market.where(F.hour("valid_time") % 4 == 1)
+    sparse = t.market.where(F.col("rrp_aud_mwh") > 2)
     return joins.align_price(t.market_grid.select("region", "valid_time"), sparse)
 
 

@@ -31,9 +31,9 @@ _METER_SQL = """
 
 
 @query("meter_scan", "A1", "row_order:i stamp unit mw:f",
-       f"SELECT * REPLACE (strftime(stamp, '%Y/%m/%d %H:%M:%S') AS stamp) FROM ({_METER_SQL}) m WHERE user_id % 3 <> 0")
+       f"SELECT * REPLACE (strftime(stamp, '%Y/%m/%d %H:%M:%S') AS stamp) FROM ({_METER_SQL}) m WHERE user_id IN (SELECT user_id FROM events WHERE value > 60)")
 def _(t):
-    known = t.events.where(F.col("user_id") % 3 != 0).select(
+    known = t.events.where(F.col("value") > 60).select(
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("unit")
     ).distinct()
     return meter.parse_readings(_meter_lines(t), known)
@@ -274,15 +274,15 @@ def _(t):
 
 
 @query("site_upsert", "A13", "site_id name capacity_mw:f tilt_deg:f", """
-    SELECT site_id, CASE WHEN k % 3 <> 0 THEN name ELSE 'new' END AS name,
-           CASE WHEN k % 2 = 0 THEN 99 WHEN k % 3 <> 0 THEN capacity_mw END AS capacity_mw,
-           CASE WHEN k % 3 <> 0 THEN tilt_deg END AS tilt_deg
-    FROM (SELECT *, CAST(substr(site_id, 2) AS BIGINT) AS k FROM x_sites) WHERE k % 3 <> 0 OR k % 2 = 0""")
+    SELECT site_id, CASE WHEN capacity_mw < 50 THEN name ELSE 'new' END AS name,
+           CASE WHEN capacity_mw > 35 THEN 99 ELSE capacity_mw END AS capacity_mw,
+           CASE WHEN capacity_mw < 50 THEN tilt_deg END AS tilt_deg
+    FROM x_sites WHERE capacity_mw < 50 OR capacity_mw > 35""")
 def _(t):
-    k = F.substring("site_id", 2, 12).cast("long")
-    old = t.sites.where(k % 3 != 0).select("site_id", "name", "capacity_mw", "tilt_deg")
-    new = t.sites.where(k % 2 == 0).select(
-        "site_id", F.when(k % 3 == 0, "new").alias("name"), F.lit(99.0).alias("capacity_mw"), F.lit(None).cast("double").alias("tilt_deg")
+    cap = F.col("capacity_mw")
+    old = t.sites.where(cap < 50).select("site_id", "name", "capacity_mw", "tilt_deg")
+    new = t.sites.where(cap > 35).select(
+        "site_id", F.when(cap >= 50, "new").alias("name"), F.lit(99.0).alias("capacity_mw"), F.lit(None).cast("double").alias("tilt_deg")
     )
     return tables.upsert(old, new, "site_id")
 

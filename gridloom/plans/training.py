@@ -139,7 +139,8 @@ def score_demand(frame: DataFrame, model: BandModel) -> DataFrame:
     """Demand bands: shift all three, widen per region and bucket without a floor, scale by peak."""
     raw = _with_raw_band(model.trees.transform(_vectors(frame, model.feature_order)).drop("features"), model.residual_bands)
     shifts = model.widening.groupBy("region").agg(F.max("shift").alias("shift"))
-    widened = joins.widening_lookup(raw, model.widening, ["region"]).join(shifts, "region", "left")
+    known = joins.small_map(shifts, F.col("region"), F.col("shift"))
+    widened = joins.widening_lookup(raw, model.widening, ["region"]).withColumn("shift", F.try_element_at(known, F.col("region")))
     s = F.coalesce("shift", F.lit(0.0))
     lower, upper = bands.widen(F.col("p10") + s, F.col("p90") + s, F.col("widening"), floor=None)
     mid = F.col("p50") + s
