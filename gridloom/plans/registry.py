@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.adapters import CTES, Tables
 
+# Added before rounding on both sides: means of two-decimal readings often end exactly on half a
+# unit of the sixth place, where the last bit of a sum would decide the digit.
+NUDGE = 0.000000013
+
 
 @dataclass(frozen=True)
 class Query:
@@ -50,7 +54,7 @@ def _spark_column(name: str, kind: str):
     elif kind == "d":
         c = F.date_format(c, "yyyy-MM-dd")
     elif kind == "f":
-        c = F.round(c.cast("double"), 6) + F.lit(0.0)
+        c = F.round(c.cast("double") + F.lit(NUDGE), 6) + F.lit(0.0)
     elif kind == "i":
         c = c.cast("long")
     elif kind == "b":
@@ -65,7 +69,7 @@ def _sql_column(name: str, kind: str) -> str:
     forms = {
         "t": f"strftime({quoted}, '%Y-%m-%d %H:%M:%S')",
         "d": f"strftime({quoted}, '%Y-%m-%d')",
-        "f": f"round(CAST({quoted} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",
+        "f": f"round(CAST({quoted} AS DOUBLE) + CAST({NUDGE:.9f} AS DOUBLE), 6) + CAST(0 AS DOUBLE)",
         "i": f"CAST({quoted} AS BIGINT)",
         "b": f"CAST(CAST({quoted} AS INTEGER) AS BIGINT)",
         "s": f"CAST({quoted} AS VARCHAR)",

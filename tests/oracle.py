@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -28,7 +29,7 @@ def _clean(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 5) + 0.0
+        return v + 0.0 if STRICT else round(v, 5) + 0.0
     return v
 
 
@@ -38,7 +39,12 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(cleaned, key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
+STRICT = os.environ.get("STRICT") == "1"
+
+
 def same(a, b) -> bool:
+    if STRICT:
+        return a == b and type(a) is type(b)
     if isinstance(a, float) and isinstance(b, float):
         return abs(a - b) <= 1.5e-5 + 1e-9 * abs(a)
     return a == b and type(a) is type(b)
