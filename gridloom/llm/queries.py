@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm import decontamination as overlap
 from gridloom.llm import quality_rules as rules
 from gridloom.llm.common import table
 
@@ -16,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.digest(overlap.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.secret_scan import digest, secret_spans
 
@@ -33,5 +38,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_secret_scan, op8_token_counts)}
-ORACLES: dict[str, str] = {"op1_quality_rules": rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op7_secret_scan, op8_token_counts)}
+ORACLES: dict[str, str] = {"op1_quality_rules": rules.SQL, "op2_decontamination": overlap.SQL}
