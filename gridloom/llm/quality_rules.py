@@ -22,7 +22,7 @@ from gridloom.llm.common import SPACES, free_name
 
 SYMBOLS = "#*$%&|<>"
 #: Rows on which cost and selectivity are estimated; they decide the order of the rules and nothing else.
-SAMPLE_ROWS = 500
+SAMPLE_ROWS, SAMPLE_CHARS = 500, 50_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -104,9 +104,14 @@ def first_failure(rules: tuple[Rule, ...]) -> Column:
     return out if out is not None else F.lit(None).cast("string")
 
 
-def ordered_rules(counted: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejection per cost on a sample of counted rows."""
-    sample = counted.limit(sample_rows).persist()
+def ordered_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
+    """The rules by rejection per cost on the first rows at hand with a text of moderate length.
+
+    The rows are taken from as few partitions as hold them, so the sample costs the same at any size of input.
+    """
+    spark = docs.sparkSession
+    taken = docs.select(F.col(text).alias("text")).where(F.length(text) <= SAMPLE_CHARS).limit(sample_rows).collect()
+    sample = text_counts(spark.createDataFrame(taken, "text string"), ()).persist()
     try:
         n = max(1, sample.count())
         worth = {}
@@ -126,7 +131,7 @@ def quality_rules(
 ) -> DataFrame:
     """Keys, counts, base_failed, kept and failed_rule (first failing rule in cascade order, ``base`` included)."""
     counted = text_counts(docs, keys, text)
-    order = ordered_rules(counted, rules)
+    order = ordered_rules(docs, rules, text)
     failed = free_name(docs, "failed_rule")
     out = counted.withColumn(failed, F.when(base_failed(), F.lit("base")).otherwise(first_failure(order)))
     return out.select(
