@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontamination as overlap
+from gridloom.llm import jaccard_join as jaccard
 from gridloom.llm import quality_rules as rules
 from gridloom.llm.common import table
 
@@ -21,6 +22,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.digest(overlap.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.secret_scan import digest, secret_spans
 
@@ -38,5 +43,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op7_secret_scan, op8_token_counts)}
-ORACLES: dict[str, str] = {"op1_quality_rules": rules.SQL, "op2_decontamination": overlap.SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_jaccard_join, op7_secret_scan, op8_token_counts)}
+ORACLES: dict[str, str] = {"op1_quality_rules": rules.SQL, "op2_decontamination": overlap.SQL, "op5_jaccard_join": jaccard.SQL}
