@@ -138,6 +138,7 @@ def contamination(
     prefixes = rare.groupBy(F.col("rarest.key").alias("key")).agg(
         F.collect_list(F.struct(F.col("rarest.offset").alias("offset"), "n", "keys", "items")).alias("windows")
     )
+    prefixes = materialise(prefixes)  # a table of its own: its size is known, and a shingle found everywhere can be split
     found = places.join(prefixes, "key").groupBy("_row").agg(F.collect_list(F.struct("pos", "windows")).alias("found"))
 
     def check(row: tuple) -> tuple:
