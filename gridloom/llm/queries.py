@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import decontamination as overlap
 from gridloom.llm import jaccard_join as jaccard
+from gridloom.llm import personal_data as personal
 from gridloom.llm import quality_rules as rules
 from gridloom.llm.common import table
 
@@ -43,5 +44,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_jaccard_join, op7_secret_scan, op8_token_counts)}
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digest(personal.personal_spans(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_jaccard_join, op7_secret_scan, op8_token_counts, op10_personal_data)}
 ORACLES: dict[str, str] = {"op1_quality_rules": rules.SQL, "op2_decontamination": overlap.SQL, "op5_jaccard_join": jaccard.SQL}
