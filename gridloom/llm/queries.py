@@ -44,9 +44,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.page_text import main_text
+
+    text = main_text(table(spark, sf_dir, "pages"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.personal_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_jaccard_join, op7_secret_scan, op8_token_counts, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_jaccard_join, op7_secret_scan, op8_token_counts, op9_page_text, op10_personal_data)}
 ORACLES: dict[str, str] = {"op1_quality_rules": rules.SQL, "op2_decontamination": overlap.SQL, "op5_jaccard_join": jaccard.SQL}
