@@ -171,11 +171,11 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, list[int]]], set[int]
             continue
         top = stack[-1]
         dropped = top.dropped or is_furniture(tag, attributes, top.article)
-        if tag not in BLOCK and not dropped:
-            continue  # an inline element changes nothing
+        if tag not in BLOCK and dropped == top.dropped:
+            continue  # an inline element that changes nothing
         hashes.append(None)
         stack.append(_Element(tag, top, dropped, len(hashes) - 1))
-        if tag not in BLOCK and not top.dropped:
+        if tag not in BLOCK:
             stack[-1].mark = len(waiting)
     waiting.append(html[at:])
     close_to(1)
