@@ -2,8 +2,9 @@
 
 Two outcomes are judged: ``bad`` (labelled quality 0) and ``toxic``. Features of a text are its words, their
 4- and 5-letter beginnings and coarse surface measures. Grouped counts over labelled texts give each feature's
-log-likelihood ratio; a text's evidence is the sum over its distinct features, turned into a probability on
-labelled texts that were not counted. Sites (``source``) and paths (``source``, ``lang``) then get posterior
+log-likelihood ratio where it speaks for the outcome beyond chance; a text's evidence is the sum of its strongest
+three (a sum over all would grow with the length of a text), turned into a probability on labelled texts that
+were not counted. Sites (``source``) and paths (``source``, ``lang``) then get posterior
 rates: labels where known and the document probability elsewhere are added up per path and site over all
 documents, and each rate is shrunk to the level above it, so a sparse site stays near the global rate. A
 document's odds are its own evidence times the odds of its path against the global odds.
@@ -29,7 +30,9 @@ from gridloom.llm.common import flat_map_rows, free_name, map_rows
 
 MAX_LABELLED = 12_000
 MAX_FEATURES = 4_000
-MIN_SUPPORT = 6
+#: A feature must be e^2 times as likely under the outcome, with a likelihood-ratio statistic of 12 (p = 0.0005).
+MIN_RATIO, MIN_STATISTIC = 2.0, 12.0
+STRONGEST = 3
 #: Documents that a site's or path's own rate must outweigh to move half the way from the level above.
 STRENGTH = 50.0
 REJECT = 0.5
@@ -64,7 +67,7 @@ class Model:
 
     def evidence(self, outcome: str, found: set[str]) -> float:
         own = self.weights[outcome]
-        return sum(own[f] for f in found if f in own)
+        return sum(sorted((own[f] for f in found if f in own), reverse=True)[:STRONGEST])
 
     def probability(self, outcome: str, found: set[str]) -> float | None:
         if outcome not in self.curve:
@@ -110,17 +113,15 @@ def curve_of(steps: dict[int, tuple[int, int]], rate: float) -> list[float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
-    """Weights from half of the labelled texts (by hash of the id), calibration on the other half."""
+    """Weights from three quarters of the labelled texts (by hash of the id), calibration on the rest."""
     chosen = labels_of(labels).orderBy(F.xxhash64("_label"), "_label").limit(max_labelled)
     texts = docs.select(F.col("doc_id").alias("_label"), "text").join(chosen, "_label")
-    held = F.pmod(F.xxhash64("_label", F.lit(1)), F.lit(2)) == 1
+    held = F.pmod(F.xxhash64("_label", F.lit(1)), F.lit(4)) == 1
     rows = flat_map_rows(
         texts.where(~held).select("text", "_bad", "_toxic"), lambda r: ((f, r[1], r[2]) for f in [*features(r[0]), ""]),
         "feature string, bad int, toxic int",
     )
-    counts = rows.groupBy("feature").agg(F.count("*").alias("n"), *[F.sum(o).alias(o) for o in OUTCOMES]).where(
-        (F.col("n") >= MIN_SUPPORT) | (F.col("feature") == "")
-    ).persist()
+    counts = rows.groupBy("feature").agg(F.count("*").alias("n"), *[F.sum(o).alias(o) for o in OUTCOMES]).persist()
     model = Model()
     try:
         total = counts.where("feature = ''").first()
@@ -130,9 +131,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
                 continue
             hit, miss = F.col(outcome), F.col("n") - F.col(outcome)
             ratio = F.log((hit + 0.5) / (positive + 1)) - F.log((miss + 0.5) / (negative + 1))
-            best = counts.where("feature <> ''").select("feature", "n", ratio.alias("w")).where("abs(w) >= 1.5")
-            best = best.orderBy(F.desc(F.abs("w") * F.sqrt("n")), "feature").limit(MAX_FEATURES).collect()
-            model.weights[outcome] = {r["feature"]: max(-6.0, min(6.0, r["w"])) for r in best}
+            part = lambda k, share: F.when(k > 0, k * F.log(k / F.col("n") / share)).otherwise(0.0)
+            statistic = 2 * (part(hit, positive / total["n"]) + part(miss, negative / total["n"]))
+            best = counts.where("feature <> ''").select("feature", ratio.alias("w"), statistic.alias("g"))
+            best = best.where((F.col("w") >= MIN_RATIO) & (F.col("g") >= MIN_STATISTIC)).orderBy(F.desc("g"), "feature").limit(MAX_FEATURES).collect()
+            model.weights[outcome] = {r["feature"]: min(6.0, r["w"]) for r in best}
             model.rate[outcome] = positive / total["n"]
     finally:
         counts.unpersist()
