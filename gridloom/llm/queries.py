@@ -30,6 +30,12 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.round("p_bad", 6).alias("p_bad"), F.round("p_toxic", 6).alias("p_toxic"), "kept")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.mixing import mixture
+
+    return mixture(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 6))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
 
@@ -62,5 +68,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.personal_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_model, op5_jaccard_join, op7_secret_scan, op8_token_counts, op9_page_text, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_model, op4_mixing, op5_jaccard_join, op7_secret_scan, op8_token_counts, op9_page_text, op10_personal_data)}
 ORACLES: dict[str, str] = {"op1_quality_rules": rules.SQL, "op2_decontamination": overlap.SQL, "op5_jaccard_join": jaccard.SQL}
