@@ -34,8 +34,8 @@ from gridloom.session import materialise
 
 #: Buckets of shingle counts sent to every task: 1 MB, whatever the input.
 BUCKETS = 1 << 18
-#: Bits of the parity sketch of a set.
-SKETCH_BITS = 1024
+#: Bits of the parity sketch of a set, by the largest size that takes them. Sketches of other lengths are not compared.
+SKETCH_BITS = ((1_200, 1 << 10), (6_000, 1 << 12), (30_000, 1 << 14), (1 << 62, 1 << 16))
 #: Bits of the filter of sets worth sending: 8 MB, whatever the input. It may let others pass, never drop one.
 FILTER_BITS = 1 << 26
 #: Word hashes remembered by a worker.
@@ -116,7 +116,8 @@ def profiles(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
         order = np.lexsort((found, ranks[found & np.uint64(BUCKETS - 1)]))[:prefix_len]
         prefix = found[order]
         group = blake2b(prefix.tobytes(), digest_size=16, salt=n.to_bytes(8, "little")).digest()
-        odd = np.bincount((found >> np.uint64(54)).astype(np.int64), minlength=SKETCH_BITS) & 1
+        bits = next(bits for most, bits in SKETCH_BITS if n <= most)
+        odd = np.bincount((found >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
         sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
         return row[0], n, digest_of(found), group, prefix.view(np.int64).tolist(), sketch.tolist()
 
@@ -127,35 +128,53 @@ def profiles(docs: DataFrame, key: str, text: str, size: int, percent: int) -> D
     )
 
 
-def can_reach(x: str, y: str, percent: int) -> Column:
-    """Whether two list members can reach the threshold: sizes, places of the shared shingle, parity sketch."""
+def sizes_and_places(x: str, y: str, percent: int) -> Column:
+    """Whether two list members can reach the threshold, by their sizes and the places of the shared shingle."""
     c = lambda s, n: F.col(f"{s}.{n}")
-    both = c(x, "n") + c(y, "n")
-    need = F.ceil(percent * both / (100 + percent))
+    need = F.ceil(percent * (c(x, "n") + c(y, "n")) / (100 + percent))
     rest = F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos"))
-    differing = sum(F.bit_count(F.get(c(x, "sketch"), i).bitwiseXOR(F.get(c(y, "sketch"), i))) for i in range(SKETCH_BITS // 64))
     sizes = F.least(c(x, "n"), c(y, "n")) * 100 >= F.greatest(c(x, "n"), c(y, "n")) * percent
-    return sizes & (rest >= need) & (c(x, "multi") | c(y, "multi") | (differing <= both - 2 * need))
+    return (c(x, "token") == c(y, "token")) & (c(x, "node") != c(y, "node")) & sizes & (rest >= need)
 
 
-def posting_lists(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lists (token, node, n, pos, multi, sketch) of tokens in two groups or more, and members (node, member) of groups."""
+def can_reach(x: str, y: str, percent: int) -> Column:
+    """The same, and by the parity sketches; a node that stands for a group has none."""
+    c = lambda s, n: F.col(f"{s}.{n}")
+    both = c(x, "n") + c(y, "n")
+    most = both - 2 * F.ceil(percent * both / (100 + percent))
+    differing = F.aggregate(
+        F.zip_with(c(x, "sketch"), c(y, "sketch"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n
+    )
+    unlike = F.size(c(x, "sketch")) != F.size(c(y, "sketch"))
+    return sizes_and_places(x, y, percent) & (c(x, "multi") | c(y, "multi") | unlike | (differing <= most))
+
+
+def posting_lists(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists (token, node, n, pos, multi, sketch) of members that can reach another one, and members (node, member) of groups.
+
+    Members are first held against their lists without the sketch, so that only few rows carry one.
+    """
     groups = materialise(rows.where("n > 0").groupBy("grp").agg(
         F.min("set").alias("node"), (F.min("set") != F.max("set")).alias("multi"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.min_by("sketch", "set").alias("sketch"),
     ))
-    many = groups.where("multi").select("grp", "node")
-    members = rows.where("n > 0").join(many, "grp").groupBy("node", F.col("set").alias("member")).agg(
+    many = materialise(groups.where("multi").select("grp", "node"))  # few, and known to be few
+    members = materialise(rows.where("n > 0").join(many, "grp").groupBy("node", F.col("set").alias("member")).agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch")
-    )
+    ))
     entries = groups.select("node", "n", "multi", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    entries = entries.join(shared, "token", "left_semi").join(groups.select("node", "sketch"), "node")
+    entries = materialise(entries.join(shared, "token", "left_semi"))
+    entries = materialise(entries.alias("x").join(entries.alias("y"), sizes_and_places("x", "y", percent), "left_semi"))
+    drawn = entries.select("node").distinct().join(groups.select("node", "sketch"), "node")
+    entries = entries.join(drawn, "node")
     inside = members.select(
         F.xxhash64("node").alias("token"), F.col("member").alias("node"), "n", F.lit(0).alias("pos"), F.lit(False).alias("multi"), "sketch"
     )
     columns = ("token", "node", "n", "pos", "multi", "sketch")
-    return materialise(entries.select(*columns).unionByName(inside.select(*columns))), materialise(members.select("node", "member"))
+    lists = materialise(entries.select(*columns).unionByName(inside.select(*columns)))
+    lists = lists.alias("x").join(lists.alias("y"), can_reach("x", "y", percent), "left_semi")
+    return materialise(lists), members.select("node", "member")
 
 
 def sets_of(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> DataFrame:
@@ -188,7 +207,10 @@ def spark_hash(value: bytes) -> int:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The pairs (a, b) whose whole sets reach the threshold; only the sets of the pairs are dealt out."""
+    pairs = materialise(pairs)
+    named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
+    sets = sets.join(named, "set", "left_semi")
     left = sets.select(F.col("set").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("set").alias("b"), F.col("shingles").alias("sb"))
 
@@ -211,19 +233,15 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def set_components(docs: DataFrame, rows: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     """(node, root) of every set that is linked to another."""
-    lists, members = posting_lists(rows)
-    x, y = lists.alias("x"), lists.alias("y")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node"))
-    hopeful = x.join(y, meet & can_reach("x", "y", percent), "left_semi").select("node").distinct()
-    wanted = hopeful.join(members, "node", "left").select(F.explode(F.array("node", "member")).alias("set"))
+    lists, members = posting_lists(rows, percent)
+    wanted = lists.select("node").distinct().join(members, "node", "left").select(F.explode(F.array("node", "member")).alias("set"))
     wanted = materialise(wanted.where("set IS NOT NULL").distinct())
     sets = materialise(sets_of(docs, text, wanted, size))
 
-    lists = materialise(lists.join(hopeful, "node", "left_semi"))
     hubs = lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "multi", "sketch"), F.struct("pos", "n", "node")).alias("h"))
     hubs = hubs.select("token", "h.*")
     x, y = lists.alias("x"), hubs.alias("y")
-    first = x.join(y, meet & can_reach("x", "y", percent)).select(
+    first = x.join(y, can_reach("x", "y", percent)).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     ).distinct()
     links = materialise(verified(first, sets, percent))
@@ -240,7 +258,7 @@ def set_components(docs: DataFrame, rows: DataFrame, text: str, size: int, perce
     x, y = lists.where("outside").alias("x"), lists.alias("y")
     apart = F.coalesce(F.col("x.part") != F.col("y.part"), F.lit(True))
     once = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))
-    second = x.join(y, meet & once & apart & can_reach("x", "y", percent)).select(
+    second = x.join(y, once & apart & can_reach("x", "y", percent)).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b")
     ).distinct()
     more = materialise(verified(expanded(second, members), sets, percent))
