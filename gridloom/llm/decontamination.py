@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import lower_ascii, map_rows
+from gridloom.llm.common import free_name, lower_ascii, map_rows
 from gridloom.session import materialise
 
 SIZE, SHINGLE = 10, 3
@@ -150,6 +150,20 @@ def contamination(
     return map_rows(rows.join(found, "_row", "left").select(key, "n_words", "hits", "found"), check, schema)
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that hold no window of an item, with their own columns.
+
+    A document is known by a hash of its text, so the texts themselves are not dealt out: what is joined is the
+    hash of those that are hit.
+    """
+    own, hit = free_name(docs, "_text"), free_name(docs, "_hit")
+    name = lambda frame: frame.withColumn(own, F.concat(F.xxhash64(text).cast("string"), F.lit(":"), F.xxhash64(text, F.lit(1)).cast("string")))
+    found = contamination(name(docs.select(text)).select(own, text), benchmark, key=own, text=text)
+    found = materialise(found.where(F.size("windows") > 0).select(F.col(own).alias(hit)).distinct())
+    rows = name(docs)
+    return rows.join(found, F.col(own) == F.col(hit), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+
+
 def covered_words(windows: Column) -> Column:
     """Words inside any of the windows, given in order of their start."""
     step = lambda acc, w: F.struct(

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import map_rows
+from gridloom.llm.common import free_name, map_rows
 from gridloom.llm.components import components
 from gridloom.session import materialise
 
@@ -279,6 +279,29 @@ def near_duplicates(
     return full.unionByName(alone)
 
 
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, one of each component (least id, null ids last), with their own columns.
+
+    Only rows to be removed are joined to the documents. Rows with the same id and text are one document.
+    """
+    key = free_name(docs, "_key")
+    name = F.concat_ws(
+        ":", F.coalesce(F.lpad(F.col(ident).cast("string"), 20, "0"), F.lit("~")),
+        F.xxhash64(text).cast("string"), F.xxhash64(text, F.lit(1)).cast("string"),
+    )
+    rows = docs.withColumn(key, name)
+    found = near_duplicates(rows.select(key, text), size, percent, key, text).groupBy(key).agg(
+        F.min("component_id").alias("component_id"), F.count("*").alias("rows")
+    )
+    found = materialise(found.where((F.col(key) != F.col("component_id")) | (F.col("rows") > 1)))
+    kept = rows.join(found.where(F.col(key) != F.col("component_id")).select(key), key, "left_anti")
+    again = materialise(found.where(F.col(key) == F.col("component_id")).select(key))
+    if again.take(1):
+        repeated = kept.join(again, key, "left_semi").dropDuplicates([key])
+        kept = kept.join(again, key, "left_anti").unionByName(repeated)
+    return kept.select(*[f"`{c}`" for c in docs.columns])
+
+
 _SHINGLES = """
 d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),

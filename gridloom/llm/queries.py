@@ -40,6 +40,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.line_templates import clean_lines
+
+    rows, text, n_lines, n_dropped = clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.col(n_lines).alias("n_lines"), F.col(n_dropped).alias("n_dropped"), F.col(text).alias("text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm.secret_scan import digest, secret_spans
 
@@ -68,5 +75,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.personal_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_model, op4_mixing, op5_jaccard_join, op7_secret_scan, op8_token_counts, op9_page_text, op10_personal_data)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_model, op4_mixing, op5_jaccard_join, op6_line_templates, op7_secret_scan, op8_token_counts, op9_page_text, op10_personal_data)}
 ORACLES: dict[str, str] = {"op1_quality_rules": rules.SQL, "op2_decontamination": overlap.SQL, "op5_jaccard_join": jaccard.SQL}
