@@ -78,35 +78,31 @@ def running_maximum(frame: DataFrame, keys: list[str], order: str, value: str) -
 
 
 def fit_probability_maps(frame: DataFrame, keys: list[str], p: str, outcome: str) -> DataFrame:
-    """One isotonic map per key combination (regions x events, a handful): ``(keys, knots)``.
+    """One isotonic map per key combination (regions x events): ``(keys, knots)``, all keys in one plan.
 
-    Equal probabilities are pooled before any fit. With n scenarios there are at most n + 1
-    distinct ones, so a fit sees a table whose size does not grow with the hours. With fewer than
-    200 rows the knots are NULL, which maps as identity.
+    Equal probabilities are pooled before any fit. With n scenarios there are at most n + 1 distinct ones, so
+    the pairs of points below are bounded and do not grow with the hours. The fit at a point is the greatest,
+    over starts at or before it, of the least mean over ends at or after it. With fewer than 200 rows the knots
+    are NULL, which maps as identity.
     """
-    pooled = materialise(frame.groupBy(*keys, p).agg(F.sum(outcome).alias("_o"), F.count("*").alias("_n")))
-    spark = frame.sparkSession
-    rows = []
-    for key in pooled.select(*keys).distinct().collect():
-        part = pooled
-        for k in keys:
-            part = part.where(F.col(k) == key[k])
-        rows.append((*[key[k] for k in keys], _fit_pooled(part, p)))
-    schema = ", ".join(f"{k} string" for k in keys) + ", knots array<double>"
-    return spark.createDataFrame(rows, schema)
-
-
-def _fit_pooled(part: DataFrame, p: str) -> list[float] | None:
-    from pyspark.ml.regression import IsotonicRegression
-
-    total = part.agg(F.sum("_n")).first()[0]
-    if total is None or total < MIN_CALIBRATION_ROWS:
-        return None
-    data = part.select(F.col(p).cast("double").alias("features"), (F.col("_o") / F.col("_n")).alias("label"), F.col("_n").cast("double").alias("weight"))
-    model = IsotonicRegression(weightCol="weight").fit(data)
-    grid = part.sparkSession.range(KNOT_COUNT).select("id", (F.col("id") / (KNOT_COUNT - 1)).alias("features"))
-    inner = running_maximum(
-        model.transform(grid).select(F.lit(0).alias("k"), "id", F.when(F.col("id") == 0, 0.0).when(F.col("id") == KNOT_COUNT - 1, 1.0)
-        .otherwise(F.least(F.greatest("prediction", F.lit(0.0)), F.lit(1.0))).alias("y")), ["k"], "id", "y",
-    )
-    return [r["y"] for r in inner.orderBy("id").collect()]
+    pooled = frame.groupBy(*keys, F.col(p).cast("double").alias("_p")).agg(F.sum(F.col(outcome).cast("double")).alias("_o"), F.count("*").alias("_n"))
+    past = Window.partitionBy(*keys).orderBy("_p")
+    points = materialise(pooled.select(*keys, "_p", "_o", "_n", F.sum("_o").over(past).alias("_so"), F.sum("_n").over(past).alias("_sn"), F.row_number().over(past).alias("_i")))
+    starts = points.select(*keys, F.col("_i").alias("_j"), (F.col("_so") - F.col("_o")).alias("_bo"), (F.col("_sn") - F.col("_n")).alias("_bn"))
+    means = points.join(starts, keys).where("_j <= _i").withColumn("_mean", (F.col("_so") - F.col("_bo")) / (F.col("_sn") - F.col("_bn")))
+    least = F.min("_mean").over(Window.partitionBy(*keys, "_j").orderBy(F.desc("_i")))
+    fits = means.withColumn("_least", least).groupBy(*keys, "_i", "_p").agg(F.max("_least").alias("_fit"))
+    shapes = fits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_p", "_fit"))).alias("_f"))
+    shapes = shapes.join(points.groupBy(*keys).agg(F.sum("_n").alias("_rows")), keys)
+
+    def at(g):
+        below = F.try_element_at(F.filter("_f", lambda x: x["_p"] <= g), F.lit(-1))
+        above = F.try_element_at(F.filter("_f", lambda x: x["_p"] >= g), F.lit(1))
+        part = (g - below["_p"]) / (above["_p"] - below["_p"])
+        between = F.when(above["_p"] == below["_p"], below["_fit"]).otherwise(below["_fit"] + part * (above["_fit"] - below["_fit"]))
+        return F.least(F.greatest(F.coalesce(between, below["_fit"], above["_fit"]), F.lit(0.0)), F.lit(1.0))
+
+    grid = [at(F.lit(i / (KNOT_COUNT - 1))) for i in range(1, KNOT_COUNT - 1)]
+    shapes = shapes.withColumn("_y", F.array(F.lit(0.0), *grid, F.lit(1.0)))
+    rising = F.transform("_y", lambda _, i: F.array_max(F.slice(F.col("_y"), F.lit(1), i + 1)))
+    return shapes.select(*[F.col(k).cast("string").alias(k) for k in keys], F.when(F.col("_rows") >= MIN_CALIBRATION_ROWS, rising).alias("knots"))

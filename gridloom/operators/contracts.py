@@ -58,14 +58,14 @@ MARKET = Contract(
     "market",
     {
         "valid_time_utc": "timestamp", "region": "string", "demand_mw": "double",
-        "available_generation_mw": "double", "operator_demand_forecast_mw": "double",
+        "available_generation_mw": "double", "aemo_demand_forecast_mw": "double",
         "net_interchange_mw": "double", "solar_uigf_mw": "double", "wind_uigf_mw": "double",
         "solar_cleared_mw": "double", "wind_cleared_mw": "double", "battery_energy_mwh": "double",
         "rrp_aud_mwh": "double", "rooftop_pv_mw": "double", "solar_curtailed_mw": "double",
         "wind_curtailed_mw": "double",
     },
     ("region", "valid_time_utc"),
-    frozenset({"operator_demand_forecast_mw", "battery_energy_mwh", "rooftop_pv_mw"}),
+    frozenset({"aemo_demand_forecast_mw", "battery_energy_mwh", "rooftop_pv_mw"}),
 )
 
 

@@ -1,10 +1,10 @@
 """Exact order statistics for groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task. That is fine for groups bounded by
-a calendar or an ensemble, and not for pooled error scores. ``exact_quantiles`` gives the same
-numbers from three aggregations: a mergeable sketch proposes a narrow bracket around each wanted
-rank, exact counts say on which side of the bracket the rank falls, and only that side's distinct
-values are ordered. The sketch affects speed, never the result.
+a calendar or an ensemble, and not for pooled error scores. ``exact_quantiles`` gives the same numbers
+by narrowing a bracket around each wanted rank: a mergeable sketch proposes edges, exact counts say
+between which two of them the rank lies, and this is repeated until a bracket holds at most ``bracket``
+distinct values, which are then ordered. The sketch affects the number of rounds, never the result.
 """
 
 from __future__ import annotations
@@ -12,8 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import materialise
+
 ACCURACY = 10_000
 SALTS = 32
+#: Distinct values ordered in one task at most, and edges tried in one round.
+BRACKET, PROBES = 200_000, 64
 
 
 def _rank_struct(level: Column, n: Column, method: str) -> Column:
@@ -41,6 +45,7 @@ def exact_quantiles(
     method: str = "linear",
     adjust=None,
     accuracy: int = ACCURACY,
+    bracket: int = BRACKET,
     out: str = "quantile",
 ) -> DataFrame:
     """``(keys, level, n, quantile)`` per group. ``adjust(level, n)`` may move a level by group size.
@@ -48,43 +53,52 @@ def exact_quantiles(
     ``linear`` interpolates like ``percentile``; ``higher`` takes the next order statistic.
     """
     data = frame.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    margin = 4.0 / accuracy
-    bounds = [min(max(q + s * margin, 0.0), 1.0) for q in levels for s in (-1, 1)]
-    sketch = data.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.percentile_approx("_v", bounds, accuracy).alias("_b")
-    )
-    brackets = sketch.select(
-        *keys, "n",
-        F.explode(F.array(*[
-            F.struct(F.lit(float(q)).alias("level"), F.col("_b")[2 * i].alias("lo"), F.col("_b")[2 * i + 1].alias("hi"))
-            for i, q in enumerate(levels)
-        ])).alias("_k"),
-    ).select(*keys, "n", "_k.*")
-    # Side of the bracket per distinct value; repeats collapse before anything is ordered. The join is
-    # salted by value, so a group holding most of the rows is spread over many tasks.
-    distinct = data.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    salted = distinct.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
-    spread = brackets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    sided = salted.join(spread, [*keys, "_salt"]).drop("_salt").withColumn(
-        "_side", F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") <= F.col("hi"), 1).otherwise(2)
-    )
-    sizes = sided.groupBy(*keys, "level", "n").agg(
-        *[F.sum(F.when(F.col("_side") == s, F.col("_c")).otherwise(0)).alias(f"_s{s}") for s in (0, 1)]
-    )
+    # Repeats collapse here, and everything below reads this table: the input itself is read once.
+    distinct = materialise(data.groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
+    sizes = distinct.groupBy(*keys).agg(F.sum("_c").alias("n"))
     level = adjust(F.col("level"), F.col("n")) if adjust else F.col("level")
-    wanted = sizes.select(
-        *keys, "level", "n", "_s0", "_s1", F.explode(_rank_struct(level, F.col("n"), method)).alias("_r")
-    ).select(*keys, "level", "n", "_s0", "_s1", "_r.rank", "_r.weight")
-    below = F.col("_s0") + F.col("_s1")
-    targets = wanted.select(
-        *keys, "level", "n", "weight", "rank",
-        F.when(F.col("rank") <= F.col("_s0"), 0).when(F.col("rank") <= below, 1).otherwise(2).alias("_side"),
-        F.when(F.col("rank") <= F.col("_s0"), F.lit(0)).when(F.col("rank") <= below, F.col("_s0")).otherwise(below).alias("_skip"),
-    )
-    on = [*keys, "level", "_side"]
-    hit = sided.drop("n").join(targets, on)
+    wanted = sizes.select(*keys, "n", F.explode(F.array(*[F.lit(float(q)) for q in levels])).alias("level")).select(
+        *keys, "level", "n", F.explode(_rank_struct(level, F.col("n"), method)).alias("_r")
+    ).select(*keys, "level", "n", "_r.rank", "_r.weight")
+    # Targets: one row per wanted rank, with the values it still lies between (lo, hi] and the rows at or below lo.
+    targets = materialise(wanted.select(
+        *keys, "level", "n", "rank", "weight", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0).cast("long").alias("_skip")
+    ))
+    while True:
+        inside = _spread(distinct, targets, keys)
+        counts = inside.groupBy(*keys, "level", "rank").agg(F.count("*").alias("_m"))
+        widest = counts.agg(F.max("_m")).first()[0] or 0
+        if widest <= bracket:
+            break
+        # The rank's place inside its bracket as a share of the rows there proposes a narrower one.
+        probes = inside.groupBy(*keys, "level", "rank").agg(
+            # The mean always has values on both sides, so every round narrows, however poor the sketch.
+            F.concat(F.percentile_approx("_v", [i / PROBES for i in range(PROBES + 1)], accuracy), F.array(F.avg("_v"))).alias("_b"),
+        )
+        cut = targets.join(probes, [*keys, "level", "rank"])
+        steps = materialise(cut.select(*keys, "level", "rank", F.explode(F.array_distinct("_b")).alias("_edge")))
+        below = _spread(distinct, steps.join(targets, [*keys, "level", "rank"]), keys).where(F.col("_v") <= F.col("_edge"))
+        below = below.groupBy(*keys, "level", "rank", "_edge").agg(F.sum("_c").alias("_upto"), F.max("_skip").alias("_s"))
+        edges = below.select(*keys, "level", "rank", "_edge", (F.col("_upto") + F.col("_s")).alias("_upto"))
+        edges = edges.groupBy(*keys, "level", "rank").agg(
+            F.max(F.when(F.col("_upto") < F.col("rank"), F.col("_edge"))).alias("_lo"),
+            F.max(F.when(F.col("_upto") < F.col("rank"), F.col("_upto"))).alias("_low_skip"),
+            F.min(F.when(F.col("_upto") >= F.col("rank"), F.col("_edge"))).alias("_hi"),
+        )
+        targets = materialise(targets.join(edges, [*keys, "level", "rank"], "left").select(
+            *keys, "level", "n", "rank", "weight",
+            F.coalesce("_lo", "lo").alias("lo"), F.coalesce("_hi", "hi").alias("hi"), F.coalesce("_low_skip", "_skip").alias("_skip"),
+        ))
     w = Window.partitionBy(*keys, "level", "rank").orderBy("_v")
-    counted = hit.withColumn("_upto", F.sum("_c").over(w) + F.col("_skip"))
+    counted = inside.withColumn("_upto", F.sum("_c").over(w) + F.col("_skip"))
     chosen = counted.where((F.col("_upto") >= F.col("rank")) & (F.col("_upto") - F.col("_c") < F.col("rank")))
     # With linear weights both ranks may be one row (n = 1); weights then still sum to one.
     return chosen.groupBy(*keys, "level", "n").agg(F.sum(F.col("_v") * F.col("weight")).alias(out))
+
+
+def _spread(distinct: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct values inside the bracket of each target. The join is salted by value, so that a group with
+    most of the rows is many tasks."""
+    salted = distinct.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    copies = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt").where((F.col("_v") > F.col("lo")) & (F.col("_v") <= F.col("hi")))

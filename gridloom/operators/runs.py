@@ -43,16 +43,18 @@ def runs_where(
 def event_runs(points: DataFrame, kind: str, *, threshold: float = 0.5, min_hours: int = 2) -> DataFrame:
     """Hours in a row whose probability is at or over the threshold: span, peak, energy.
 
-    Values stay unrounded; rounding belongs to the export.
+    A run ends at the end of its window (``window_start``, where points have one) and at a hole in the
+    clock. Values stay unrounded; rounding belongs to the export.
     """
     p = F.col(f"p_{kind}")
+    keys = [c for c in ("region", "window_start") if c in points.columns]
     found = runs_where(
-        points, ["region"], "valid_time", p >= threshold,
+        points, keys, "valid_time", p >= threshold,
         [F.max(p).alias("peak_probability"), F.sum(f"expected_{kind}_mw").alias("energy_mwh")],
-        min_length=min_hours,
+        min_length=min_hours, step_seconds=3600,
     )
     return found.select(
-        "region", F.lit(kind).alias("kind"), F.col("starts").alias("from_utc"), F.col("ends").alias("to_utc"),
+        *keys, F.lit(kind).alias("kind"), F.col("starts").alias("from_utc"), F.col("ends").alias("to_utc"),
         F.col("length").alias("hours"), "peak_probability", "energy_mwh",
     )
 

@@ -28,9 +28,16 @@ def _plus_hours(ts: Column, hours: Column) -> Column:
 
 
 def error_store(frame: DataFrame, lead: int = 24) -> DataFrame:
-    """(actual - p50) / capacity at one lead, averaged per (hour, site): the long store."""
-    at_lead = frame.where((F.col("horizon_h") == lead) & F.col("actual_mw").isNotNull())
-    error = (F.col("actual_mw") - F.col("p50_mw")) / F.col("capacity_mw")
+    """(actual - p50) / capacity at one lead, averaged per (hour, site): the long store.
+
+    A corpus without that lead is read at its most common one.
+    """
+    known = frame.where(F.col("actual_mw").isNotNull())
+    chosen = known.groupBy("horizon_h").agg(F.count("*").alias("_n")).agg(
+        F.max_by("horizon_h", F.struct((F.col("horizon_h") == lead).cast("int"), "_n", -F.col("horizon_h"))).alias("h")
+    ).scalar()
+    at_lead = known.where(F.col("horizon_h") == chosen)
+    error = (F.col("actual_mw") - F.col("p50_mw")) / F.greatest("capacity_mw", F.lit(1e-6))
     return at_lead.groupBy("region", "tech", "site_id", "valid_time").agg(F.avg(error).alias("residual"))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.resample import keep_one
 from gridloom.functions import bands, clock
 from gridloom.operators import runs
 from gridloom.operators.walk import saturating_totals
@@ -27,7 +28,9 @@ def zone_of(region: Column, zones: dict[str, str]) -> Column:
 
 
 def local_balance(market: DataFrame, zones: dict[str, str]) -> DataFrame:
-    """Regional history on the local clock with the balance columns."""
+    """Regional history on the local clock with the balance columns; a repeated hour of a region counts once."""
+    names = market.columns
+    market = keep_one(market, ["region", "valid_time"], [c for c in names if c not in ("region", "valid_time")]).select(*names)
     local = clock.local_time(F.col("valid_time"), zone_of(F.col("region"), zones))
     zero = F.lit(0.0)
     renewable = F.coalesce("solar_uigf_mw", zero) + F.coalesce("wind_uigf_mw", zero)

@@ -6,6 +6,8 @@ Time cutoffs are scalar subqueries in the plan; no value travels through the dri
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,7 +108,9 @@ def time_blocks(frame: DataFrame) -> DataFrame:
 def site_folds(sites: DataFrame, k: int) -> DataFrame:
     """Sites dealt round-robin over ``k`` folds in id order; fewer sites than folds get one each."""
     unique = sites.select("site_id").distinct()
-    ranked = distributed_rank(unique, F.col("site_id"), prefix=3)
+    # What the least and the greatest id begin with, all do; ranks are split by the three characters after it.
+    ends = unique.agg(F.coalesce(F.min("site_id"), F.lit("")), F.coalesce(F.max("site_id"), F.lit(""))).first()
+    ranked = distributed_rank(unique, F.col("site_id"), prefix=len(os.path.commonprefix(list(ends))) + 3)
     return ranked.select("site_id", F.pmod(F.col("rank") - 1, F.lit(k)).cast("int").alias("fold"))
 
 

@@ -36,11 +36,11 @@ def build(store: DataFrame, demand: DataFrame, headroom: DataFrame, *, hours: in
 
 
 def payload(points: DataFrame) -> DataFrame:
-    """One nested document per region: points and events. A window is at most 72 hours."""
+    """One nested document per region and window: points and events. A window is at most 72 hours."""
     fields = [c for c in points.columns if c not in ("region", "window_start", "valid_time")]
     body = nest(points, ["region", "window_start"], "valid_time", fields)
-    events = nest(balance.all_event_runs(points), ["region"], "from_utc", ["kind", "to_utc", "hours", "peak_probability", "energy_mwh"], "events")
-    return body.join(events, "region", "left")
+    events = nest(balance.all_event_runs(points), ["region", "window_start"], "from_utc", ["kind", "to_utc", "hours", "peak_probability", "energy_mwh"], "events")
+    return body.join(events, ["region", "window_start"], "left")
 
 
 def scored_windows(

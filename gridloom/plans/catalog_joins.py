@@ -36,6 +36,28 @@ def _(t):
     return stations.match_units(units, codes)
 
 
+@query("unit_resolution", "D2 A5", "unit station tech capacity_mw:f", """
+    WITH u AS (SELECT DISTINCT p_brand || repeat('X', 40) || '_' || CAST(p_size % 7 AS VARCHAR) AS unit, p_brand, p_size % 7 AS k FROM part),
+    s AS (SELECT DISTINCT p_brand || repeat('X', CAST(CASE WHEN p_size % 2 = 0 THEN 36 ELSE 2 END AS INTEGER)) AS station, CASE WHEN p_size % 2 = 0 THEN 'solar' ELSE 'wind' END AS tech,
+          CASE WHEN p_size % 2 = 0 THEN CAST(40 AS DOUBLE) ELSE CAST(60 AS DOUBLE) END AS capacity_mw FROM part),
+    c AS (SELECT u.unit, s.station, 0 AS a, length(s.station) AS n FROM u JOIN s ON starts_with(u.unit, s.station)
+          UNION ALL SELECT u.unit, u.p_brand || 'XX', 1, 0 FROM u JOIN s ON s.station = u.p_brand || 'XX' WHERE k = 3)
+    SELECT unit, s.station, s.tech, s.capacity_mw FROM (SELECT unit, station, row_number() OVER (PARTITION BY unit ORDER BY a DESC, n DESC) AS r FROM c) x JOIN s ON s.station = x.station WHERE r = 1""")
+def _(t):
+    part = t.t("part")
+    units = part.select(F.concat("p_brand", F.repeat(F.lit("X"), 40), F.lit("_"), (F.col("p_size") % 7).cast("string")).alias("unit"), "p_brand", (F.col("p_size") % 7).alias("k")).distinct()
+    long = F.col("p_size") % 2 == 0
+    known = part.select(
+        F.when(long, F.concat("p_brand", F.repeat(F.lit("X"), 36))).otherwise(F.concat("p_brand", F.lit("XX"))).alias("station"),
+        F.array(F.when(long, F.lit("solar_utility")).otherwise(F.lit("wind"))).alias("fuels"), F.lit(True).alias("operating"),
+        F.when(long, 40.0).otherwise(60.0).alias("capacity_mw"), F.lit(0.0).alias("latitude"), F.lit(0.0).alias("longitude"), F.lit("NSW").alias("state"),
+    ).distinct()
+    allocation = units.where("k IN (3, 4)").select(
+        "unit", F.when(F.col("k") == 3, F.concat("p_brand", F.lit("XX"))).otherwise(F.lit("NOWHERE")).alias("station")
+    )
+    return stations.resolve_units(units.select("unit"), known, allocation).select("unit", "station", "tech", "capacity_mw")
+
+
 @query("semi_and_anti_units", "D3 E4", "site_id valid_time:t power_mw:f", """
     SELECT site_id, valid_time, power_mw FROM x_hourly h WHERE site_id IN (SELECT site_id FROM x_sites WHERE tech = 'solar')
       AND site_id NOT IN (SELECT site_id FROM x_hourly GROUP BY site_id HAVING count(*) < 430)""")

@@ -50,6 +50,7 @@ def _(t):
     lines = t.t("orders").select(
         F.concat_ws(",", F.lit("D"), F.lit("REG"), F.lit("UNITS"), F.lit("2"),
                     F.concat(F.lit("U"), F.col("o_custkey").cast("string")),
+                    F.date_format("o_orderdate", STAMP_FORMAT),
                     F.concat(F.lit("ST"), (F.col("o_orderkey") % 37).cast("string"))).alias("line"),
         F.col("o_orderkey").alias("row_order"),
     )
@@ -57,23 +58,30 @@ def _(t):
 
 
 def _market_lines(t):
-    """Two header vintages: files of odd users lack the wind column and order fields differently."""
+    """Files with quoted commas, sections and short rows.
+
+    Odd files are of an older vintage without the wind column and order fields differently. Even files hold a
+    second section (every 7th event) with an order of its own, a quoted remark, and rows cut short (every 17th).
+    """
     e = t.events.withColumn("file", F.concat(F.lit("m"), (F.col("user_id") % 6).cast("string")))
     late = F.col("user_id") % 2 == 0
     stamp = F.date_format("ts", STAMP_FORMAT)
     region = F.concat(F.lit("R"), (F.col("user_id") % 5).cast("string"))
     intervention = F.when(F.col("event_id") % 13 == 0, "1").otherwise("0")
     value = F.col("value").cast("string")
-    new = F.concat_ws(",", F.lit("D"), F.lit("D"), F.lit("SUM"), F.lit("4"), stamp, region, intervention, value,
-                      (F.col("value") * 2).cast("string"))
+    wind = F.when(F.col("event_id") % 17 != 0, (F.col("value") * 2).cast("string"))
+    new = F.concat_ws(",", F.lit("D"), F.lit("D"), F.lit("SUM"), F.lit("4"), stamp, F.lit('"late, ""held"""'), region, intervention, value, wind)
+    alt = F.concat_ws(",", F.lit("D"), F.lit("D"), F.lit("ALT"), F.lit("1"), region, value, F.concat(F.lit('"'), stamp, F.lit('"')), intervention)
+    new = F.when(F.col("event_id") % 7 == 0, alt).otherwise(new)
     old = F.concat_ws(",", F.lit("D"), F.lit("D"), F.lit("SUM"), F.lit("3"), region, stamp, value, intervention)
     rows = e.select("file", F.when(late, new).otherwise(old).alias("line"))
-    names_new = F.lit("I,D,SUM,4,SETTLEMENTDATE,REGIONID,INTERVENTION,TOTALDEMAND,SS_WIND_UIGF")
+    names_new = F.lit('I,D,SUM,4,SETTLEMENTDATE,"RE, MARK",REGIONID,INTERVENTION,TOTALDEMAND,SS_WIND_UIGF')
     names_old = F.lit("I,D,SUM,3,REGIONID,SETTLEMENTDATE,TOTALDEMAND,INTERVENTION")
     heads = e.select("file", late.alias("late")).distinct().select(
         "file", F.when(F.col("late"), names_new).otherwise(names_old).alias("line")
     )
-    return rows.unionByName(heads)
+    second = e.where(late).select("file", F.lit("I,D,ALT,1,REGIONID,TOTALDEMAND,SETTLEMENTDATE,INTERVENTION").alias("line")).distinct()
+    return rows.unionByName(heads).unionByName(second)
 
 
 _MARKET_FIELDS = {"TOTALDEMAND": "demand_mw", "SS_WIND_UIGF": "wind_uigf_mw", "NETINTERCHANGE": "net_interchange_mw"}
@@ -82,15 +90,15 @@ _MARKET_FIELDS = {"TOTALDEMAND": "demand_mw", "SS_WIND_UIGF": "wind_uigf_mw", "N
 @query("market_header_scan", "A2", "file region stamp demand_mw:f wind_uigf_mw:f net_interchange_mw:f", """
     SELECT 'm' || CAST(user_id % 6 AS VARCHAR) AS file, 'R' || CAST(user_id % 5 AS VARCHAR) AS region,
            strftime(ts, '%Y/%m/%d %H:%M:%S') AS stamp, value AS demand_mw,
-           CASE WHEN user_id % 2 = 0 THEN value * 2 END AS wind_uigf_mw, CAST(NULL AS DOUBLE) AS net_interchange_mw
-    FROM events WHERE event_id % 13 <> 0""")
+           CASE WHEN user_id % 2 = 0 AND event_id % 7 <> 0 THEN value * 2 END AS wind_uigf_mw, CAST(NULL AS DOUBLE) AS net_interchange_mw
+    FROM events WHERE event_id % 13 <> 0 AND (user_id % 2 = 1 OR event_id % 7 = 0 OR event_id % 17 <> 0)""")
 def _(t):
     return market.parse_table(_market_lines(t), _MARKET_FIELDS, "SETTLEMENTDATE", filters={"INTERVENTION": "0"})
 
 
 @query("market_file_status", "A18", "file rows:i status", """
-    SELECT 'm' || CAST(user_id % 6 AS VARCHAR) AS file, count(CASE WHEN user_id % 2 = 0 THEN 1 END) AS rows,
-           CASE WHEN count(CASE WHEN user_id % 2 = 0 THEN 1 END) > 0 THEN 'loaded' ELSE 'skipped' END AS status
+    SELECT 'm' || CAST(user_id % 6 AS VARCHAR) AS file, count(CASE WHEN user_id % 2 = 0 AND event_id % 7 <> 0 AND event_id % 17 <> 0 THEN 1 END) AS rows,
+           CASE WHEN count(CASE WHEN user_id % 2 = 0 AND event_id % 7 <> 0 AND event_id % 17 <> 0 THEN 1 END) > 0 THEN 'loaded' ELSE 'skipped' END AS status
     FROM events GROUP BY 1""")
 def _(t):
     lines = _market_lines(t)

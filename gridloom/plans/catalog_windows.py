@@ -50,7 +50,7 @@ def _(t):
 _RUN_SQL = """
     SELECT region, {label} min(valid_time) AS from_utc, max(valid_time) AS to_utc, count(*) AS hours, max(p) AS peak_probability, sum(e) AS energy_mwh FROM (
       SELECT *, sum(n) OVER (PARTITION BY region ORDER BY valid_time) AS run FROM (
-        SELECT *, CASE WHEN f = lag(f) OVER (PARTITION BY region ORDER BY valid_time) THEN 0 ELSE 1 END AS n FROM (
+        SELECT *, CASE WHEN f = lag(f) OVER (PARTITION BY region ORDER BY valid_time) AND lag(valid_time) OVER (PARTITION BY region ORDER BY valid_time) = valid_time - INTERVAL 1 HOUR THEN 0 ELSE 1 END AS n FROM (
           SELECT region, valid_time, demand_mw / 100 AS p, coalesce(wind_uigf_mw, 0) AS e, demand_mw / 100 >= 0.3 AS f FROM x_market)))
     WHERE f GROUP BY region, run HAVING count(*) >= 2"""
 

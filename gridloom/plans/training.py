@@ -21,7 +21,6 @@ from gridloom.operators.quantiles import exact_quantiles
 from gridloom.session import materialise
 
 BINS = 10
-MIN_BIN_ROWS = 50
 BOOKKEEPING = ("site_id", "region", "tech", "valid_time", "issue_time", "power_mw", "denominator_mw", "target", "split", "clearsky_mw")
 
 
@@ -76,7 +75,7 @@ def _residual_table(scored: DataFrame) -> DataFrame:
     return q.groupBy("lead_bucket", "bin").agg(
         F.max("n").alias("n"), F.max(F.when(F.col("level") < 0.5, F.col("quantile"))).alias("lo"),
         F.max(F.when(F.col("level") > 0.5, F.col("quantile"))).alias("hi"),
-    ).where((F.col("bin") == -1) | (F.col("n") >= MIN_BIN_ROWS))
+    )
 
 
 def _with_raw_band(scored: DataFrame, table: DataFrame) -> DataFrame:

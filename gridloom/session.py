@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import os
+import re
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,12 +56,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a laptop)
-    is a folder of our own taken and recorded in the session.
+    A cluster names it in ``spark.checkpoint.dir``; without it a cluster session is refused, since a folder
+    of one machine's own would hold only part of a table. A session on one machine (tests, a laptop) may leave
+    it unset: a folder of its own is then taken, recorded in the session and removed when Python ends.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="gridloom-")
+        if not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = os.path.abspath(f"spark-warehouse/.gridloom-{uuid.uuid4().hex}")
+        os.makedirs(path)
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(path)

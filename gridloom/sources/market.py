@@ -11,7 +11,7 @@ from gridloom.sources.meter import read_lines
 DISPATCH_FIELDS = {
     "TOTALDEMAND": "demand_mw",
     "AVAILABLEGENERATION": "available_generation_mw",
-    "DEMANDFORECAST": "operator_demand_forecast_mw",
+    "DEMANDFORECAST": "aemo_demand_forecast_mw",
     "NETINTERCHANGE": "net_interchange_mw",
     "SS_SOLAR_UIGF": "solar_uigf_mw",
     "SS_WIND_UIGF": "wind_uigf_mw",
@@ -23,14 +23,26 @@ PRICE_FIELDS = {"RRP": "rrp_aud_mwh"}
 ROOFTOP_FIELDS = {"POWER": "rooftop_pv_mw"}
 
 
+# A field is quoted, with doubled quotes inside, or runs to the next comma.
+FIELD = '(?:^|,)("(?:[^"]|"")*+"|[^,"]*+)'
+
+
 def _values() -> Column:
-    return F.transform(F.split("line", ","), lambda v: F.trim(v, F.lit('"')))
+    def plain(v: Column) -> Column:
+        return F.when(v.startswith('"'), F.replace(F.substring(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v)
+
+    return F.transform(F.regexp_extract_all("line", F.lit(FIELD), F.lit(1)), plain)
+
+
+def _section(values: Column) -> Column:
+    """Table and version, the three fields that a header shares with its data rows."""
+    return F.slice(values, 2, 3)
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """One row per file: its column names. Later ``I`` rows of a file do not occur by format."""
-    heads = lines.where(F.col("line").startswith("I,"))
-    return heads.groupBy("file").agg(F.max(_values()).alias("names"))
+    """One row per file and section: its column names. A section's header is the same wherever it is repeated."""
+    heads = lines.where(F.col("line").startswith("I,")).select("file", _values().alias("names"))
+    return heads.groupBy("file", _section(F.col("names")).alias("section")).agg(F.max("names").alias("names"))
 
 
 def parse_table(
@@ -43,12 +55,18 @@ def parse_table(
 ) -> DataFrame:
     """Data rows projected by name: ``file, key, stamp`` and one double per field.
 
-    A column that a file's header lacks is NULL; ``filters`` keep rows equal by text. Files of
-    several vintages come out as one table. The header side holds one row per file and its join
-    strategy is left to the optimizer, which knows its size.
+    A column that a section's header lacks is NULL; ``filters`` keep rows equal by text. Sections
+    whose header lacks the key or the time hold other tables and are passed over, and a row too short
+    for a column that its header names is dropped. Files of several vintages come out as one table.
+    The header side holds a few rows per file and its join strategy is left to the optimizer, which
+    knows its size.
     """
     rows = lines.where(F.col("line").startswith("D,")).select("file", _values().alias("vals"))
-    named = rows.join(headers(lines), "file")
+    named = rows.withColumn("section", _section(F.col("vals"))).join(headers(lines), ["file", "section"])
+    named = named.where(F.array_contains("names", key) & F.array_contains("names", time_column))
+    wanted = [key, time_column, *fields, *(filters or {})]
+    last = F.array_max(F.array(*[F.array_position("names", c) for c in wanted]))
+    named = named.where(F.size("vals") >= last)
 
     def at(name: str) -> Column:
         place = F.array_position("names", name).cast("int")
@@ -65,7 +83,7 @@ def parse_table(
 
 
 def missing_required(lines: DataFrame, required: list[str]) -> DataFrame:
-    """Files whose header lacks a required column, with the missing names."""
+    """Files with a section that lacks a required column, with the missing names."""
     absent = F.array_except(F.array(*[F.lit(c) for c in required]), F.col("names"))
     return headers(lines).select("file", absent.alias("missing")).where(F.size("missing") > 0)
 

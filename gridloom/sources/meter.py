@@ -52,8 +52,11 @@ def distinct_units(readings: DataFrame) -> DataFrame:
 
 
 def unit_stations(lines: DataFrame, order: str = "row_order") -> DataFrame:
-    """Unit to station from data records (fields 4 and 5); the later row wins."""
-    rows = data_records(lines, 6).select(
-        F.trim(F.col("r.f4")).alias("unit"), F.trim(F.col("r.f5")).alias("station"), order
+    """Unit to station from data records with more than six fields (fields 4 and 6); the later row wins.
+
+    Field 5 is the date from which the allocation holds.
+    """
+    rows = data_records(lines, 7).select(
+        F.trim(F.col("r.f4")).alias("unit"), F.trim(F.col("r.f6")).alias("station"), order
     )
     return rows.groupBy("unit").agg(F.max_by("station", order).alias("station"))

@@ -72,27 +72,36 @@ def station_tech(fuels: Column) -> Column:
     )
 
 
-def match_units(units: DataFrame, stations: DataFrame, *, shortest: int = 1, longest: int = 32) -> DataFrame:
+def match_units(units: DataFrame, stations: DataFrame) -> DataFrame:
     """Station of each unit code: exact code first, else the longest station code it starts with.
 
-    Instead of comparing every unit with every station, each unit is expanded to its own prefixes
-    (at most ``longest``) and equi-joined on the code; the exact code is the longest prefix. Work
-    is linear in units and nothing is broadcast.
+    Instead of comparing every unit with every station, each unit is expanded to its own prefixes, up to
+    the longest station code there is, and equi-joined on the code; the exact code is the longest prefix.
+    Work is linear in units and nothing is broadcast.
     """
-    lengths = F.sequence(F.lit(shortest), F.least(F.length("unit"), F.lit(longest)))
-    prefixes = units.select("unit", F.explode(lengths).alias("n")).select(
+    longest = stations.agg(F.coalesce(F.max(F.length("station")), F.lit(0)).alias("n")).scalar()
+    bounded = units.where(F.length("unit") > 0).withColumn("_most", F.least(F.length("unit"), longest)).where("_most > 0")
+    prefixes = bounded.select("unit", F.explode(F.sequence(F.lit(1), F.col("_most"))).alias("n")).select(
         "unit", "n", F.substring("unit", F.lit(1), F.col("n")).alias("station")
     )
     best = prefixes.join(stations, "station").groupBy("unit").agg(F.max_by("station", "n").alias("station"))
     return best.select("unit", "station", (F.col("unit") == F.col("station")).alias("exact"))
 
 
-def resolve_units(units: DataFrame, stations: DataFrame) -> DataFrame:
-    """Units matched to operating solar or wind stations with positive capacity."""
+def resolve_units(units: DataFrame, stations: DataFrame, allocation: DataFrame | None = None) -> DataFrame:
+    """Units matched to operating solar or wind stations with positive capacity.
+
+    An ``allocation`` (unit, station) that names a known station decides; other units go by code.
+    """
     usable = stations.withColumn("tech", station_tech(F.col("fuels"))).where(
         F.col("operating") & (F.col("capacity_mw") > 0) & F.col("tech").isNotNull()
     )
-    return match_units(units, stations.select("station")).join(
+    matched = match_units(units, stations.select("station")).select("unit", "station", F.lit(0).alias("_rank"))
+    if allocation is not None:
+        given = allocation.join(units.select("unit"), "unit", "left_semi").join(stations.select("station"), "station", "left_semi")
+        matched = matched.unionByName(given.select("unit", "station", F.lit(1).alias("_rank")))
+        matched = matched.groupBy("unit").agg(F.max_by("station", "_rank").alias("station"))
+    return matched.drop("_rank").join(
         usable.select("station", "tech", "capacity_mw", "latitude", "longitude", "state"), "station"
     )
 

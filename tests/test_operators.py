@@ -61,6 +61,11 @@ def test_exact_quantiles_equal_numpy(spark, shape):
         got = {r.level: r.quantile for r in exact_quantiles(frame, ["k"], "v", [0.1, 0.5, 0.995], accuracy=accuracy).collect()}
         for q, x in got.items():
             assert x == pytest.approx(np.quantile(values, q), abs=1e-12)
+    # Brackets of a few values: many rounds, a sketch that knows next to nothing, one group with every row.
+    for bracket, accuracy in ((3, 10_000), (2, 1)):
+        got = {r.level: r.quantile for r in exact_quantiles(frame, ["k"], "v", [0.1, 0.5, 0.995], accuracy=accuracy, bracket=bracket).collect()}
+        for level, value in got.items():
+            assert value == pytest.approx(np.quantile(values, level))
     high = exact_quantiles(frame, ["k"], "v", [0.8], method="higher").first().quantile
     assert high == np.quantile(values, 0.8, method="higher")
 
