@@ -88,10 +88,11 @@ def hits_in_memory(docs: DataFrame, key: str, text: str, shingles: list[tuple[li
 def hits_by_join(docs: DataFrame, key: str, text: str, shingles: DataFrame) -> DataFrame:
     """The same rows by a join of all shingles of the documents with those of the benchmark."""
     rows = materialise(docs.select(key, words_column(F.col(text)).alias("words")).withColumn("_row", F.monotonically_increasing_id()))
-    sizes = F.array(*[F.lit(i) for i in range(1, SHINGLE + 1)])
-    places = rows.select("_row", "words", F.explode(F.sequence(F.lit(0), F.size("words"))).alias("pos"))
-    places = places.select("_row", "pos", F.explode(F.transform(sizes, lambda n: F.slice("words", F.col("pos") + 1, n))).alias("s"))
-    found = places.select("_row", "pos", shingle_id(F.col("s")).alias("key"), F.size("s").alias("n"))
+    # Ids are made inside the row, so that no exploded row carries a whole text.
+    one = lambda n: F.transform(F.sequence(F.lit(0), F.size("words")), lambda i: F.struct(
+        i.alias("pos"), F.lit(n).alias("n"), shingle_id(F.slice("words", i + 1, n)).alias("key")
+    ))
+    found = rows.select("_row", F.inline(F.concat(*[one(n) for n in range(1, SHINGLE + 1)])))
     found = found.join(shingles.select(F.size("words").alias("n"), "key"), ["n", "key"])
     found = found.groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("pos", "key"))).alias("hits"))
     return rows.join(found, "_row", "left").select(

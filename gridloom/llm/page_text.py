@@ -3,7 +3,7 @@
 Each element outside the article has its subtree hashed (tag, text and the hashes of its children). Spark counts
 on how many different pages of a host a subtree occurs; subtrees on at least ``min_pages`` of them and on
 ``min_share`` of the host's pages are templates and are deleted wherever they occur on that host. Inside
-``article`` or ``main`` only short parts without a paragraph can be templates, so a passage that many articles of
+``article`` or ``main`` only short divisions without a paragraph can be templates, so a passage that many articles of
 a site quote stays. A page with neither is judged by recurrence alone. Identical pages count once.
 
 Null or empty html: empty text. Null url: a host of its own (the empty one). Repeated rows each get their own
@@ -53,7 +53,7 @@ MARKS = set(words(
     "widget login toolbar skip hidden"
 ))
 WHOLE = set(words("html body article main"))
-PARTS = set(words("div section ul ol dl table figure p span"))
+PARTS = set(words("div section"))
 
 
 def number(*parts: str) -> int:

@@ -199,7 +199,8 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", max_labelled:
     rows = with_probabilities(docs, model, text, (name("p_bad"), name("p_toxic")))
     rows = rows.join(rates, docs_key(rows, "source", name("site")) & docs_key(rows, "lang", name("path")), "left")
     for o in OUTCOMES:
-        p = F.least(F.greatest(F.col(name(f"p_{o}")), F.lit(1e-9)), F.lit(1 - 1e-9))
+        p = F.col(name(f"p_{o}"))
+        p = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(1e-9)), F.lit(1 - 1e-9)))
         posterior = 1 / (1 + F.exp(-(logit(p) + F.coalesce(F.col(name(f"shift_{o}")), F.lit(0.0)))))
         rows = rows.withColumn(name(f"p_{o}"), posterior)
     bad = [F.coalesce(F.col(name(f"p_{o}")) >= REJECT, F.lit(False)) for o in OUTCOMES]
