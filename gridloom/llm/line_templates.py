@@ -89,9 +89,9 @@ def constant_tokens(lines: DataFrame) -> DataFrame:
     places = lines.select("leaf", "n", F.posexplode("tokens").alias("place", "token"))
     tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
     whole = lines.groupBy("leaf").agg(F.sum("n").alias("lines"))
-    kept = tokens.where("n >= 2").join(whole, "leaf").where(F.col("n") >= F.col("lines") * SHARE)
-    # At most 1 / SHARE tokens a place.
-    return kept.groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("constant"))
+    kept = materialise(tokens.where("n >= 2")).join(materialise(whole), "leaf").where(F.col("n") >= F.col("lines") * SHARE)
+    # At most 1 / SHARE tokens a place. Written tables let the joins on a leaf with very many lines be split.
+    return materialise(kept.groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("constant")))
 
 
 def template(tokens: Column, constant: Column) -> Column:
