@@ -273,7 +273,8 @@ def near_duplicates(
     roots = set_components(docs, rows.select("set", "n", "grp", "prefix", "sketch"), text, size, percent)
     full = rows.where("n > 0").select(key, "n", "set").join(roots.withColumnRenamed("node", "set"), "set", "left")
     full = full.select(key, "n", F.coalesce("root", "set").alias("part"))
-    least = full.groupBy("part").agg(F.min(key).alias("component_id"))
+    # A table of its own, so that the join below can split a component with very many texts.
+    least = materialise(full.groupBy("part").agg(F.min(key).alias("component_id")))
     full = full.join(least, "part").select(key, F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
     return full.unionByName(alone)
