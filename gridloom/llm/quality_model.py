@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import flat_map_rows, free_name, map_rows
+from gridloom.session import materialise
 
 MAX_LABELLED = 12_000
 MAX_FEATURES = 4_000
@@ -115,6 +116,7 @@ def curve_of(steps: dict[int, tuple[int, int]], rate: float) -> list[float]:
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """Weights from three quarters of the labelled texts (by hash of the id), calibration on the rest."""
     chosen = labels_of(labels).orderBy(F.xxhash64("_label"), "_label").limit(max_labelled)
+    chosen = materialise(chosen)  # a small table of known size, so the texts need not be dealt out for it
     texts = docs.select(F.col("doc_id").alias("_label"), "text").join(chosen, "_label")
     held = F.pmod(F.xxhash64("_label", F.lit(1)), F.lit(4)) == 1
     rows = flat_map_rows(
@@ -190,7 +192,7 @@ def judged(docs: DataFrame, labels: DataFrame, text: str = "text", max_labelled:
     """The documents with p_bad, p_toxic (posteriors) and kept, and the names these columns have."""
     model = fit(docs, labels, max_labelled)
     narrow = with_probabilities(docs.select("doc_id", "source", "lang", text), model, text, ("p_bad", "p_toxic")).drop(text)
-    rates = path_rates(narrow, labels)
+    rates = materialise(path_rates(narrow, labels))  # likewise
     own: list[str] = []
     for stem in ("p_bad", "p_toxic", "kept", "site", "path", "shift_bad", "shift_toxic"):
         own.append(free_name(docs, f"_{stem}"))
