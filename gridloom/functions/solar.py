@@ -103,13 +103,17 @@ def cos_incidence(dec: Column, hour: Column, latitude: Column, tilt: Column, azi
     return F.greatest(F.lit(0.0), F.sin(t) * F.sin(a) * east + F.sin(t) * F.cos(a) * north + F.cos(t) * up)
 
 
-def plane_of_array(ghi: Column, diffuse_share: Column, sin_elev: Column, cos_aoi: Column, tilt: Column) -> Column:
-    """Beam, isotropic diffuse and ground-reflected irradiance on the panel."""
+def plane_of_array(
+    ghi: Column, diffuse_share: Column, sin_elev: Column, cos_aoi: Column, tilt: Column, given: tuple[Column, Column] | None = None
+) -> Column:
+    """Beam, isotropic diffuse and ground-reflected irradiance on the panel; ``given`` is (direct normal, diffuse)."""
     beam = F.when(sin_elev > LOW_SUN, ghi * (1.0 - diffuse_share) / sin_elev).otherwise(0.0)
+    diffuse = ghi * diffuse_share
+    if given is not None:
+        both = given[0].isNotNull() & given[1].isNotNull()
+        beam, diffuse = F.when(both, clip(given[0], 0.0)).otherwise(beam), F.when(both, clip(given[1], 0.0)).otherwise(diffuse)
     cos_tilt = F.cos(F.radians(tilt))
-    return (
-        beam * cos_aoi + ghi * diffuse_share * (cos_tilt + 1.0) / 2.0 + ghi * (1.0 - cos_tilt) * (GROUND_ALBEDO / 2.0)
-    )
+    return beam * cos_aoi + diffuse * (cos_tilt + 1.0) / 2.0 + ghi * (1.0 - cos_tilt) * (GROUND_ALBEDO / 2.0)
 
 
 def cell_temperature(poa: Column, temp_air: Column, wind_speed: Column) -> Column:

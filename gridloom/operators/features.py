@@ -120,13 +120,15 @@ def wind_features(forecast: DataFrame, sites: DataFrame) -> DataFrame:
     )
 
 
-def panel_power(frame: DataFrame, moments: dict[str, tuple[Column, Column]]) -> DataFrame:
+def panel_power(frame: DataFrame, moments: dict[str, tuple[Column, Column]], given: dict[str, tuple[Column, Column]] | None = None) -> DataFrame:
     """Panel irradiance, cell temperature and AC power for each named (irradiance, wind) pair.
 
     Needs the ``sun_*`` columns of the same names, ``tilt``, ``azimuth``, ``temp_2m_c``,
-    ``capacity_mw`` and ``dc_ac_ratio``. Stages are separate projections over plain columns.
+    ``capacity_mw`` and ``dc_ac_ratio``. ``given`` (direct normal, diffuse) is used where both are known;
+    else global irradiance is split by clearness. Stages are separate projections over plain columns.
     """
     names = list(moments)
+    given = given or {}
     col = F.col
     out = frame.withColumns({f"ghi_{n}": moments[n][0] for n in names})
     out = out.withColumns({f"kt_{n}": solar.clearness_index(col(f"ghi_{n}"), col(f"sun_{n}")) for n in names})
@@ -138,7 +140,7 @@ def panel_power(frame: DataFrame, moments: dict[str, tuple[Column, Column]]) ->
         }
     )
     out = out.withColumns(
-        {f"poa_{n}": solar.plane_of_array(col(f"ghi_{n}"), col(f"df_{n}"), col(f"sun_{n}"), col(f"aoi_{n}"), col("tilt")) for n in names}
+        {f"poa_{n}": solar.plane_of_array(col(f"ghi_{n}"), col(f"df_{n}"), col(f"sun_{n}"), col(f"aoi_{n}"), col("tilt"), given.get(n)) for n in names}
     )
     out = out.withColumns({f"cell_{n}": solar.cell_temperature(col(f"poa_{n}"), col("temp_2m_c"), moments[n][1]) for n in names})
     return out.withColumns(
@@ -176,9 +178,13 @@ def solar_estimate(forecast: DataFrame, sites: DataFrame, *, dc_ac_ratio: float
     """Plane-of-array, cell temperature, AC power and clear-sky power of each forecast row."""
     geometry = sites.select("site_id", "capacity_mw", "latitude", "longitude", "tilt_deg", "azimuth_deg")
     base = with_panel(forecast.join(geometry, "site_id"), dc_ac_ratio=dc_ac_ratio)
+    # The sun stands alike for all leads of an hour: its angles are worked out once per site and hour.
+    hours = with_panel(forecast.select("site_id", "valid_time").distinct().join(geometry, "site_id"))
+    stood = solar.with_sun(hours, {"now": F.col("valid_time")}).select("site_id", "valid_time", "sun_now", "sun_now_dec", "sun_now_h")
     clear = clear_sky_power(base)
-    sunny = solar.with_sun(clear, {"now": F.col("valid_time")})
-    powered = panel_power(sunny, {"now": (weather.clip(F.col("ghi_wm2"), 0.0), F.col("wind_speed_10m"))})
+    sunny = clear.join(stood, ["site_id", "valid_time"])
+    split = {"now": (F.col("dni_wm2"), F.col("dhi_wm2"))} if {"dni_wm2", "dhi_wm2"} <= set(forecast.columns) else None
+    powered = panel_power(sunny, {"now": (weather.clip(F.col("ghi_wm2"), 0.0), F.col("wind_speed_10m"))}, split)
     clear_ghi = powered.withColumn("clearsky_ghi", solar.clear_sky_ghi(F.col("sun_now")))
     return clear_ghi.select(
         *forecast.columns, "capacity_mw", "latitude", "tilt_deg", "azimuth_deg",

@@ -24,27 +24,30 @@ def saturating_totals(
 
     ``sizes`` has the keys and ``capacity``; a handful of sizes per key.
     """
-    packed = (
+    caps = sizes.groupBy(*keys).agg(F.sort_array(F.collect_set(F.col("capacity").cast("double"))).alias("_caps"))
+    blocks = (
         steps.groupBy(*keys, block)
         .agg(F.array_sort(F.collect_list(F.struct(order, delta))).alias("_s"))
         .select(*keys, block, F.col(f"_s.{delta}").alias("_d"))
-        .join(sizes, keys)
+        .join(caps, keys)
     )
-    cap = F.col("capacity")
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("lo"), cap.cast("double").alias("hi"))
-    effect = F.aggregate(
-        "_d", zero,
-        lambda s, d: F.struct(
-            (s["a"] + d).alias("a"), _clamp(s["lo"] + d, cap).alias("lo"), _clamp(s["hi"] + d, cap).alias("hi")
-        ),
-    )
-    blocks = packed.select(*keys, "capacity", block, "_d", effect.alias("_e"))
-    # Chain the block effects: one array entry per block and (key, capacity).
+
+    def effect(cap: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("lo"), cap.alias("hi"))
+        return F.aggregate(
+            "_d", zero,
+            lambda s, d: F.struct(
+                (s["a"] + d).alias("a"), _clamp(s["lo"] + d, cap).alias("lo"), _clamp(s["hi"] + d, cap).alias("hi")
+            ),
+        )
+
+    # All sizes of a block are folded in its one row; only three numbers a size leave it.
+    effects = blocks.select(*keys, block, F.posexplode(F.transform("_caps", effect)).alias("_k", "_e"))
     chained = (
-        blocks.groupBy(*keys, "capacity")
+        effects.groupBy(*keys, "_k")
         .agg(F.array_sort(F.collect_list(F.struct(F.col(block).alias("b"), F.col("_e").alias("e")))).alias("_c"))
         .select(
-            *keys, "capacity", F.col("_c.b").alias("_b"),
+            *keys, "_k", F.col("_c.b").alias("_b"),
             F.aggregate(
                 "_c", F.array(F.lit(float(start))),
                 lambda levels, c: F.concat(
@@ -53,16 +56,23 @@ def saturating_totals(
                 ),
             ).alias("_levels"),
         )
-        .select(*keys, "capacity", F.explode(F.arrays_zip("_b", F.slice("_levels", 1, F.size("_b")).alias("_x"))).alias("_z"))
-        .select(*keys, "capacity", F.col("_z._b").alias(block), F.col("_z._x").alias("_start"))
+        .select(*keys, "_k", F.explode(F.arrays_zip("_b", F.slice("_levels", 1, F.size("_b")).alias("_x"))).alias("_z"))
+        .groupBy(*keys, F.col("_z._b").alias(block))
+        .agg(F.array_sort(F.collect_list(F.struct("_k", F.col("_z._x").alias("x")))).alias("_starts"))
     )
-    totals = F.aggregate(
-        "_d", F.struct(F.col("_start").alias("x"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down")),
-        lambda s, d: F.struct(
-            _clamp(s["x"] + d, cap).alias("x"),
-            (s["up"] + F.greatest(_clamp(s["x"] + d, cap) - s["x"], F.lit(0.0))).alias("up"),
-            (s["down"] + F.greatest(s["x"] - _clamp(s["x"] + d, cap), F.lit(0.0))).alias("down"),
-        ),
-    )
-    replayed = blocks.drop("_e").join(chained, [*keys, "capacity", block]).select(*keys, "capacity", totals.alias("_t"))
-    return replayed.groupBy(*keys, "capacity").agg(F.sum("_t.up").alias("rise"), F.sum("_t.down").alias("fall"))
+
+    def replay(at: Column) -> Column:
+        cap = at["cap"]
+        return F.aggregate(
+            "_d", F.struct(at["x"].alias("x"), F.lit(0.0).alias("up"), F.lit(0.0).alias("down")),
+            lambda s, d: F.struct(
+                _clamp(s["x"] + d, cap).alias("x"),
+                (s["up"] + F.greatest(_clamp(s["x"] + d, cap) - s["x"], F.lit(0.0))).alias("up"),
+                (s["down"] + F.greatest(s["x"] - _clamp(s["x"] + d, cap), F.lit(0.0))).alias("down"),
+            ),
+        )
+
+    begun = F.zip_with("_caps", "_starts", lambda c, s: F.struct(c.alias("cap"), s["x"].alias("x")))
+    totals = F.transform(begun, lambda at: F.struct(at["cap"].alias("capacity"), replay(at).alias("t")))
+    replayed = blocks.join(chained, [*keys, block]).select(*keys, F.inline(totals))
+    return replayed.groupBy(*keys, "capacity").agg(F.sum("t.up").alias("rise"), F.sum("t.down").alias("fall"))

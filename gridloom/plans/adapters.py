@@ -291,7 +291,7 @@ class Tables:
 
         The error stores are read by several branches of one scenario plan.
         """
-        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        key = (self.spark.sparkContext.applicationId, folder_state(self.spark, self.dir), name)
         if key not in _STORED:
             _STORED[key] = materialise(getattr(self, name))
         return _STORED[key]
@@ -299,6 +299,14 @@ class Tables:
 
 _STORED: dict[tuple[str, str, str], DataFrame] = {}
 
+
+def folder_state(spark: SparkSession, folder: str) -> str:
+    """The folder with names, sizes and times of its tables: what is kept for it is not used once they change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted(f"{f.getPath().getName()}:{f.getLen()}:{f.getModificationTime()}" for f in fs.listStatus(path))
+    return f"{folder} {' '.join(found)}"
+
 CTES: dict[str, str] = {
     "x_readings": """
         SELECT event_id, 'S' || CAST(user_id // 10 AS VARCHAR) AS site_id,

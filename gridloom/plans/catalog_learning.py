@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import contracts, features, metrics, splits
 from gridloom.operators.resample import keep_one
 from gridloom.plans import training
-from gridloom.plans.adapters import REGION_CLOCKS
+from gridloom.plans.adapters import REGION_CLOCKS, folder_state
 from gridloom.plans.registry import query
 from gridloom.session import materialise
 
@@ -16,7 +16,7 @@ _MODELS: dict = {}
 
 def _once(t, name, make):
     """Fitted models are kept per session and data folder: scoring queries share one fit."""
-    key = (t.spark.sparkContext.applicationId, t.dir, name)
+    key = (t.spark.sparkContext.applicationId, folder_state(t.spark, t.dir), name)
     if key not in _MODELS:
         _MODELS[key] = make()
     return _MODELS[key]

@@ -8,7 +8,17 @@ from gridloom.operators import contracts, features, fitting, planning, seasonal
 from gridloom.plans.adapters import REGION_CLOCKS
 from gridloom.plans.registry import query
 
-@query("storage_curve", "M1 U3", "region energy_mwh:f power_mw:f duration_h:f captured_share:f captured_mwh_per_year:f")
+@query("storage_curve", "M1 U3", "region energy_mwh:f power_mw:f duration_h:f captured_share:f captured_mwh_per_year:f", """
+    WITH t AS (SELECT region, total, power_mw, greatest(years, 0.000000001) AS years FROM (
+        SELECT region, sum(surplus_mw) AS total, quantile_cont(CASE WHEN surplus_mw > 0 THEN surplus_mw END, 0.99) AS power_mw,
+               floor((epoch(max(valid_time)) - epoch(min(valid_time))) / 86400) / CAST(365.25 AS DOUBLE) AS years FROM x_balance GROUP BY region) WHERE total > 0),
+    z AS (SELECT region, round(greatest(total / years / CAST(365.25 AS DOUBLE), 1) * CAST(f AS DOUBLE), 1) AS size FROM t CROSS JOIN (VALUES (0.1), (0.25), (0.5), (0.75), (1.0), (1.5), (2.0), (3.0), (5.0), (8.0)) v(f)),
+    s AS (SELECT b.region, list({'x': CASE WHEN surplus_mw > 0 THEN least(surplus_mw, power_mw) * sqrt(CAST(0.88 AS DOUBLE))
+        ELSE -least(greatest(residual_mw, 0), power_mw) / sqrt(CAST(0.88 AS DOUBLE)) END, 'got': CAST(0 AS DOUBLE)} ORDER BY b.valid_time) AS steps FROM x_balance b JOIN t ON t.region = b.region GROUP BY b.region),
+    g AS (SELECT z.region, z.size, list_reduce(s.steps, lambda a, d: {'x': greatest(0, least(z.size, a.x + d.x)), 'got': a.got + greatest(greatest(0, least(z.size, a.x + d.x)) - a.x, 0)}, {'x': CAST(0 AS DOUBLE), 'got': CAST(0 AS DOUBLE)}).got AS got
+        FROM z JOIN s ON s.region = z.region)
+    SELECT g.region, g.size AS energy_mwh, power_mw, g.size / power_mw AS duration_h, got / sqrt(CAST(0.88 AS DOUBLE)) / total AS captured_share, got / sqrt(CAST(0.88 AS DOUBLE)) / years AS captured_mwh_per_year
+    FROM g JOIN t ON t.region = g.region""")
 def _(t):
     return seasonal.storage_adequacy(seasonal.local_balance(t.history, REGION_CLOCKS))
 

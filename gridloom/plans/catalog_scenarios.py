@@ -9,34 +9,37 @@ from gridloom.plans import balance as balance_plan
 from gridloom.plans.registry import query
 from gridloom.sources.tables import first_scenarios
 
-HOURS, MEMBERS, SEED = 24, 20, 7
+HOURS, MEMBERS, SEED = 72, 200, 7
+# Windows scored for scenarios and for the balance.
+WINDOWS, BALANCE_WINDOWS = 40, 30
 
 _STARTS = """
     st AS (SELECT DISTINCT region, valid_time FROM x_residuals),
-    ws AS (SELECT region, valid_time AS b0 FROM (SELECT *, lead(valid_time, 23) OVER (PARTITION BY region ORDER BY valid_time) AS e FROM st) WHERE e = valid_time + INTERVAL 23 HOUR),
-    cs AS (SELECT region, site_id, valid_time AS b0 FROM (SELECT *, lead(valid_time, 23) OVER (PARTITION BY site_id ORDER BY valid_time) AS e FROM x_residuals) WHERE e = valid_time + INTERVAL 23 HOUR),
+    ws AS (SELECT region, valid_time AS b0 FROM (SELECT *, lead(valid_time, 71) OVER (PARTITION BY region ORDER BY valid_time) AS e FROM st) WHERE e = valid_time + INTERVAL 71 HOUR),
+    cs AS (SELECT region, site_id, valid_time AS b0 FROM (SELECT *, lead(valid_time, 71) OVER (PARTITION BY site_id ORDER BY valid_time) AS e FROM x_residuals) WHERE e = valid_time + INTERVAL 71 HOUR),
     ns AS (SELECT region, count(DISTINCT site_id) AS n FROM x_residuals GROUP BY 1),
     bs AS (SELECT ws.region, ws.b0, count(*) AS c, max(ns.n) AS n FROM ws JOIN cs ON cs.region = ws.region AND cs.b0 = ws.b0 JOIN ns ON ns.region = ws.region GROUP BY ws.region, ws.b0 HAVING count(*) >= 0.8 * max(ns.n)),
     us AS (SELECT region, b0 AS w0 FROM bs WHERE c = n)"""
 _LATEST = "win AS (SELECT region, max(w0) AS w0 FROM us GROUP BY 1)"
-_SAMPLED = """win AS (SELECT region, w0 FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY md5(strftime(w0, '%Y-%m-%d %H:%M:%S') || '#7')) AS k FROM us) WHERE k <= 3)"""
+_SAMPLED = """win AS (SELECT region, w0 FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY md5(strftime(w0, '%Y-%m-%d %H:%M:%S') || '#7')) AS k FROM us) WHERE k <= 40)"""
+_SCORED = _SAMPLED.replace("k <= 40", "k <= 30")
 _CHAIN = """
     pk AS (SELECT win.region, w0, b0, row_number() OVER (PARTITION BY win.region, w0 ORDER BY md5(strftime(b0, '%Y-%m-%d %H:%M:%S') || '#7')) - 1 AS r, count(*) OVER (PARTITION BY win.region, w0) AS n
-        FROM win JOIN bs ON bs.region = win.region WHERE hour(b0) = hour(w0) AND abs(epoch(b0) - epoch(w0)) >= 86400),
-    sc AS (SELECT region, w0, b0, s AS scenario FROM pk JOIN (SELECT unnest(generate_series(0, 19)) AS s) g ON g.s % pk.n = pk.r),
+        FROM win JOIN bs ON bs.region = win.region WHERE hour(b0) = hour(w0) AND abs(epoch(b0) - epoch(w0)) >= 259200),
+    sc AS (SELECT region, w0, b0, s AS scenario FROM pk JOIN (SELECT unnest(generate_series(0, 199)) AS s) g ON g.s % pk.n = pk.r),
     fh AS (SELECT r.region, win.w0, r.site_id, r.tech, r.valid_time, r.p50_mw, r.capacity_mw, r.actual_mw, date_diff('hour', win.w0, r.valid_time) AS o
-        FROM x_residuals r JOIN win ON win.region = r.region AND r.valid_time >= win.w0 AND r.valid_time < win.w0 + INTERVAL 24 HOUR),
+        FROM x_residuals r JOIN win ON win.region = r.region AND r.valid_time >= win.w0 AND r.valid_time < win.w0 + INTERVAL 72 HOUR),
     er AS (SELECT sc.region, sc.w0, sc.scenario, fh.o, fh.valid_time, fh.site_id, fh.p50_mw, fh.capacity_mw, fh.actual_mw, coalesce(e.residual, 0) AS residual
         FROM fh JOIN sc ON sc.region = fh.region AND sc.w0 = fh.w0 LEFT JOIN x_residuals e ON e.site_id = fh.site_id AND e.valid_time = sc.b0 + to_hours(CAST(fh.o AS INTEGER))),
     tot AS (SELECT region, w0, o, valid_time, scenario, sum(least(greatest(p50_mw + residual * capacity_mw, 0), capacity_mw)) AS renewable FROM er GROUP BY ALL),
     tru AS (SELECT region, w0, o, sum(actual_mw) AS actual FROM fh GROUP BY ALL)"""
 _DEMAND = """
-    dv AS (SELECT region, valid_time AS b0 FROM (SELECT *, lead(valid_time, 23) OVER (PARTITION BY region ORDER BY valid_time) AS e FROM x_demand) WHERE e = valid_time + INTERVAL 23 HOUR),
+    dv AS (SELECT region, valid_time AS b0 FROM (SELECT *, lead(valid_time, 71) OVER (PARTITION BY region ORDER BY valid_time) AS e FROM x_demand) WHERE e = valid_time + INTERVAL 71 HOUR),
     dm AS (SELECT sc.*, dv.b0 IS NOT NULL AS ok FROM sc LEFT JOIN dv ON dv.region = sc.region AND dv.b0 = sc.b0),
     vr AS (SELECT region, w0, b0 AS spare, row_number() OVER (PARTITION BY region, w0 ORDER BY scenario) - 1 AS turn, count(*) OVER (PARTITION BY region, w0) AS n FROM dm WHERE ok),
     dc AS (SELECT dm.region, dm.w0, dm.scenario, CASE WHEN dm.ok THEN dm.b0 ELSE vr.spare END AS b0 FROM dm LEFT JOIN vr ON vr.region = dm.region AND vr.w0 = dm.w0 AND vr.turn = dm.scenario % vr.n),
     dd AS (SELECT dc.region, dc.w0, dc.scenario, date_diff('hour', dc.w0, d.valid_time) AS o, d.p50_mw + coalesce(e.residual, 0) * d.peak_mw AS demand
-        FROM dc JOIN x_demand d ON d.region = dc.region AND d.valid_time >= dc.w0 AND d.valid_time < dc.w0 + INTERVAL 24 HOUR
+        FROM dc JOIN x_demand d ON d.region = dc.region AND d.valid_time >= dc.w0 AND d.valid_time < dc.w0 + INTERVAL 72 HOUR
         LEFT JOIN x_demand e ON e.region = dc.region AND e.valid_time = dc.b0 + (d.valid_time - dc.w0)),
     hd AS (SELECT region, greatest(quantile_cont(available_generation_mw - coalesce(solar_uigf_mw, 0) - coalesce(wind_uigf_mw, 0), 0.25), 0) / 3 AS headroom FROM x_market GROUP BY 1),
     mb AS (SELECT tot.*, dd.demand, dd.demand - tot.renewable AS residual, hd.headroom FROM tot JOIN dd ON dd.region = tot.region AND dd.w0 = tot.w0 AND dd.o = tot.o AND dd.scenario = tot.scenario JOIN hd ON hd.region = tot.region),
@@ -66,7 +69,7 @@ def _(t):
 
 @query("sampled_windows", "L12", "region window_start:t", f"WITH {_STARTS}, {_SAMPLED} SELECT region, w0 AS window_start FROM win")
 def _(t):
-    return scenarios.sampled_windows(t.stored("residuals"), HOURS, 3, SEED)
+    return scenarios.sampled_windows(t.stored("residuals"), HOURS, WINDOWS, SEED)
 
 
 @query("scenario_picks", "L13", "region window_start:t scenario:i block_start:t", f"WITH {_STARTS}, {_LATEST}, {_CHAIN} SELECT region, w0 AS window_start, scenario, b0 AS block_start FROM sc")
@@ -119,7 +122,7 @@ def _(t):
     h AS (SELECT CAST(least(floor(r * 10 / (n + 1)), 9) AS INTEGER) AS bin, count(*) AS n FROM (SELECT tot.region, tot.w0, tot.o, count(CASE WHEN renewable < actual THEN 1 END) AS r, count(*) AS n FROM tot JOIN tru ON tru.region = tot.region AND tru.w0 = tot.w0 AND tru.o = tot.o GROUP BY ALL) GROUP BY 1)
     SELECT bin, n, n / sum(n) OVER () AS share, stddev_pop(n) OVER () / sum(n) OVER () * 10 AS flatness FROM h""")
 def _(t):
-    windows = scenarios.sampled_windows(t.stored("residuals"), HOURS, 3, SEED)
+    windows = scenarios.sampled_windows(t.stored("residuals"), HOURS, WINDOWS, SEED)
     blocks = scenarios.window_blocks(windows, t.stored("residuals"), HOURS, MEMBERS, SEED)
     hours = scenarios.window_hours(windows, t.stored("residuals"), HOURS)
     ensemble = scenarios.regional_scenarios(hours, blocks, t.stored("residuals"), HOURS)
@@ -132,7 +135,7 @@ def _(t):
     c AS (SELECT d, avg(c) AS c FROM (SELECT q.region, d, avg(CAST(actual + 0.0000001 >= lo AND actual - 0.0000001 <= hi AS INTEGER)) AS c FROM q JOIN tru ON tru.region = q.region AND tru.w0 = q.w0 AND tru.o = q.o GROUP BY ALL) GROUP BY 1)
     SELECT d AS dispersion, c AS coverage FROM c ORDER BY round(abs(c - 0.8), 9), d LIMIT 1""")
 def _(t):
-    windows = scenarios.sampled_windows(t.stored("residuals"), HOURS, 3, SEED)
+    windows = scenarios.sampled_windows(t.stored("residuals"), HOURS, WINDOWS, SEED)
     blocks = scenarios.window_blocks(windows, t.stored("residuals"), HOURS, MEMBERS, SEED)
     hours = scenarios.window_hours(windows, t.stored("residuals"), HOURS)
     ensemble = scenarios.regional_scenarios(hours, blocks, t.stored("residuals"), HOURS, factors=scenarios.DISPERSION_GRID)
@@ -148,7 +151,7 @@ def _(t):
     n AS (SELECT region, w0, o, sum(0.8 * p50_mw) AS w FROM fh GROUP BY ALL)
     SELECT q.region, count(*) AS hours, avg(q.w) AS mean_width, avg(n.w) AS naive_width, avg(n.w) / avg(q.w) AS width_ratio FROM q JOIN n ON n.region = q.region AND n.w0 = q.w0 AND n.o = q.o GROUP BY 1""")
 def _(t):
-    windows = scenarios.sampled_windows(t.stored("residuals"), HOURS, 3, SEED)
+    windows = scenarios.sampled_windows(t.stored("residuals"), HOURS, WINDOWS, SEED)
     blocks = scenarios.window_blocks(windows, t.stored("residuals"), HOURS, MEMBERS, SEED)
     banded = t.stored("residuals").withColumns({"p10_mw": F.col("p50_mw") * 0.6, "p90_mw": F.col("p50_mw") * 1.4})
     hours = scenarios.window_hours(windows, banded, HOURS)
@@ -202,17 +205,17 @@ def _(t):
 
 
 @query("balance_outcomes", "D17 E30", "region valid_time:t event outcome:f", f"""
-    WITH {_STARTS}, {_SAMPLED}, hd AS (SELECT region, greatest(quantile_cont(available_generation_mw - coalesce(solar_uigf_mw, 0) - coalesce(wind_uigf_mw, 0), 0.25), 0) / 3 AS headroom FROM x_market GROUP BY 1),
-    a AS (SELECT win.region, r.valid_time, win.w0, sum(r.actual_mw) AS ren FROM x_residuals r JOIN win ON win.region = r.region AND r.valid_time >= w0 AND r.valid_time < w0 + INTERVAL 24 HOUR GROUP BY ALL),
+    WITH {_STARTS}, {_SCORED}, hd AS (SELECT region, greatest(quantile_cont(available_generation_mw - coalesce(solar_uigf_mw, 0) - coalesce(wind_uigf_mw, 0), 0.25), 0) / 3 AS headroom FROM x_market GROUP BY 1),
+    a AS (SELECT win.region, r.valid_time, win.w0, sum(r.actual_mw) AS ren FROM x_residuals r JOIN win ON win.region = r.region AND r.valid_time >= w0 AND r.valid_time < w0 + INTERVAL 72 HOUR GROUP BY ALL),
     z AS (SELECT a.region, a.valid_time, d.actual_mw - a.ren AS res, hd.headroom FROM a JOIN x_demand d ON d.region = a.region AND d.valid_time = a.valid_time JOIN hd ON hd.region = a.region)
     SELECT region, valid_time, 'surplus' AS event, CAST(res < 0 AS INTEGER) AS outcome FROM z UNION ALL SELECT region, valid_time, 'shortage', CAST(res > headroom AS INTEGER) FROM z""")
 def _(t):
-    return balance_plan.scored_windows(t.stored("residuals"), t.stored("demand"), _headroom(t), hours=HOURS, n_windows=3, n_scenarios=MEMBERS, seed=SEED)
+    return balance_plan.scored_windows(t.stored("residuals"), t.stored("demand"), _headroom(t), hours=HOURS, n_windows=BALANCE_WINDOWS, n_scenarios=MEMBERS, seed=SEED)
 
 
 @query("balance_verification", "L16 E29 E30", "region event calibrated:b n:i base_rate:f brier:f brier_climatology:f skill:f")
 def _(t):
-    scored = balance_plan.scored_windows(t.stored("residuals"), t.stored("demand"), _headroom(t), hours=HOURS, n_windows=12, n_scenarios=MEMBERS, seed=SEED)
+    scored = balance_plan.scored_windows(t.stored("residuals"), t.stored("demand"), _headroom(t), hours=HOURS, n_windows=BALANCE_WINDOWS, n_scenarios=MEMBERS, seed=SEED)
     return balance_plan.calibrate_and_verify(scored)[1]
 
 

@@ -60,7 +60,7 @@ def audit_balance(points: DataFrame) -> list:
     ]
 
 
-def output_audit(t, *, hours: int = 24, n_scenarios: int = 20, seed: int = 7) -> DataFrame:
+def output_audit(t, *, hours: int = 72, n_scenarios: int = 200, seed: int = 7) -> DataFrame:
     """Bands, scenarios and balance of one data folder, checked rule by rule."""
     store = t.stored("residuals")
     members = balance_plan.window_members(
