@@ -227,14 +227,14 @@ def test_mixture_equals_plain_bisection(spark):
 
 
 def test_classifier_on_held_out_labels(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"
     docs, known = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     seen = known.where("doc_id % 4 <> 1")
     rows = quality_model.quality_posteriors(docs, seen).join(known.where("doc_id % 4 = 1"), "doc_id").collect()
-    poor = [r for r in rows if r.quality == 0]
+    poor = [r for r in rows if r.quality == 0 or r.toxic == 1]
     good = [r for r in rows if r.quality == 1 and r.toxic == 0]
-    assert sum(not r.kept for r in poor) >= 0.8 * len(poor)
-    assert sum(r.kept for r in good) >= 0.97 * len(good)
+    assert sum(not r.kept for r in poor) >= 0.95 * len(poor)
+    assert sum(r.kept for r in good) >= 0.99 * len(good)
 
 
 def test_sparse_sites_stay_near_the_global_rate(spark):
