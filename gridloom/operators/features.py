@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import clock, solar, weather, wind
 
+# Neighbour shifts, forecast horizons, load lags and windows in hours.
 SHIFTS = (-3, -2, -1, 1, 2, 3)
 HALF_WINDOW = 3
 CALM_FLOOR = 0.5

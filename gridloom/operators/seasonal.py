@@ -13,6 +13,7 @@ from gridloom.functions import bands, clock
 from gridloom.operators import runs
 from gridloom.operators.walk import saturating_totals
 
+# Drought rule, round trip, storage sizes in days of surplus, capture targets.
 DROUGHT_SHARE = 0.20
 MIN_DROUGHT_DAYS = 2
 ROUND_TRIP = 0.88

@@ -289,11 +289,11 @@ def _(t):
       FROM g WINDOW o AS (PARTITION BY region ORDER BY valid_time), a AS (PARTITION BY region ORDER BY valid_time ROWS BETWEEN 23 PRECEDING AND CURRENT ROW),
         b AS (PARTITION BY region ORDER BY valid_time ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)),
     x AS (SELECT k.*, h, (valid_time AT TIME ZONE 'UTC') AT TIME ZONE CASE region WHEN 'R0' THEN 'Australia/Sydney' WHEN 'R1' THEN 'Australia/Brisbane' WHEN 'R2' THEN 'Australia/Adelaide' WHEN 'R3' THEN 'Australia/Hobart' ELSE 'Australia/Melbourne' END AS lt
-      FROM k CROSS JOIN (VALUES (1), (24), (48), (72)) v(h) WHERE demand_mw IS NOT NULL)
+      FROM k CROSS JOIN (VALUES (1), (2), (3), (6), (9), (12), (18), (24), (30), (36), (42), (48), (54), (60), (66), (72)) v(h) WHERE demand_mw IS NOT NULL)
     SELECT x.region, x.valid_time, x.h AS horizon_h, x.demand_mw AS target, i.l1 AS load_lag_1h, i.l168 AS load_lag_168h, i.r24 AS rooftop_lag_24h, i.m24 AS load_mean_24h, i.s24 AS load_std_24h,
         i.m168 AS load_mean_168h, x.c24 AS cooling_degrees_24h, CASE WHEN strftime(x.lt, '%m-%d') IN ('01-01', '01-26') THEN 1 ELSE 0 END AS is_holiday, sin(2 * CAST(pi() AS DOUBLE) * hour(x.lt) / 24) AS hour_sin
     FROM x LEFT JOIN k i ON i.region = x.region AND i.valid_time = x.valid_time - to_hours(CAST(x.h AS INTEGER))""")
 def _(t):
     centre = keep_one(t.weather.where("horizon_h = 24").select("region", "valid_time", "site_id", "temp_2m_c", "cloud_total", "wind_speed_10m", "ghi_wm2"),
                       ["region", "valid_time"], ["site_id"]).drop("site_id")
-    return features.demand_features(t.market_grid, centre, REGION_CLOCKS, (1, 24, 48, 72))
+    return features.demand_features(t.market_grid, centre, REGION_CLOCKS, features.HORIZONS)

@@ -86,7 +86,7 @@ def _(t):
 
 
 @query("leakage_check", "B13 F7", "horizon_h:i rows_checked:i rows_moved:i", """
-    SELECT h AS horizon_h, count(*) AS rows_checked, 0 AS rows_moved FROM x_market CROSS JOIN (VALUES (1), (24), (72)) v(h)
+    SELECT h AS horizon_h, count(*) AS rows_checked, 0 AS rows_moved FROM x_market CROSS JOIN (VALUES (1), (2), (3), (6), (9), (12), (18), (24), (30), (36), (42), (48), (54), (60), (66), (72)) v(h)
     WHERE valid_time - to_hours(CAST(h AS INTEGER)) <= TIMESTAMP '2024-01-16' GROUP BY 1""")
 def _(t):
     """Corrupt everything after the cutoff, rebuild, and compare rows issued at or before it."""
@@ -96,7 +96,7 @@ def _(t):
     keep = [*features.HISTORY_COLUMNS]
 
     def build(market):
-        targets = features.expand_horizons(t.market.select("region", "valid_time"), (1, 24, 72))
+        targets = features.expand_horizons(t.market.select("region", "valid_time"), features.HORIZONS)
         rows = features.at_issue_time(targets, features.load_history(market)).where(F.col("issue_time") <= cutoff)
         return rows.select("region", "valid_time", "horizon_h", *[F.round(c, 6).alias(c) for c in keep])
 

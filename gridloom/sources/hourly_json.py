@@ -25,6 +25,7 @@ HOURLY_VARIABLES = {
     "wind_direction_10m": "wind_dir_10m_deg",
     "wind_direction_100m": "wind_dir_100m_deg",
 }
+# Provider variables that exist by lead, given in percent, and never negative.
 LEAD_VARIABLES = (
     "shortwave_radiation",
     "cloud_cover",

@@ -286,3 +286,51 @@ def test_skill_and_brier_edges(spark):
     frame = spark.createDataFrame([Row(k="never", p=0.1, o=0.0), Row(k="never", p=0.2, o=0.0), Row(k="some", p=1.0, o=1.0), Row(k="some", p=0.0, o=0.0)])
     got = {r.k: r.skill for r in metrics.brier(frame, ["k"], "p", "o").collect()}
     assert got == {"never": None, "some": 1.0}
+
+
+def test_schedule_audit_reports_each_violation(spark):
+    good = {"i": 0, "stored": 2.0, "discharged": 0.0, "level_before": 0.0, "level": 2.0, "power_mw": 6.0, "energy_mwh": 25.0}
+    rows = [
+        {"k": "fine"}, {"k": "fine", "i": 1, "stored": 0.0, "discharged": 1.0, "level_before": 2.0, "level": 1.0},
+        {"k": "power", "stored": 7.0, "level": 7.0}, {"k": "energy", "level_before": 24.0, "level": 26.0},
+        {"k": "both", "discharged": 1.0, "level": 1.0}, {"k": "jump", "level": 5.0}, {"k": "unknown", "level": None},
+    ]
+    hours = spark.createDataFrame(pd.DataFrame([good | r for r in rows]).astype({"level": "Float64"}))
+    hours = hours.withColumn("level", F.when(~F.isnan("level"), F.col("level")))
+    staged, checks = planning.schedule_checks(hours, ["k"])
+    found = {r.check: r.failures for r in contracts.audit([(n, staged, c) for n, c in checks]).collect()}
+    assert found == {"power_limit": 1, "energy_bounds": 2, "no_simultaneous": 1, "level_continuity": 2}
+
+
+def test_differing_rows_find_a_moved_value(spark):
+    left = spark.createDataFrame([(1, 2.0), (2, None), (2, None)], "h int, v double")
+    assert contracts.differing_rows(left, left).count() == 0
+    right = spark.createDataFrame([(1, 2.5), (2, None)], "h int, v double")
+    assert contracts.differing_rows(left, right).groupBy("h").count().orderBy("h").collect() == [(1, 2), (2, 1)]
+
+
+def test_runs_end_with_their_window_and_at_a_hole(spark):
+    rows = [("a", w, h, 0.9) for w, hours in (("w1", (0, 1, 2, 5, 6)), ("w2", (3, 4))) for h in hours]
+    points = spark.createDataFrame(rows, "region string, window_start string, h int, p_surplus double").select(
+        "region", "window_start", F.timestamp_seconds(F.col("h") * 3600).alias("valid_time"), "p_surplus", F.lit(10.0).alias("expected_surplus_mw")
+    )
+    found = runs.event_runs(points, "surplus").orderBy("window_start", "from_utc").collect()
+    assert [(r.window_start, r.hours, r.energy_mwh) for r in found] == [("w1", 3, 30.0), ("w1", 2, 20.0), ("w2", 2, 20.0)]
+
+
+def test_error_store_falls_back_to_the_common_lead(spark):
+    rows = [("r", "solar", "s", h, lead, 5.0, 4.0, 0.0 if h == 3 else 10.0) for h in range(4) for lead in (48, 72) if lead == 48 or h]
+    frame = spark.createDataFrame(rows, "region string, tech string, site_id string, h int, horizon_h int, actual_mw double, p50_mw double, capacity_mw double")
+    store = scenarios.error_store(frame.withColumn("valid_time", F.timestamp_seconds(F.col("h") * 3600))).orderBy("valid_time").collect()
+    assert [round(r.residual, 6) for r in store] == [0.1, 0.1, 0.1, 1_000_000.0]
+
+
+def test_panel_uses_given_beam_and_diffuse(spark):
+    rows = [(500.0, 700.0, 100.0), (500.0, None, 100.0), (500.0, None, None)]
+    frame = spark.createDataFrame(rows, "ghi double, dni double, dhi double")
+    one = F.lit(0.5)
+    got = [r[0] for r in frame.select(solar.plane_of_array(F.col("ghi"), F.lit(0.4), one, F.lit(0.8), F.lit(30.0), (F.col("dni"), F.col("dhi")))).collect()]
+    own = frame.select(solar.plane_of_array(F.col("ghi"), F.lit(0.4), one, F.lit(0.8), F.lit(30.0))).first()[0]
+    ground = 500 * (1 - np.cos(np.radians(30))) * (solar.GROUND_ALBEDO / 2)
+    assert got[0] == pytest.approx(700 * 0.8 + 100 * (np.cos(np.radians(30)) + 1) / 2 + ground)
+    assert got[1] == got[2] == own
