@@ -77,8 +77,30 @@ def materialise(frame: DataFrame) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     Cuts lineage like a checkpoint, but computes the frame once, keeps it columnar with statistics,
-    and survives lost executors.
+    and survives lost executors. ``clear_materialised`` deletes what a session has written; a session that is
+    still alive when Python ends does so by itself.
     """
     path = f"{shared_dir(frame.sparkSession)}/tables/{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_clear_at_exit)
+    _WRITTEN.append(path)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+_WRITTEN: list[str] = []
+
+
+def clear_materialised(spark: SparkSession) -> int:
+    """Delete the tables written so far; frames that read them end with it. Returns how many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
+def _clear_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        clear_materialised(spark)
