@@ -50,7 +50,7 @@ MARKS = set(words(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice "
     "notices alert popup modal overlay newsletter subscribe subscription signup sidebar nav navbar navigation menu breadcrumb breadcrumbs footer "
     "masthead topbar comment comments disqus respond replies reply related recommended recommendations share sharing social pagination pager "
-    "widget login toolbar skip hidden adbox adslot adunit aside commentlist cookiebar cookiebanner disclaimer rail teaser"
+    "widget login toolbar skip hidden adbox adslot adunit aside commentlist cookiebar cookiebanner rail"
 ))
 WHOLE = set(words("html body article main"))
 PARTS = set(words("div section"))
