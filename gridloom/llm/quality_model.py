@@ -172,9 +172,10 @@ def logit(p: Column) -> Column:
 def path_rates(scored: DataFrame, labels: DataFrame) -> DataFrame:
     """(site, path, bad, toxic): posterior rates of every path, through its site and the global rate."""
     known = scored.join(labels_of(labels), F.col("doc_id") == F.col("_label"), "left")
-    sums = known.groupBy("source", "lang").agg(F.count("*").alias("n"), *[
+    # Written once: scoring every text is the cost, and the sums are read by path, by site and as a whole.
+    sums = materialise(known.groupBy("source", "lang").agg(F.count("*").alias("n"), *[
         F.sum(F.coalesce(F.col(f"_{o}").cast("double"), F.col(f"p_{o}"))).alias(o) for o in OUTCOMES
-    ])
+    ]))
     sites = sums.groupBy(F.col("source").alias("_site")).agg(F.sum("n").alias("site_n"), *[F.sum(o).alias(f"site_{o}") for o in OUTCOMES])
     whole = sums.agg(F.sum("n").alias("all_n"), *[F.sum(o).alias(f"all_{o}") for o in OUTCOMES]).first()
     rates = sums.join(sites, F.col("source").eqNullSafe(F.col("_site")))
