@@ -103,6 +103,20 @@ def cos_incidence(dec: Column, hour: Column, latitude: Column, tilt: Column, azi
     return F.greatest(F.lit(0.0), F.sin(t) * F.sin(a) * east + F.sin(t) * F.cos(a) * north + F.cos(t) * up)
 
 
+def azimuth_deg(dec: Column, hour: Column, latitude: Column) -> Column:
+    """Bearing of the sun, clockwise from north."""
+    phi = F.radians(latitude)
+    east = -F.cos(dec) * F.sin(hour)
+    north = F.cos(phi) * F.sin(dec) - F.sin(phi) * F.cos(dec) * F.cos(hour)
+    return F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))
+
+
+def clear_sky_dni(clear_ghi: Column, sin_elev: Column) -> Column:
+    """Direct normal irradiance of the clear sky: its global irradiance without the diffuse share."""
+    share = diffuse_fraction(clearness_index(clear_ghi, sin_elev))
+    return F.when(sin_elev > LOW_SUN, clear_ghi * (1.0 - share) / sin_elev).otherwise(0.0)
+
+
 def plane_of_array(
     ghi: Column, diffuse_share: Column, sin_elev: Column, cos_aoi: Column, tilt: Column, given: tuple[Column, Column] | None = None
 ) -> Column:

@@ -190,7 +190,10 @@ def solar_estimate(forecast: DataFrame, sites: DataFrame, *, dc_ac_ratio: float
     return clear_ghi.select(
         *forecast.columns, "capacity_mw", "latitude", "tilt_deg", "azimuth_deg",
         solar.elevation_deg(F.col("sun_now")).alias("solar_elevation"),
+        (90.0 - solar.elevation_deg(F.col("sun_now"))).alias("solar_zenith"),
+        solar.azimuth_deg(F.col("sun_now_dec"), F.col("sun_now_h"), F.col("latitude")).alias("solar_azimuth"),
         "clearsky_ghi",
+        solar.clear_sky_dni(F.col("clearsky_ghi"), F.col("sun_now")).alias("clearsky_dni"),
         F.col("poa_now").alias("poa_nwp"),
         F.col("cell_now").alias("cell_temp_c"),
         solar.clearness(F.col("ghi_now"), F.col("clearsky_ghi")).alias("kt_nwp"),
@@ -200,12 +203,14 @@ def solar_estimate(forecast: DataFrame, sites: DataFrame, *, dc_ac_ratio: float
 
 
 def solar_features(forecast: DataFrame, sites: DataFrame) -> DataFrame:
+    """Features of the solar model; weather columns that a corpus may lack are passed on where it has them."""
     est = solar_estimate(forecast, sites)
+    optional = [c for c in ("cloud_mid", "cloud_high", "rh_pct", "precip_mm") if c in forecast.columns]
     cap = F.col("capacity_mw")
     w = per_lead()
     return est.select(
         "site_id", "valid_time", "issue_time", "horizon_h", "ghi_wm2", "cloud_total", "cloud_low", "temp_2m_c",
-        "wind_speed_10m", "solar_elevation", "clearsky_ghi", "poa_nwp", "cell_temp_c", "kt_nwp",
+        "wind_speed_10m", *optional, "solar_elevation", "solar_zenith", "solar_azimuth", "clearsky_ghi", "clearsky_dni", "poa_nwp", "cell_temp_c", "kt_nwp",
         (F.col("physics_ac_mw") / cap).alias("physics_cf"),
         (F.col("clearsky_ac_mw") / cap).alias("clearsky_cf"),
         solar.guarded_ratio(F.col("physics_ac_mw"), F.col("clearsky_ac_mw")).alias("physics_over_clearsky"),

@@ -334,3 +334,12 @@ def test_panel_uses_given_beam_and_diffuse(spark):
     ground = 500 * (1 - np.cos(np.radians(30))) * (solar.GROUND_ALBEDO / 2)
     assert got[0] == pytest.approx(700 * 0.8 + 100 * (np.cos(np.radians(30)) + 1) / 2 + ground)
     assert got[1] == got[2] == own
+
+
+def test_sun_bearing(spark):
+    noon = F.lit(0.0)
+    rows = spark.createDataFrame([(51.0,), (-34.0,)], "latitude double")
+    south, north = [r[0] for r in rows.select(solar.azimuth_deg(F.lit(0.0), noon, F.col("latitude"))).collect()]
+    assert south == pytest.approx(180) and min(north, 360 - north) == pytest.approx(0, abs=1e-6)
+    morning, evening = spark.range(1).select(*[solar.azimuth_deg(F.lit(0.0), F.lit(h), F.lit(0.1)) for h in (-1.2, 1.2)]).first()
+    assert 80 < morning < 100 and 260 < evening < 280
