@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\x0c\r"
+#: Bits of a filter that says which numbers may be in a column: 8 MB, whatever the input.
+FILTER_BITS = 1 << 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -59,3 +62,18 @@ def free_name(frame: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def bits_of(numbers: DataFrame, column: str) -> np.ndarray:
+    """A filter of FILTER_BITS bits over a column of 64-bit numbers; its size does not depend on the rows."""
+    bit = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = numbers.select(F.shiftright(bit, 6).alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return bits.view(np.uint8)
+
+
+def in_filter(bits: np.ndarray, value: int) -> bool:
+    at = value & (FILTER_BITS - 1)
+    return bool(bits[at >> 3] >> (at & 7) & 1)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import free_name, map_rows
+from gridloom.llm.common import bits_of, free_name, in_filter, map_rows
 from gridloom.llm.components import components
 from gridloom.session import materialise
 
@@ -36,8 +36,6 @@ from gridloom.session import materialise
 BUCKETS = 1 << 18
 #: Bits of the parity sketch of a set, by the largest size that takes them. Sketches of other lengths are not compared.
 SKETCH_BITS = ((1_200, 1 << 10), (6_000, 1 << 12), (30_000, 1 << 14), (1 << 62, 1 << 16))
-#: Bits of the filter of sets worth sending: 8 MB, whatever the input. It may let others pass, never drop one.
-FILTER_BITS = 1 << 26
 #: Word hashes remembered by a worker.
 REMEMBERED = 600_000
 
@@ -179,21 +177,14 @@ def posting_lists(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
 def sets_of(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> DataFrame:
     """(set, shingles) of the wanted digests, read again from the texts through a filter of fixed size."""
-    bit = F.xxhash64("set").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = wanted.select(F.shiftright(bit, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
-    words = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["at"].to_numpy()] = words["bits"].to_numpy()
-    known = np.unpackbits(bits.view(np.uint8), bitorder="little")
-    known = np.packbits(known, bitorder="little")
+    known = bits_of(wanted.select(F.xxhash64("set").alias("hash")), "hash")
 
     def one(row: tuple) -> tuple:
         found = shingle_set(row[0], size)
         if not len(found):
             return None, None
         name = digest_of(found)
-        at = spark_hash(name) & (FILTER_BITS - 1)
-        return (name, found.view(np.int64).tolist()) if known[at >> 3] >> (at & 7) & 1 else (None, None)
+        return (name, found.view(np.int64).tolist()) if in_filter(known, spark_hash(name)) else (None, None)
 
     sets = map_rows(docs.select(text), one, "set binary, shingles array<long>").where("set IS NOT NULL")
     return sets.dropDuplicates(["set"]).join(wanted.select("set"), "set", "left_semi")

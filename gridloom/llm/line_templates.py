@@ -19,11 +19,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from hashlib import blake2b
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import flat_map_rows, free_name, map_rows
+from gridloom.llm.common import bits_of, flat_map_rows, free_name, in_filter, map_rows
 from gridloom.session import materialise
 
 DEPTH, SHARE, MIN_TOKENS = 3, 0.2, 4
@@ -32,7 +31,6 @@ MIN_LINES, MIN_LINES_VARIED, MIN_CONSTANT = 3, 10, 0.75
 #: Different surroundings for each line of a template, at least, and so many more, which counts for rare ones.
 MIN_DIVERSITY, MORE = 0.5, 1.5
 FIELD = "<*>"
-FILTER_BITS = 1 << 26
 #: Dropped lines that every worker holds at most, as 64-bit hashes.
 IN_MEMORY = 1_000_000
 DIGITS = frozenset("0123456789")
@@ -64,21 +62,6 @@ def line_leaves(text: str | None) -> Iterator[tuple[list[str], int, int]]:
             yield tokens, leaves[i], (before * 0x9E3779B97F4A7C15 ^ after) & 0x7FFFFFFFFFFFFFFF
 
 
-def bits_of(numbers: DataFrame, column: str) -> np.ndarray:
-    """A filter of FILTER_BITS bits over a column of 64-bit numbers; its size does not depend on the rows."""
-    bit = F.col(column).bitwiseAND(F.lit(FILTER_BITS - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    words = numbers.select(F.shiftright(bit, 6).alias("at"), one.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words["at"].to_numpy()] = words["bits"].to_numpy()
-    return bits.view(np.uint8)
-
-
-def in_filter(bits: np.ndarray, value: int) -> bool:
-    at = value & (FILTER_BITS - 1)
-    return bool(bits[at >> 3] >> (at & 7) & 1)
-
-
 def recurring_leaves(docs: DataFrame, text: str) -> DataFrame:
     rows = flat_map_rows(docs.select(text), lambda r: ((leaf,) for _, leaf, _ in line_leaves(r[0])), "leaf long")
     return materialise(rows.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= MIN_LINES))
