@@ -2,16 +2,18 @@
 
 A line's leaf is its token count and its first ``DEPTH`` tokens, where a token with a digit counts as a variable
 field. Inside a leaf, a token that at least ``SHARE`` of the lines have at its place is constant, any other is a
-variable field too: that gives the line's template. A template is recurring if enough lines have it, in enough
-different surroundings (the leaves of the lines before and after), and enough of its tokens are constant. Lines of
-copied documents recur between the same neighbours, boilerplate between ever new ones, so copies are left to the
-near-duplicate stage. All lines of a recurring template are dropped, in every document.
+variable field too: that gives the line's template. A template is recurring if enough different documents have it
+and enough of its tokens are constant. All lines of a recurring template are dropped, in every document.
+
+Documents are told apart by their whole texts: exact copies count once, and so do near copies, by the classes of
+the near-duplicate stage (``NEAR_SIZE`` words, ``NEAR_PERCENT``) among the texts that hold a line in question. So
+copied documents stay whole, as that stage's work, however often they are copied.
 
 Null text stays null, empty text empty. Lines of fewer than ``MIN_TOKENS`` tokens are never dropped. Repeated
 rows each get their own result. Other columns are passed on, whatever their names. Counting covers all lines of
 all texts: leaves are counted first, and only lines of leaves that occur ``MIN_LINES`` times are looked at again,
-picked out by a filter of fixed size that may let others through but drops none. Leaves and lines are known by
-64-bit hashes.
+picked out by a filter of fixed size that may let others through but drops none. Leaves, lines and texts are known
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import bits_of, flat_map_rows, free_name, in_filter, map_rows
+from gridloom.llm.jaccard_join import near_duplicates
 from gridloom.session import materialise
 
 DEPTH, SHARE, MIN_TOKENS = 3, 0.2, 4
-#: Recurring: so many lines and surroundings for a template without variable words, and for one with some.
+#: Recurring: so many different documents for a template without variable words, and for one with some.
 MIN_LINES, MIN_LINES_VARIED, MIN_CONSTANT = 3, 10, 0.75
-#: Different surroundings for each line of a template, at least, and so many more, which counts for rare ones.
+#: Different documents for each text of a template, at least, and so many more, which counts for rare ones.
 MIN_DIVERSITY, MORE = 0.5, 1.5
+#: Texts that are near copies of each other: words a shingle, and similarity.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
 FIELD = "<*>"
 #: Dropped lines that every worker holds at most, as 64-bit hashes.
 IN_MEMORY = 1_000_000
@@ -51,19 +56,16 @@ def leaf_of(tokens: list[str]) -> int:
     return number(str(len(tokens)), *tokens[:DEPTH])
 
 
-def line_leaves(text: str | None) -> Iterator[tuple[list[str], int, int]]:
-    """(tokens, leaf, surroundings) of each line long enough to be dropped."""
-    lines = [masked(line) for line in (text or "").split("\n")]
-    lines = [tokens for tokens in lines if tokens]
-    leaves = [leaf_of(tokens) for tokens in lines]
-    for i, tokens in enumerate(lines):
+def line_leaves(text: str | None) -> Iterator[tuple[list[str], int]]:
+    """(tokens, leaf) of each line long enough to be dropped."""
+    for line in (text or "").split("\n"):
+        tokens = masked(line)
         if len(tokens) >= MIN_TOKENS:
-            before, after = leaves[i - 1] if i else 0, leaves[i + 1] if i + 1 < len(lines) else 0
-            yield tokens, leaves[i], (before * 0x9E3779B97F4A7C15 ^ after) & 0x7FFFFFFFFFFFFFFF
+            yield tokens, leaf_of(tokens)
 
 
 def recurring_leaves(docs: DataFrame, text: str) -> DataFrame:
-    rows = flat_map_rows(docs.select(text), lambda r: ((leaf,) for _, leaf, _ in line_leaves(r[0])), "leaf long")
+    rows = flat_map_rows(docs.select(text), lambda r: ((leaf,) for _, leaf in line_leaves(r[0])), "leaf long")
     return materialise(rows.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= MIN_LINES))
 
 
@@ -82,39 +84,63 @@ def template(tokens: Column, constant: Column) -> Column:
     return F.transform(tokens, own)
 
 
+def classes_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
+    """(whole, class) of the wanted texts: near copies have one class."""
+    known = bits_of(wanted, "whole")
+    named = lambda r: ((whole, r[0]),) if in_filter(known, whole := number(r[0] or "")) else ()
+    texts = materialise(flat_map_rows(docs.select(text), named, "whole long, body string"))
+    near = near_duplicates(texts, NEAR_SIZE, NEAR_PERCENT, "whole", "body")
+    return materialise(near.select("whole", F.col("component_id").alias("class")).distinct())
+
+
+def recurring_templates(docs: DataFrame, text: str, found: DataFrame, templates: DataFrame) -> DataFrame:
+    """(template) of ``templates`` (line, template, least) that ``least`` different documents have."""
+    held = found.select("line", "whole").join(templates.select("line", "template"), "line").select("template", "whole").distinct()
+    held = materialise(held)
+    likely = held.groupBy("template").agg(F.count("*").alias("texts"))
+    likely = materialise(likely.join(templates.select("template", "least").distinct(), "template").where("texts >= least"))
+    held = materialise(held.join(likely.select("template"), "template", "left_semi"))
+    wanted = materialise(held.select("whole").distinct())
+    if not wanted.take(1):
+        return likely.select("template")
+    seen = held.join(classes_of(docs, text, wanted), "whole").select("template", "class").distinct()
+    seen = seen.groupBy("template").agg(F.count("*").alias("classes"))
+    return seen.join(likely, "template").where((F.col("classes") >= F.col("least")) & (F.col("classes") >= F.col("texts") * MIN_DIVERSITY + MORE)).select("template")
+
+
 def dropped_lines(docs: DataFrame, text: str) -> DataFrame:
     """(line): hashes of the masked lines whose template recurs."""
     leaves = recurring_leaves(docs, text)
     known = bits_of(leaves, "leaf")
 
     def lines_of(row: tuple) -> Iterator[tuple]:
-        for tokens, leaf, around in line_leaves(row[0]):
-            if in_filter(known, leaf):
-                yield leaf, number(*tokens), tokens, around
-
-    found = flat_map_rows(docs.select(text), lines_of, "leaf long, line long, tokens array<string>, around long")
-    # The tokens are a function of the line; copies of a line are added up before they are dealt out.
-    found = found.groupBy("leaf", "line", "around").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
+        whole, seen = number(row[0] or ""), set()
+        for tokens, leaf in line_leaves(row[0]):
+            if in_filter(known, leaf) and (line := number(*tokens)) not in seen:
+                seen.add(line)
+                yield leaf, line, tokens, whole
+
+    found = flat_map_rows(docs.select(text), lines_of, "leaf long, line long, tokens array<string>, whole long")
+    # The tokens are a function of the line; copies of a text are one before they are dealt out.
+    found = found.groupBy("leaf", "line", "whole").agg(F.first("tokens").alias("tokens"))
     found = materialise(found.join(leaves.select("leaf"), "leaf", "left_semi"))
-    lines = materialise(found.groupBy("leaf", "line").agg(F.sum("n").alias("n"), F.first("tokens").alias("tokens")))
+    lines = materialise(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")))
     lines = lines.join(constant_tokens(lines), "leaf", "left")
     none = F.array().cast("array<struct<place: int, token: string>>")
     shape = template(F.col("tokens"), F.coalesce("constant", none))
     lines = lines.withColumn("shape", shape).select(
-        "leaf", "line", F.xxhash64("leaf", "shape").alias("template"),
+        "line", F.xxhash64("leaf", "shape").alias("template"),
         F.size("tokens").alias("size"), F.size(F.filter("shape", lambda t: t != FIELD)).alias("constants"),
         F.forall(F.zip_with("tokens", "shape", lambda a, b: a == b), lambda same: same).alias("plain"),
     )
     lines = materialise(lines)
-    around = found.select("leaf", "line", "around", "n").join(lines.select("leaf", "line", "template"), ["leaf", "line"])
-    around = around.groupBy("template", "around").agg(F.sum("n").alias("n")).groupBy("template").agg(F.sum("n").alias("lines"), F.count("*").alias("surroundings"))
-    plain = lines.groupBy("template").agg(F.bool_and("plain").alias("plain"), F.min(F.col("constants") / F.col("size")).alias("share"))
-    least = F.when(F.col("plain"), MIN_LINES).otherwise(MIN_LINES_VARIED)
-    recurring = around.join(plain, "template").where(
-        (F.col("surroundings") >= least) & (F.col("surroundings") >= F.col("lines") * MIN_DIVERSITY + MORE)
-        & (F.col("plain") | (F.col("share") >= MIN_CONSTANT))
+    kinds = lines.groupBy("template").agg(F.bool_and("plain").alias("plain"), F.min(F.col("constants") / F.col("size")).alias("share"))
+    kinds = kinds.where(F.col("plain") | (F.col("share") >= MIN_CONSTANT)).select(
+        "template", F.when(F.col("plain"), MIN_LINES).otherwise(MIN_LINES_VARIED).alias("least")
     )
-    return materialise(lines.join(recurring.select("template"), "template", "left_semi").select("line").distinct())
+    templates = materialise(lines.select("line", "template").join(materialise(kinds), "template"))
+    recurring = materialise(recurring_templates(docs, text, found, templates))
+    return materialise(templates.join(recurring, "template", "left_semi").select("line").distinct())
 
 
 def without(text: str | None, dropped) -> tuple[str | None, int, int]:

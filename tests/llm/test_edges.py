@@ -255,3 +255,22 @@ def test_pipeline_stages(spark):
             assert docs.columns == columns
     assert docs.where("copies < 1").count() == 0
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def random_lines(seed):
+    from random import Random
+
+    r = Random(seed)
+    word = lambda: "".join(r.choice("bcdfgaeiou") for _ in range(r.randint(4, 9)))
+    return lambda n: " ".join(word() for _ in range(n))
+
+
+def test_a_header_of_several_lines_goes_in_every_document(spark):
+    line = random_lines(5)
+    header = [line(8) for _ in range(4)]
+    texts = ["\n".join([*header, *(line(14) for _ in range(5))]) for _ in range(12)]
+    family = [line(14) for _ in range(8)]
+    near = ["\n".join([*family[:7], " ".join([*family[7].split()[:13], line(1)])]) for _ in range(12)]
+    rows = {r.doc_id: r.text for r in line_templates.drop_lines(documents(spark, texts + near)).collect()}
+    assert [rows[i] for i in range(12)] == [t.split("\n", 4)[4] for t in texts]
+    assert [rows[12 + i] for i in range(12)] == near
