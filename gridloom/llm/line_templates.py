@@ -7,7 +7,8 @@ and enough of its tokens are constant. All lines of a recurring template are dro
 
 Documents are told apart by their whole texts: exact copies count once, and so do near copies, by the classes of
 the near-duplicate stage (``NEAR_SIZE`` words, ``NEAR_PERCENT``) among the texts that hold a line in question. So
-copied documents stay whole, as that stage's work, however often they are copied.
+copied documents stay whole, as that stage's work, however often they are copied, and neither copies nor more
+input can take away what speaks for a template.
 
 Null text stays null, empty text empty. Lines of fewer than ``MIN_TOKENS`` tokens are never dropped. Repeated
 rows each get their own result. Other columns are passed on, whatever their names. Counting covers all lines of
@@ -31,8 +32,6 @@ from gridloom.session import materialise
 DEPTH, SHARE, MIN_TOKENS = 3, 0.2, 4
 #: Recurring: so many different documents for a template without variable words, and for one with some.
 MIN_LINES, MIN_LINES_VARIED, MIN_CONSTANT = 3, 10, 0.75
-#: Different documents for each text of a template, at least, and so many more, which counts for rare ones.
-MIN_DIVERSITY, MORE = 0.5, 1.5
 #: Texts that are near copies of each other: words a shingle, and similarity.
 NEAR_SIZE, NEAR_PERCENT = 5, 80
 FIELD = "<*>"
@@ -105,7 +104,7 @@ def recurring_templates(docs: DataFrame, text: str, found: DataFrame, templates:
         return likely.select("template")
     seen = held.join(classes_of(docs, text, wanted), "whole").select("template", "class").distinct()
     seen = seen.groupBy("template").agg(F.count("*").alias("classes"))
-    return seen.join(likely, "template").where((F.col("classes") >= F.col("least")) & (F.col("classes") >= F.col("texts") * MIN_DIVERSITY + MORE)).select("template")
+    return seen.join(likely, "template").where("classes >= least").select("template")
 
 
 def dropped_lines(docs: DataFrame, text: str) -> DataFrame:

@@ -274,3 +274,14 @@ def test_a_header_of_several_lines_goes_in_every_document(spark):
     rows = {r.doc_id: r.text for r in line_templates.drop_lines(documents(spark, texts + near)).collect()}
     assert [rows[i] for i in range(12)] == [t.split("\n", 4)[4] for t in texts]
     assert [rows[12 + i] for i in range(12)] == near
+
+
+def test_a_group_of_near_copies_keeps_no_template(spark):
+    line = random_lines(6)
+    notice = line(9)
+    unrelated = ["\n".join([line(15), notice, line(15)]) for _ in range(6)]
+    family = [line(14) for _ in range(8)]
+    copies = ["\n".join([*family[:4], notice, *family[4:7], " ".join([*family[7].split()[:13], line(1)])]) for _ in range(30)]
+    rows = line_templates.drop_lines(documents(spark, unrelated + copies)).collect()
+    assert not any(notice in r.text for r in rows)
+    assert all(r.text.count("\n") == (1 if r.doc_id < 6 else 7) for r in rows)
