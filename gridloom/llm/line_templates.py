@@ -1,9 +1,12 @@
 """Line dedup by a fixed-depth template tree.
 
 A line's leaf is its token count and its first ``DEPTH`` tokens, where a token with a digit counts as a variable
-field. Inside a leaf, a token that at least ``SHARE`` of the lines have at its place is constant, any other is a
-variable field too: that gives the line's template. A template is recurring if enough different documents have it
-and enough of its tokens are constant. All lines of a recurring template are dropped, in every document.
+field. A line recurs if enough different documents have it word for word, fields aside. A line template keeps the
+constant tokens and makes the others variable fields too: a token is constant if at least ``SHARE`` of the lines of
+the leaf have it at its place, or if so many lines have it as one of ``SUPPORTS``. Each of these gives a line a
+template; any of them will do, so a leaf with many templates loses none of them. A template recurs if enough
+different documents have it and enough of its tokens are constant. All lines that recur, or whose template does,
+are dropped, in every document.
 
 Documents are told apart by their whole texts: exact copies count once, and so do near copies, by the classes of
 the near-duplicate stage (``NEAR_SIZE`` words, ``NEAR_PERCENT``) among the texts that hold a line in question. So
@@ -30,10 +33,12 @@ from gridloom.llm.jaccard_join import near_duplicates
 from gridloom.session import materialise
 
 DEPTH, SHARE, MIN_TOKENS = 3, 0.2, 4
-#: Recurring: so many different documents for a template without variable words, and for one with some.
+#: Recurring: so many different documents for a line as it is, and for a template with variable words.
 MIN_LINES, MIN_LINES_VARIED, MIN_CONSTANT = 3, 10, 0.75
 #: Texts that are near copies of each other: words a shingle, and similarity.
 NEAR_SIZE, NEAR_PERCENT = 5, 80
+#: Lines that must have a token at its place, whatever else is in the leaf; a template is found at the one below its size.
+SUPPORTS = tuple(MIN_LINES_VARIED * 8**k for k in range(10))
 FIELD = "<*>"
 #: Dropped lines that every worker holds at most, as 64-bit hashes.
 IN_MEMORY = 1_000_000
@@ -68,19 +73,32 @@ def recurring_leaves(docs: DataFrame, text: str) -> DataFrame:
     return materialise(rows.groupBy("leaf").agg(F.count("*").alias("lines")).where(F.col("lines") >= MIN_LINES))
 
 
-def constant_tokens(lines: DataFrame) -> DataFrame:
-    """(leaf, constant): the tokens that are constant at each place of a leaf, as (place, token) pairs."""
-    places = lines.select("leaf", "n", F.posexplode("tokens").alias("place", "token"))
-    tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("n"))
-    whole = lines.groupBy("leaf").agg(F.sum("n").alias("lines"))
-    kept = materialise(tokens.where("n >= 2")).join(materialise(whole), "leaf").where(F.col("n") >= F.col("lines") * SHARE)
-    # At most 1 / SHARE tokens a place. Written tables let the joins on a leaf with very many lines be split.
-    return materialise(kept.groupBy("leaf").agg(F.collect_list(F.struct("place", "token")).alias("constant")))
+def line_templates(lines: DataFrame) -> DataFrame:
+    """(line, template): the templates with variable words of each line, over leaves with enough lines for one."""
+    whole = lines.groupBy("leaf").agg(F.sum("n").alias("lines")).where(F.col("lines") >= MIN_LINES_VARIED)
+    # Written tables let the joins on a leaf with very many lines be split.
+    whole = materialise(whole)
+    # The first tokens are the same in the whole leaf.
+    head = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != FIELD))
+    lines = materialise(lines.join(whole.select("leaf"), "leaf").select("leaf", "line", "n", "tokens", F.size("tokens").alias("size"), head.alias("head")))
+    tail = F.posexplode(F.slice(F.col("tokens"), F.lit(DEPTH + 1), F.size("tokens"))).alias("place", "token")
+    places = lines.select("leaf", "line", "n", "size", "head", tail).where(F.col("token") != FIELD)
+    tokens = places.groupBy("leaf", "place", "token").agg(F.sum("n").alias("support")).where("support >= 2").join(whole, "leaf")
+    tokens = tokens.select("leaf", "place", "token", "support", (F.col("support") >= F.col("lines") * SHARE).alias("common"))
+    tokens = materialise(tokens.where(F.col("common") | (F.col("support") >= SUPPORTS[0])))
+    cells = places.join(tokens, ["leaf", "place", "token"]).groupBy("leaf", "line", "size", "head").agg(
+        F.sort_array(F.collect_list(F.struct("place", "token", "support", "common"))).alias("cells")
+    )
 
+    def shape(constant) -> Column:
+        return F.transform(F.filter("cells", constant), lambda c: F.struct(c["place"].alias("place"), c["token"].alias("token")))
 
-def template(tokens: Column, constant: Column) -> Column:
-    own = lambda t, i: F.when((t == FIELD) | F.array_contains(constant, F.struct(i.alias("place"), t.alias("token"))), t).otherwise(F.lit(FIELD))
-    return F.transform(tokens, own)
+    shapes = [shape(lambda c: c["common"]), *[shape(lambda c, least=least: c["support"] >= least) for least in SUPPORTS]]
+    bare = F.array().cast("array<struct<place: int, token: string>>")
+    made = cells.select("leaf", "line", "size", "head", F.explode(F.array_distinct(F.array(*shapes))).alias("shape"))
+    made = made.unionByName(lines.select("leaf", "line", "size", "head", bare.alias("shape")))
+    made = made.where(F.col("head") + F.size("shape") >= F.col("size") * MIN_CONSTANT)
+    return made.select("line", F.xxhash64("leaf", "shape").alias("template")).distinct()
 
 
 def classes_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -124,20 +142,8 @@ def dropped_lines(docs: DataFrame, text: str) -> DataFrame:
     found = found.groupBy("leaf", "line", "whole").agg(F.first("tokens").alias("tokens"))
     found = materialise(found.join(leaves.select("leaf"), "leaf", "left_semi"))
     lines = materialise(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")))
-    lines = lines.join(constant_tokens(lines), "leaf", "left")
-    none = F.array().cast("array<struct<place: int, token: string>>")
-    shape = template(F.col("tokens"), F.coalesce("constant", none))
-    lines = lines.withColumn("shape", shape).select(
-        "line", F.xxhash64("leaf", "shape").alias("template"),
-        F.size("tokens").alias("size"), F.size(F.filter("shape", lambda t: t != FIELD)).alias("constants"),
-        F.forall(F.zip_with("tokens", "shape", lambda a, b: a == b), lambda same: same).alias("plain"),
-    )
-    lines = materialise(lines)
-    kinds = lines.groupBy("template").agg(F.bool_and("plain").alias("plain"), F.min(F.col("constants") / F.col("size")).alias("share"))
-    kinds = kinds.where(F.col("plain") | (F.col("share") >= MIN_CONSTANT)).select(
-        "template", F.when(F.col("plain"), MIN_LINES).otherwise(MIN_LINES_VARIED).alias("least")
-    )
-    templates = materialise(lines.select("line", "template").join(materialise(kinds), "template"))
+    same = lines.where(F.col("n") >= MIN_LINES).select("line", F.xxhash64("line").alias("template"), F.lit(MIN_LINES).alias("least"))
+    templates = materialise(same.unionByName(line_templates(lines).withColumn("least", F.lit(MIN_LINES_VARIED))))
     recurring = materialise(recurring_templates(docs, text, found, templates))
     return materialise(templates.join(recurring, "template", "left_semi").select("line").distinct())
 

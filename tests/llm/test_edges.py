@@ -285,3 +285,13 @@ def test_a_group_of_near_copies_keeps_no_template(spark):
     rows = line_templates.drop_lines(documents(spark, unrelated + copies)).collect()
     assert not any(notice in r.text for r in rows)
     assert all(r.text.count("\n") == (1 if r.doc_id < 6 else 7) for r in rows)
+
+
+def test_a_crowded_leaf_loses_no_template(spark):
+    line = random_lines(7)
+    head = line(3)
+    exact = [f"{head} {line(6)}" for _ in range(6)]
+    varied = [f"{head} {line(4)} {{}} {line(1)}" for _ in range(6)]
+    texts = ["\n".join([line(20), exact[i % 6], line(20), varied[i % 6].format(line(1)), line(20)]) for i in range(72)]
+    rows = line_templates.drop_lines(documents(spark, texts)).collect()
+    assert all(head not in r.text and r.text.count("\n") == 2 for r in rows)
