@@ -2,11 +2,11 @@
 
 Sure spans (``assign``, ``access``, ``hex``) stand alone. Weak parts (an account name, an opaque token, an
 endpoint) are reported only where a complementary part lies in the same scope of the same text, at most
-``reach`` code points away. A scope is a run of lines without an empty line between them.
+``reach`` code points between the end of one and the start of the other. A scope is a run of lines without an empty line between them.
 
 Null or empty text: no spans. Repeated rows each get their own result. A weak part that overlaps a sure span
 is dropped. A text of any length is scanned whole; the link step joins on (row, scope, bin of ``reach``
-characters), so one long text is many small groups. Other columns are ignored, whatever their names.
+characters) with every bin that a part covers, so one long text is many small groups. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -101,18 +101,20 @@ def linked(parts: DataFrame, reach: int) -> DataFrame:
     needs = F.element_at(
         F.create_map(*[x for r, n in NEEDS.items() for x in (F.lit(r), F.array(*map(F.lit, n)))]), F.col("role")
     )
-    parts = parts.withColumn("role", role).withColumn("bin", F.floor(F.col("start") / reach))
-    weak = parts.where(F.col("kind") >= 3).withColumn("needs", needs).alias("w")
-    support = parts.select(
-        "row", "scope", "role", "start", "end",
-        F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"),
-    ).dropDuplicates().alias("s")
+    parts = parts.withColumn("role", role)
+
+    def bins(more: int):
+        place = lambda c: F.floor(F.col(c) / reach)
+        return F.explode(F.sequence(place("start") - more, place("end") + more)).alias("bin")
+
+    weak = parts.where(F.col("kind") >= 3).select("row", "scope", "role", "start", "kind", "end", bins(0)).withColumn("needs", needs).alias("w")
+    support = parts.select("row", "scope", "role", "start", "end", bins(1)).dropDuplicates().alias("s")
     near = (
         (F.col("w.row") == F.col("s.row")) & (F.col("w.scope") == F.col("s.scope")) & (F.col("w.bin") == F.col("s.bin"))
         & F.array_contains(F.col("w.needs"), F.col("s.role"))
-        & (F.abs(F.col("w.start") - F.col("s.start")) <= reach)
+        & (F.col("w.start") - F.col("s.end") <= reach) & (F.col("s.start") - F.col("w.end") <= reach)
     )
-    return weak.join(support, near, "left_semi").select("row", "start", "kind", "end")
+    return weak.join(support, near, "left_semi").select("row", "start", "kind", "end").distinct()
 
 
 def secret_spans(
@@ -150,7 +152,7 @@ def brute_force(body: str | None, reach: int = 200) -> tuple[int, int, int, str,
     role = lambda k: ROLE[KINDS[k]]
     kept = [
         w for w in weak
-        if any(role(p[1]) in NEEDS[role(w[1])] and abs(p[0] - w[0]) <= reach and scope(p[0]) == scope(w[0]) for p in sure + weak)
+        if any(role(p[1]) in NEEDS[role(w[1])] and max(p[0], w[0]) - min(p[2], w[2]) <= reach and scope(p[0]) == scope(w[0]) for p in sure + weak)
     ]
     text, counts = span_text(KINDS), [sum(k == n for _, k, _ in sure) for n in range(3)]
     return (*counts, hashlib.sha256(text(sure).encode()).hexdigest(), text(sure + kept))

@@ -295,3 +295,10 @@ def test_a_crowded_leaf_loses_no_template(spark):
     texts = ["\n".join([line(20), exact[i % 6], line(20), varied[i % 6].format(line(1)), line(20)]) for i in range(72)]
     rows = line_templates.drop_lines(documents(spark, texts)).collect()
     assert all(head not in r.text and r.text.count("\n") == 2 for r in rows)
+
+
+def test_a_long_secret_part_reaches_from_its_end(spark):
+    key = "aB3dE5fG7hJ9kL1mN0pQ" * 40
+    texts = [f"{key} https://db.example.com/x", f"{key}{' x' * 120} https://db.example.com/x"]
+    rows = {r.doc_id: r.spans for r in secret_scan.digest(secret_scan.secret_spans(documents(spark, texts))).collect()}
+    assert rows[0] == "opaque:0:800,endpoint:801:825" and rows[1] == ""
