@@ -35,7 +35,7 @@ WIND_FEATURES = [
 
 
 def _wind_model(t):
-    return _once(t, "wind", lambda: training.train_bands(_wind_data(t), WIND_FEATURES, rounds=10, depth=4))
+    return _once(t, "wind", lambda: training.train_bands(_wind_data(t), WIND_FEATURES))
 
 
 _GROUPS = """
@@ -120,21 +120,21 @@ def _(t):
 def _(t):
     names = ["horizon_h", "ghi_wm2", "cloud_total", "temp_2m_c", "physics_cf", "clearsky_cf", "kt_nwp", "hour_sin", "hour_cos", "ghi_wm2_roll_mean", "cloud_total_roll_std"]
     data = _once(t, "solar data", lambda: materialise(training.solar_dataset(t.weather.where("tech = 'solar'"), t.hourly, t.sites)))
-    model = _once(t, "solar", lambda: training.train_bands(data, names, rounds=8, depth=4))
+    model = _once(t, "solar", lambda: training.train_bands(data, names))
     return training.score_bands(data, model)
 
 
 def _demand_data(t):
     centre = keep_one(t.weather.where("horizon_h = 24").select("region", "valid_time", "site_id", "temp_2m_c", "cloud_total", "wind_speed_10m", "ghi_wm2"),
                       ["region", "valid_time"], ["site_id"]).drop("site_id")
-    return training.demand_dataset(t.market_grid, centre, REGION_CLOCKS, (1, 24, 48, 72), sorted(REGION_CLOCKS))
+    return training.demand_dataset(t.market_grid, centre, REGION_CLOCKS, features.HORIZONS, sorted(REGION_CLOCKS))
 
 
 @query("demand_scoring", "L9 L7 C30", "region valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f actual_mw:f")
 def _(t):
     data = _once(t, "demand data", lambda: materialise(_demand_data(t)))
     names = [c for c in training.feature_names(data) if c not in ("is_holiday",)]
-    model = _once(t, "demand", lambda: training.train_bands(data, names, rounds=8, depth=4))
+    model = _once(t, "demand", lambda: training.train_bands(data, names))
     return training.score_demand(data, model)
 
 
@@ -177,8 +177,7 @@ def _(t):
 
 @query("leave_sites_out", "L11 E35", "site_id n:i nmae_pct:f bias_pct:f")
 def _(t):
-    names = WIND_FEATURES[:9]
-    scored = _once(t, "lso", lambda: training.leave_sites_out(_wind_data(t), names, 3, rounds=4))
+    scored = _once(t, "lso", lambda: training.leave_sites_out(_wind_data(t), WIND_FEATURES, 8))
     rows = scored.where(F.col("power_mw").isNotNull()).select("site_id", F.col("power_mw").alias("actual_mw"), F.col("denominator_mw").alias("capacity_mw"), "p50_mw")
     return metrics.score(rows, ["site_id"])
 

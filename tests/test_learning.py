@@ -58,3 +58,10 @@ def test_stream_equals_batch(spark, tmp_path):
     joined = batch.join(got, ["event_type", "valid_time"])
     assert got.count() == batch.count() == joined.count() > 50
     assert joined.where(F.abs(F.col("m") - F.col("mean_value")) > 1e-9).count() == 0
+
+
+def test_demand_is_scored_at_every_horizon(spark):
+    from gridloom.operators.features import HORIZONS
+
+    scored = run(load_catalogue()["demand_scoring"], spark, BIG)
+    assert {r.horizon_h for r in scored.select("horizon_h").distinct().collect()} == set(HORIZONS)
