@@ -73,19 +73,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialise(frame: DataFrame) -> DataFrame:
+def materialise(frame: DataFrame, by: str | None = None) -> DataFrame:
     """Write a frame once to the shared folder and read it back.
 
     Cuts lineage like a checkpoint, but computes the frame once, keeps it columnar with statistics,
-    and survives lost executors. ``clear_materialised`` deletes what a session has written; a session that is
-    still alive when Python ends does so by itself.
+    and survives lost executors. With ``by`` the table is bucketed by that column, one bucket a shuffle partition,
+    so joins on the column leave its rows where they are. ``clear_materialised`` deletes what a session has
+    written; a session that is still alive when Python ends does so by itself.
     """
-    path = f"{shared_dir(frame.sparkSession)}/tables/{uuid.uuid4().hex}"
+    spark, name = frame.sparkSession, uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/tables/{name}"
     if not _WRITTEN:
         atexit.register(_clear_at_exit)
     _WRITTEN.append(path)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    if by is None:
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frame.repartition(n, by).write.bucketBy(n, by).option("path", path).saveAsTable(f"written_{name}")
+    return spark.table(f"written_{name}")
 
 
 _WRITTEN: list[str] = []
