@@ -75,5 +75,23 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.digest(personal.personal_spans(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_model, op4_mixing, op5_jaccard_join, op6_line_templates, op7_secret_scan, op8_token_counts, op9_page_text, op10_personal_data)}
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.substring_dedup import digest
+
+    return digest(table(spark, sf_dir, "documents"))
+
+
+def op12_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.heap_clusters import clusters, digest
+
+    return digest(*clusters(table(spark, sf_dir, "embeddings")))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm.conversation_trie import prefix_trie
+
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_quality_model, op4_mixing, op5_jaccard_join, op6_line_templates, op7_secret_scan, op8_token_counts, op9_page_text, op10_personal_data, op11_substring_dedup, op12_heap_clusters, op13_conversation_trie)}
 ORACLES: dict[str, str] = {"op1_quality_rules": rules.SQL, "op2_decontamination": overlap.SQL, "op5_jaccard_join": jaccard.SQL}
