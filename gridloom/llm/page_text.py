@@ -1,19 +1,23 @@
 """Main text of web pages: named furniture goes by its markup, site templates by recurrence over a host's pages.
 
 Each element outside the article has its subtree hashed (tag, text and the hashes of its children). Spark counts
-on how many different pages of a host a subtree occurs; subtrees on at least ``min_pages`` of them and on
-``min_share`` of the host's pages are templates and are deleted wherever they occur on that host. Inside
-``article`` or ``main`` only short divisions without a paragraph can be templates, so a passage that many articles of
-a site quote stays. A page with neither is judged by recurrence alone. Identical pages count once.
+on how many different pages of a host a subtree occurs; subtrees on at least ``min_pages`` of them are templates and
+are deleted wherever they occur on that host, so more pages of a host never bring furniture back (``min_share`` can
+ask for a share of the host's pages besides). Inside ``article`` or ``main`` only short divisions without a paragraph
+can be templates, so a passage that many articles of a site quote stays. A page with neither is judged by recurrence
+alone. Identical pages count once.
 
 Null or empty html: empty text. Null url: a host of its own (the empty one). Repeated rows each get their own
-result. Markup that is never closed ends with its parent. Other columns are ignored, whatever their names.
-Counts are aggregated before they are shuffled, so a host with a third of all pages is no larger a task.
+result. Markup that is never closed ends with its parent, a ``<`` that no ``>`` follows is text, and a tag whose quotes
+do not close ends at the first ``>``. The time for a page grows with its length, whatever its nesting and however
+broken it is. Other columns are ignored, whatever their names. Counts are aggregated before they are shuffled, so a
+host with a third of all pages is no larger a task.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from hashlib import blake2b
 from html import unescape
 
@@ -23,10 +27,8 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import map_rows
 from gridloom.session import materialise
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
+OPEN = re.compile(r"<!--|<[!?]|<(/?)([A-Za-z][^\s/>]*+)")
+ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 ATTRIBUTE = re.compile(r"""([A-Za-z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 words = str.split
 VOID = set(words("area base br col embed hr img input link meta param source track wbr"))
@@ -72,6 +74,39 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     return bool(names & MARKS) or found.get("role", "").lower() in ROLES or "header" in names and not in_article
 
 
+class _TagEnds:
+    """Where tags of a page end: the first ``>`` outside of quotes, or the first of all where quotes do not close."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.events: list[int] | None = None
+        self.ends: list[int] = []
+
+    def after(self, at: int) -> int:
+        if self.events is None:
+            if (found := ATTRIBUTES.match(self.html, at)) is not None:
+                return found.end() - 1
+            self._prepare()
+        end = self.ends[bisect_left(self.events, at)]
+        return end if end >= 0 else self.html.find(">", at)
+
+    def _prepare(self) -> None:
+        """The end for each place that a tag's attributes may begin at, from the last one back."""
+        self.events = [m.start() for m in re.finditer("[>\"']", self.html)]
+        outside = double = single = -1
+        self.ends = [-1]
+        for at in reversed(self.events):
+            c = self.html[at]
+            if c == ">":
+                outside = at
+            elif c == '"':
+                outside, double = double, outside
+            else:
+                outside, single = single, outside
+            self.ends.append(outside)
+        self.ends.reverse()
+
+
 class _Element:
     __slots__ = ("article", "children", "dropped", "mark", "n_words", "paragraph", "place", "tag")
 
@@ -83,71 +118,97 @@ class _Element:
         self.paragraph, self.n_words = tag == "p", 0
 
 
-def parse(html: str | None) -> tuple[list[tuple[str, bool, list[int]]], set[int]]:
-    """Blocks (text, whether in the article, hashes of the subtrees they lie in) and all subtree hashes of a page."""
-    stack = [_Element("", None, False, 0)]
+class _Open:
+    """The elements that are open, with the places of each tag and of the marked ones among them."""
+
+    def __init__(self) -> None:
+        self.stack = [_Element("", None, False, 0)]
+        self.at: dict[str, list[int]] = {}
+        self.marked: list[int] = []
+
+    def push(self, element: _Element) -> None:
+        self.at.setdefault(element.tag, []).append(len(self.stack))
+        if element.mark is not None:
+            self.marked.append(len(self.stack))
+        self.stack.append(element)
+
+    def pop(self) -> _Element:
+        element = self.stack.pop()
+        self.at[element.tag].pop()
+        if self.marked and self.marked[-1] == len(self.stack):
+            self.marked.pop()
+        return element
+
+    def find(self, tags: set[str], scope: set[str]) -> int:
+        """Place of the innermost element with one of the tags, 0 if an element of the scope lies inside of it."""
+        here, border = (max((self.at[t][-1] for t in some if self.at.get(t)), default=0) for some in (tags, scope))
+        return here if here >= border else 0
+
+
+def parse(html: str | None) -> tuple[list[tuple[str, int]], list[int], list[int | None]]:
+    """Blocks (text, element), and each element's parent and subtree hash (none where it cannot be a template)."""
+    opened = _Open()
+    stack = opened.stack
     hashes: list[int | None] = [None]
-    blocks: list[tuple[str, bool, bool, list[int]]] = []
+    parents = [0]
+    blocks: list[tuple[str, bool, int]] = []
     waiting: list[str] = []
 
     def flush() -> None:
-        outer = next((i for i, e in enumerate(stack) if e.mark is not None), 0)
-        if outer:  # a block begins inside an inline element that is left out: what came before it is kept
+        top = stack[-1]
+        if opened.marked:  # a block begins inside an inline element that is left out: what came before it is kept
+            outer = opened.marked[0]
             del waiting[stack[outer].mark :]
             stack[outer].mark = 0
-            inner = stack[outer:]
-            del stack[outer:]
-            flush()
-            stack.extend(inner)
-            return
+            top = stack[outer - 1]
         text = " ".join(unescape("".join(waiting)).split())
         waiting.clear()
         if text:
-            top = stack[-1]
             top.children.append(text)
-            for element in stack:
-                element.n_words += text.count(" ") + 1
+            top.n_words += text.count(" ") + 1
             if not top.dropped:
-                blocks.append((text, top.article, top.dropped, [e.place for e in stack[1:] if e.tag not in WHOLE]))
+                blocks.append((text, top.article, top.place))
 
     def close() -> None:
-        element = stack.pop()
+        element = opened.pop()
         own = number(element.tag, *element.children)
         furniture = not element.paragraph and element.n_words < 20 and element.tag in PARTS
         if element.tag not in WHOLE and element.children and (not element.article or furniture):
             hashes[element.place] = own
         stack[-1].children.append(str(own))
         stack[-1].paragraph |= element.paragraph
+        stack[-1].n_words += element.n_words
 
     def close_to(at: int) -> None:
         flush()
         while len(stack) > at:
             close()
 
-    def open_at(tags: set[str], scope: set[str]) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in scope:
-                return 0
-        return 0
-
-    html, at, search = html or "", 0, TOKEN.search
-    while (found := search(html, at)) is not None:
-        if found.start() > at:
-            waiting.append(html[at : found.start()])
-        at = found.end()
-        ending, tag, attributes = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
+    html, at = html or "", 0
+    ends = _TagEnds(html)
+    while (found := OPEN.search(html, at)) is not None:
+        start, ending, tag = found.start(), found[1], found[2]
+        if found[0] != "<!--" and start > ends.last:
+            break
+        if start > at:
+            waiting.append(html[at:start])
         if not tag:
+            if found[0] == "<!--":
+                end = html.find("-->", found.end())
+                at = end + 3 if end >= 0 else len(html)
+            else:
+                at = html.find(">", start) + 1
             continue
+        close_at = ends.after(found.end())
+        attributes, at = html[found.end() : close_at], close_at + 1
         tag = tag.lower()
         if ending:
-            here = open_at({tag}, set() if tag in BLOCK and tag != "p" else P_SCOPE - {tag})
+            here = opened.find({tag}, set() if tag in BLOCK and tag != "p" else P_SCOPE - {tag})
             if here:
                 if tag in BLOCK:
                     close_to(here)
                 elif here == len(stack) - 1 and stack[here].mark is not None:  # its text leaves the open block
-                    del waiting[stack.pop().mark :]
+                    del waiting[opened.pop().mark :]
                 else:
                     close_to(here)
             elif tag in BLOCK:
@@ -156,16 +217,17 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, list[int]]], set[int]
         if tag == "br":
             waiting.append(" ")
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else len(html)
+            end = re.compile(rf"</{tag}\b", re.I).search(html, at)
+            stop = html.find(">", end.end()) if end else -1
+            at = stop + 1 if stop >= 0 else len(html)
             continue
         if tag in BLOCK:
             flush()
-            if tag in CLOSES_P and (here := open_at({"p"}, P_SCOPE)):
+            if tag in CLOSES_P and (here := opened.find({"p"}, P_SCOPE)):
                 close_to(here)
             if tag in ENDS:
                 closed, scope = ENDS[tag]
-                while here := open_at(closed, scope):
+                while here := opened.find(closed, scope):
                     close_to(here)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
@@ -173,16 +235,27 @@ def parse(html: str | None) -> tuple[list[tuple[str, bool, list[int]]], set[int]
         dropped = top.dropped or is_furniture(tag, attributes, top.article)
         if tag not in BLOCK and dropped == top.dropped:
             continue  # an inline element that changes nothing
-        hashes.append(None)
-        stack.append(_Element(tag, top, dropped, len(hashes) - 1))
+        element = _Element(tag, top, dropped, len(hashes))
         if tag not in BLOCK:
-            stack[-1].mark = len(waiting)
+            element.mark = len(waiting)
+        hashes.append(None)
+        parents.append(top.place)
+        opened.push(element)
     waiting.append(html[at:])
     close_to(1)
-    chains = [(text, article, [hashes[p] for p in places if hashes[p] is not None]) for text, article, _, places in blocks]
-    if any(article for _, article, _ in chains):
-        chains = [c for c in chains if c[1]]
-    return chains, {h for h in hashes if h is not None}
+    if any(article for _, article, _ in blocks):
+        blocks = [b for b in blocks if b[1]]
+    return [(text, place) for text, _, place in blocks], parents, hashes
+
+
+def kept_text(blocks: list[dict], parents: list[int], hashes: list[int | None], deleted: list[int] | None) -> str:
+    """The blocks outside of deleted subtrees, joined by line ends; an element's parent stands before it."""
+    gone = set(deleted or ())
+    dead = [False] * len(parents)
+    if gone:
+        for place in range(1, len(parents)):
+            dead[place] = dead[parents[place]] or hashes[place] in gone
+    return "\n".join(b["text"] for b in blocks if not dead[b["place"]])
 
 
 def host_of(url: str | None) -> str:
@@ -196,18 +269,20 @@ def page_name(html: str | None) -> bytes:
 
 def site_templates(pages: DataFrame, url: str, html: str, min_pages: int, min_share: float) -> DataFrame:
     """(host, page, deleted): the template subtrees on each different page of a host that has any."""
-    parts = map_rows(
-        pages.select(url, html), lambda r: (host_of(r[0]), page_name(r[1]), list(parse(r[1])[1])), "host string, page binary, parts array<long>"
-    )
+    def one(row: tuple) -> tuple:
+        return host_of(row[0]), page_name(row[1]), list({h for h in parse(row[1])[2] if h is not None})
+
+    parts = map_rows(pages.select(url, html), one, "host string, page binary, parts array<long>")
     parts = materialise(parts.select("host", "page", F.explode_outer("parts").alias("part")).distinct())
-    per_host = parts.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    counts = parts.where("part IS NOT NULL").groupBy("host", "part").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    recurring = counts.join(per_host, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "part")
-    return parts.join(recurring, ["host", "part"]).groupBy("host", "page").agg(F.collect_list("part").alias("deleted"))
+    recurring = parts.where("part IS NOT NULL").groupBy("host", "part").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    if min_share:
+        per_host = parts.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+        recurring = recurring.join(per_host, "host").where(F.col("n") >= F.col("pages") * min_share)
+    return parts.join(recurring.select("host", "part"), ["host", "part"]).groupBy("host", "page").agg(F.collect_list("part").alias("deleted"))
 
 
 def main_text(
-    pages: DataFrame, min_pages: int = 3, min_share: float = 0.05, keys: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html"
+    pages: DataFrame, min_pages: int = 3, min_share: float = 0.0, keys: tuple[str, ...] = ("page_id", "url"), url: str = "url", html: str = "html"
 ) -> DataFrame:
     """Keys and text: the blocks of the main text in page order, joined by line ends."""
     templates = site_templates(pages, url, html, min_pages, min_share)
@@ -215,12 +290,12 @@ def main_text(
 
     def one(row: tuple) -> tuple:
         *key, link, body = row
-        blocks = [{"text": text, "chain": chain} for text, _, chain in parse(body)[0]]
-        return (*key, host_of(link), page_name(body), blocks)
+        blocks, parents, hashes = parse(body)
+        return (*key, host_of(link), page_name(body), [{"text": t, "place": p} for t, p in blocks], parents, hashes)
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _host string, _page binary, _blocks array<struct<text: string, chain: array<long>>>"
+    names = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    schema = f"{names}, _host string, _page binary, _blocks array<struct<text: string, place: int>>, _parents array<int>, _hashes array<long>"
     rows = map_rows(pages.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(url).alias("u"), F.col(html).alias("h")), one, schema)
-    templates = templates.select(F.col("host").alias("_host"), F.col("page").alias("_page"), "deleted")
-    rows = rows.join(templates, ["_host", "_page"], "left")
-    kept = F.filter("_blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["chain"], F.col("deleted")), F.lit(False)))
-    return rows.select(*keys, F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    templates = templates.select(F.col("host").alias("_host"), F.col("page").alias("_page"), F.col("deleted").alias("_deleted"))
+    rows = rows.join(templates, ["_host", "_page"], "left").select(*keys, "_blocks", "_parents", "_hashes", "_deleted")
+    return map_rows(rows, lambda r: (*r[:-4], kept_text(*r[-4:])), f"{names}, text string")
