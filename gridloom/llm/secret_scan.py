@@ -1,11 +1,13 @@
 """Secrets in texts: sure patterns, and weak parts linked by an interval join.
 
 Sure spans (``assign``, ``access``, ``hex``) stand alone. Weak parts (an account name, an opaque token, an
-endpoint) are reported only where a complementary part lies in the same scope of the same text, at most
-``reach`` code points between the end of one and the start of the other. A scope is a run of lines without an empty line between them.
+endpoint) are reported only where a complementary part lies in the same scope of the same text. A scope is a run of
+lines without an empty line between them. Parts in different lines of a scope belong together however far apart;
+in one line at most ``reach`` code points lie between the end of one and the start of the other.
 
 Null or empty text: no spans. Repeated rows each get their own result. A weak part that overlaps a sure span
-is dropped. A text of any length is scanned whole; the link step joins on (row, scope, bin of ``reach``
+is dropped. A text of any length is scanned whole, in time that grows with its length. Parts in other lines are found
+by the first and last line of each role in a scope, parts in one line by a join on (row, line, bin of ``reach``
 characters) with every bin that a part covers, so one long text is many small groups. Other columns are ignored, whatever their names.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +40,8 @@ ACCOUNT = re.compile(
     re.I | re.A,
 )
 OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
-ENDPOINT = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s\"'<>]+")
+# The look behind lets a run of such characters be tried once, at its begin.
+ENDPOINT = re.compile(r"(?<![A-Za-z0-9+.-])[0-9+.-]*+([A-Za-z][A-Za-z0-9+.-]*+://[^\s\"'<>]+)")
 
 
 def bits(token: str) -> float:
@@ -67,15 +71,23 @@ def weak_spans(body: str, sure: list[tuple[int, int, int]]) -> list[tuple[int, i
         if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and bits(m[0]) >= 3.5
     ]
     if "://" in body:
-        found += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(body)]
-    return [w for w in sorted(found) if not any(s < w[2] and w[0] < e for s, _, e in sure)]
+        found += [(m.start(1), 5, m.end()) for m in ENDPOINT.finditer(body)]
+    starts, ends = [], []  # the sure spans as stretches apart from each other
+    for start, _, end in sure:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    free = lambda w: (at := bisect_left(starts, w[2])) == 0 or ends[at - 1] <= w[0]
+    return [w for w in sorted(found) if free(w)]
 
 
 def scan(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """One row per text: keys, ``sure`` spans, and the ``parts`` of texts that hold two roles or more."""
     kinds = dict(docs.dtypes)
     span = "array<struct<start: long, kind: int, end: long>>"
-    part = "array<struct<start: long, kind: int, end: long, scope: long>>"
+    part = "array<struct<start: long, kind: int, end: long, scope: long, line: long>>"
 
     def one(row: tuple) -> tuple:
         *key, body = row
@@ -84,11 +96,10 @@ def scan(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text
         weak = weak_spans(body, sure)
         parts = sorted(sure + weak) if weak and len({ROLE[KINDS[k]] for _, k, _ in sure + weak}) > 1 else []
         breaks = [m.end() for m in re.finditer(r"\n[\x20\t\r]*\n", body)] if parts else []
-        scopes, b = [], 0
-        for start, kind, end in parts:
-            while b < len(breaks) and breaks[b] <= start:
-                b += 1
-            scopes.append({"start": start, "kind": kind, "end": end, "scope": b})
+        lines = [m.end() for m in re.finditer("\n", body)] if parts else []
+        scopes = [
+            {"start": s, "kind": k, "end": e, "scope": bisect_right(breaks, s), "line": bisect_right(lines, s)} for s, k, e in parts
+        ]
         return (*key, [{"start": s, "kind": k, "end": e} for s, k, e in sure], scopes)
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", sure {span}, parts {part}"
@@ -96,25 +107,30 @@ def scan(docs: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text
 
 
 def linked(parts: DataFrame, reach: int) -> DataFrame:
-    """Weak parts with a complementary part within ``reach``: an interval join by bins of that width."""
+    """Weak parts with a complementary part in another line of their scope, or in their line within ``reach``."""
     role = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLE[k])]), F.col("kind"))
     needs = F.element_at(
         F.create_map(*[x for r, n in NEEDS.items() for x in (F.lit(r), F.array(*map(F.lit, n)))]), F.col("role")
     )
     parts = parts.withColumn("role", role)
+    weak = parts.where(F.col("kind") >= 3).withColumn("needs", needs)
+    lines = parts.groupBy("row", "scope", F.col("role").alias("need")).agg(F.min("line").alias("first"), F.max("line").alias("last"))
+    asked = weak.select("row", "scope", "line", "start", "kind", "end", F.explode("needs").alias("need"))
+    apart = asked.join(lines, ["row", "scope", "need"]).where("first <> line OR last <> line").select("row", "start", "kind", "end")
 
     def bins(more: int):
         place = lambda c: F.floor(F.col(c) / reach)
         return F.explode(F.sequence(place("start") - more, place("end") + more)).alias("bin")
 
-    weak = parts.where(F.col("kind") >= 3).select("row", "scope", "role", "start", "kind", "end", bins(0)).withColumn("needs", needs).alias("w")
-    support = parts.select("row", "scope", "role", "start", "end", bins(1)).dropDuplicates().alias("s")
+    weak = weak.select("row", "line", "role", "start", "kind", "end", "needs", bins(0)).alias("w")
+    support = parts.select("row", "line", "role", "start", "end", bins(1)).dropDuplicates().alias("s")
     near = (
-        (F.col("w.row") == F.col("s.row")) & (F.col("w.scope") == F.col("s.scope")) & (F.col("w.bin") == F.col("s.bin"))
+        (F.col("w.row") == F.col("s.row")) & (F.col("w.line") == F.col("s.line")) & (F.col("w.bin") == F.col("s.bin"))
         & F.array_contains(F.col("w.needs"), F.col("s.role"))
         & (F.col("w.start") - F.col("s.end") <= reach) & (F.col("s.start") - F.col("w.end") <= reach)
     )
-    return weak.join(support, near, "left_semi").select("row", "start", "kind", "end").distinct()
+    near = weak.join(support, near, "left_semi").select("row", "start", "kind", "end")
+    return near.unionByName(apart).distinct()
 
 
 def secret_spans(
@@ -144,15 +160,26 @@ def digest(spans: DataFrame) -> DataFrame:
 
 
 def brute_force(body: str | None, reach: int = 200) -> tuple[int, int, int, str, str]:
-    """The digest of one text by comparing every pair of parts; for tests."""
+    """The digest of one text from the plain patterns and by comparing every pair of parts; for tests."""
     body = body or ""
-    sure = sure_spans(body)
-    weak = weak_spans(body, sure)
+    base = [
+        (r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 1, 12), (r"AKIA[A-Z0-9]+", 0, 0, 18),
+        (r"[0-9a-f]+", 0, 0, 16),
+    ]
+    sure = sorted((m.start(), k, m.end()) for k, (p, flags, group, least) in enumerate(base) for m in re.finditer(p, body, flags) if len(m[group]) >= least)
+    strong = lambda t: re.search("[0-9]", t) and re.search("[A-Za-z]", t) and bits(t) >= 3.5
+    weak = [(m.start(1), 3, m.end(1)) for m in ACCOUNT.finditer(body)]
+    weak += [(m.start(), 4, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]+", body) if len(m[0]) >= 20 and strong(m[0])]
+    weak += [(m.start(), 5, m.end()) for m in re.finditer(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+""", body)]
+    weak = [w for w in weak if not any(s < w[2] and w[0] < e for s, _, e in sure)]
     scope = lambda at: len([m for m in re.finditer(r"\n[\x20\t\r]*\n", body) if m.end() <= at])
+    line = lambda at: body.count("\n", 0, at)
     role = lambda k: ROLE[KINDS[k]]
-    kept = [
-        w for w in weak
-        if any(role(p[1]) in NEEDS[role(w[1])] and max(p[0], w[0]) - min(p[2], w[2]) <= reach and scope(p[0]) == scope(w[0]) for p in sure + weak)
-    ]
+
+    def together(w: tuple, p: tuple) -> bool:
+        close = max(p[0], w[0]) - min(p[2], w[2]) <= reach
+        return role(p[1]) in NEEDS[role(w[1])] and scope(p[0]) == scope(w[0]) and (line(p[0]) != line(w[0]) or close)
+
+    kept = [w for w in weak if any(together(w, p) for p in sure + weak)]
     text, counts = span_text(KINDS), [sum(k == n for _, k, _ in sure) for n in range(3)]
     return (*counts, hashlib.sha256(text(sure).encode()).hexdigest(), text(sure + kept))
