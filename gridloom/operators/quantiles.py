@@ -27,6 +27,9 @@ def _rank_struct(level: Column, n: Column, method: str) -> Column:
     if method == "higher":
         # Guard against a position that is whole but for float noise.
         return F.array(F.struct((F.ceil(position - 1e-9) + 1).cast("long").alias("rank"), F.lit(1.0).alias("weight")))
+    if method == "share":
+        # The least value with a share of at least ``level`` at or below it.
+        return F.array(F.struct(F.greatest(F.lit(1), F.ceil(n * level - 1e-9)).cast("long").alias("rank"), F.lit(1.0).alias("weight")))
     if method != "linear":
         raise ValueError(f"unknown quantile method {method}")
     part = position - low
@@ -50,7 +53,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """``(keys, level, n, quantile)`` per group. ``adjust(level, n)`` may move a level by group size.
 
-    ``linear`` interpolates like ``percentile``; ``higher`` takes the next order statistic.
+    ``linear`` interpolates like ``percentile``; ``higher`` takes the next order statistic; ``share`` the least value
+    with a share of at least ``level`` of the rows at or below it.
     """
     data = frame.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     # Repeats collapse here, and everything below reads this table: the input itself is read once.
@@ -60,6 +64,22 @@ def exact_quantiles(
     wanted = sizes.select(*keys, "n", F.explode(F.array(*[F.lit(float(q)) for q in levels])).alias("level")).select(
         *keys, "level", "n", F.explode(_rank_struct(level, F.col("n"), method)).alias("_r")
     ).select(*keys, "level", "n", "_r.rank", "_r.weight")
+    widest = distinct.groupBy(*keys).agg(F.count("*").alias("_m")).agg(F.max("_m")).first()[0] or 0
+    if widest <= bracket:  # every group fits a task: its values are ordered as they are
+        past = Window.partitionBy(*keys).orderBy("_v")
+        counted = distinct.withColumn("_upto", F.sum("_c").over(past)).withColumn("n", F.sum("_c").over(Window.partitionBy(*keys)))
+
+        def hit(rank: Column) -> Column:
+            return (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_c"))
+
+        def pick(q: Column) -> Column:
+            ranks = F.filter(_rank_struct(adjust(q, F.col("n")) if adjust else q, F.col("n"), method), lambda r: hit(r["rank"]))
+            weight = F.when(F.size(ranks) > 0, F.aggregate(ranks, F.lit(0.0), lambda acc, r: acc + r["weight"]))
+            return F.struct(q.alias("level"), weight.alias("weight"))
+
+        picks = F.filter(F.transform(F.array(*[F.lit(float(q)) for q in levels]), pick), lambda p: p["weight"].isNotNull())
+        picked = counted.select(*keys, "_v", "n", F.explode(picks).alias("_p")).select(*keys, "_v", "n", "_p.level", "_p.weight")
+        return picked.groupBy(*keys, "level", "n").agg(F.sum(F.col("_v") * F.col("weight")).alias(out))
     # Targets: one row per wanted rank, with the values it still lies between (lo, hi] and the rows at or below lo.
     targets = materialise(wanted.select(
         *keys, "level", "n", "rank", "weight", F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0).cast("long").alias("_skip")

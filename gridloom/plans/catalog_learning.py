@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import contracts, features, metrics, splits
+from gridloom.operators import boosting, contracts, features, metrics, splits
 from gridloom.operators.resample import keep_one
+from gridloom.plans import learning_sql as sql
 from gridloom.plans import training
 from gridloom.plans.adapters import REGION_CLOCKS, folder_state
 from gridloom.plans.registry import query
@@ -35,7 +36,7 @@ WIND_FEATURES = [
 
 
 def _wind_model(t):
-    return _once(t, "wind", lambda: training.train_bands(_wind_data(t), WIND_FEATURES))
+    return _once(t, "wind", lambda: training.train_bands(_wind_data(t), WIND_FEATURES, **BAND))
 
 
 _GROUPS = """
@@ -106,22 +107,54 @@ def _(t):
     return checked.join(moved, "horizon_h", "left").withColumn("rows_moved", F.coalesce("rows_moved", F.lit(0)))
 
 
-@query("band_training", "L7", "feature gain:f")
+BAND = {"rounds": 10, "depth": 5, "step": 0.3}
+FOLD = {"rounds": 5, "depth": 4, "step": 0.3}
+_WIND_FIT = sql.fitted("w_", sql.WIND, WIND_FEATURES, **BAND)
+_WIND_BAND = f"WITH {_WIND_FIT}, {sql.band_ctes('w_')}"
+
+
+@query("band_training", "L7", "feature gain:f", f"WITH {_WIND_FIT} SELECT feature, gain FROM w_gain ORDER BY gain DESC LIMIT 20")
 def _(t):
     return _wind_model(t).importances(t.spark).orderBy(F.col("gain").desc()).limit(20)
 
 
-@query("band_scoring", "L8 C24 D18", "site_id valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f")
+@query("validation_curve", "L7", "level:f round:i n:i loss:f best:b", f"""
+    WITH {_WIND_FIT} SELECT a AS level, l.round, n, loss, l.round = b.round AS best FROM w_loss l JOIN w_m USING (m) JOIN w_best b USING (m)""")
+def _(t):
+    """Loss of every prefix of the ensemble on the validation block, and the one that is kept."""
+    data = training._learnable(_wind_data(t).where("split = 'val'"), WIND_FEATURES, "target")
+    trees = _wind_model(t).trees
+    rows = data.select(F.col("target").alias("y"), F.array(F.lit(boosting.VALID)).alias("roles"), boosting.binned(data, WIND_FEATURES, trees.edges).alias("bins"))
+    losses = boosting.staged_loss(rows, trees)
+    kept = F.get(F.array(*map(F.lit, trees.kept)), F.col("m"))
+    return losses.select(boosting.level_of(trees, F.col("m")).alias("level"), "round", "n", "loss", (F.col("round") == kept).alias("best"))
+
+
+@query("band_scoring", "L8 C24 D18", "site_id valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f", f"{_WIND_BAND} SELECT * FROM w_out")
 def _(t):
     return training.score_bands(_wind_data(t), _wind_model(t))
 
 
-@query("solar_band_scoring", "L7 L8 C23", "site_id valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f clearsky_mw:f")
+SOLAR_FEATURES = [
+    "horizon_h", "lead_day", "hour_sin", "hour_cos", "doy_sin", "doy_cos", "ghi_wm2", "cloud_total", "cloud_low", "temp_2m_c", "wind_speed_10m", "solar_elevation", "clearsky_ghi",
+    "poa_nwp", "cell_temp_c", "kt_nwp", "physics_cf", "clearsky_cf", "physics_over_clearsky",
+    *[f"{c}_{k}" for c in ("ghi_wm2", "cloud_total") for k in ("lag1", "lead1", "lag3", "lead3", "roll_mean", "roll_std", "delta")],
+    "site_latitude", "site_tilt", "site_azimuth_sin", "site_azimuth_cos", "site_capacity_mw",
+]
+_SOLAR_BAND = f"WITH {sql.fitted('s_', sql.SOLAR, SOLAR_FEATURES, **BAND)}, {sql.band_ctes('s_', 'clearsky_mw')}"
+
+
+def _solar_data(t):
+    return _once(t, "solar data", lambda: materialise(training.solar_dataset(t.weather.where("tech = 'solar'"), t.hourly, t.sites)))
+
+
+def _solar_model(t):
+    return _once(t, "solar", lambda: training.train_bands(_solar_data(t), SOLAR_FEATURES, **BAND))
+
+
+@query("solar_band_scoring", "L7 L8 C23", "site_id valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f clearsky_mw:f", f"{_SOLAR_BAND} SELECT * FROM s_out")
 def _(t):
-    names = ["horizon_h", "ghi_wm2", "cloud_total", "temp_2m_c", "physics_cf", "clearsky_cf", "kt_nwp", "hour_sin", "hour_cos", "ghi_wm2_roll_mean", "cloud_total_roll_std"]
-    data = _once(t, "solar data", lambda: materialise(training.solar_dataset(t.weather.where("tech = 'solar'"), t.hourly, t.sites)))
-    model = _once(t, "solar", lambda: training.train_bands(data, names))
-    return training.score_bands(data, model)
+    return training.score_bands(_solar_data(t), _solar_model(t))
 
 
 def _demand_data(t):
@@ -133,29 +166,61 @@ def _demand_data(t):
 @query("demand_scoring", "L9 L7 C30", "region valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f actual_mw:f")
 def _(t):
     data = _once(t, "demand data", lambda: materialise(_demand_data(t)))
-    names = [c for c in training.feature_names(data) if c not in ("is_holiday",)]
-    model = _once(t, "demand", lambda: training.train_bands(data, names))
+    # A feature that never changes on the training rows (a holiday flag over a fortnight) is left out, any other is used.
+    fixed = {r.column for r in features.constant_columns(data.where("split = 'train'"), training.feature_names(data)).collect()}
+    names = [c for c in training.feature_names(data) if c not in fixed]
+    model = _once(t, "demand", lambda: training.train_bands(data, names, **BAND))
     return training.score_demand(data, model)
 
 
-def _evaluated(t):
-    scored = training.score_bands(_wind_data(t), _wind_model(t)).where(F.col("power_mw").isNotNull())
-    scored = scored.select("site_id", "valid_time", "horizon_h", "split", F.lit("wind").alias("tech"), "p10_mw", "p50_mw", "p90_mw",
-                           F.col("power_mw").alias("actual_mw"), F.col("denominator_mw").alias("capacity_mw"), F.col("denominator_mw").alias("clearsky_mw"),
-                           (F.col("cf_powercurve") * F.col("denominator_mw")).alias("physics_mw"))
-    measured = t.grid.where("tech = 'wind'").select("site_id", "valid_time", "power_mw", F.lit(1.0).alias("clearsky_mw"))
+def _evaluated(data, model, grid, tech, physics):
+    """Scored rows with truth and the state at issue; for solar the clear sky at issue and at the hour itself."""
+    scored = training.score_bands(data, model).where(F.col("power_mw").isNotNull())
+    clear = F.col("clearsky_mw") if tech == "solar" else F.col("denominator_mw")
+    scored = scored.select("site_id", "valid_time", "horizon_h", "split", F.lit(tech).alias("tech"), "p10_mw", "p50_mw", "p90_mw",
+                           F.col("power_mw").alias("actual_mw"), F.col("denominator_mw").alias("capacity_mw"), clear.alias("clearsky_mw"),
+                           (F.col(physics) * F.col("denominator_mw")).alias("physics_mw"))
+    measured = grid.where(F.col("tech") == tech).select("site_id", "valid_time", "power_mw")
+    if tech == "solar":
+        sky = data.groupBy("site_id", "valid_time").agg(F.max("clearsky_mw").alias("clearsky_mw"))
+        measured = measured.join(sky, ["site_id", "valid_time"], "left")
+    else:
+        measured = measured.withColumn("clearsky_mw", F.lit(0.0))
     return training.evaluation_frame(scored.drop("physics_mw"), measured, scored.select("site_id", "valid_time", "horizon_h", "physics_mw"))
 
 
-@query("evaluation_frame", "L10", "site_id valid_time:t horizon_h:i is_holdout:b p50_mw:f actual_mw:f physics_mw:f power_at_issue_mw:f")
+def _wind_evaluated(t):
+    return _once(t, "evaluated", lambda: materialise(_evaluated(_wind_data(t), _wind_model(t), t.grid, "wind", "cf_powercurve")))
+
+
+def _solar_evaluated(t):
+    return _once(t, "solar evaluated", lambda: materialise(_evaluated(_solar_data(t), _solar_model(t), t.grid, "solar", "physics_cf")))
+
+
+_WIND_EVAL = f"{_WIND_BAND}, {sql.evaluated('w_', 'wind', 'cf_powercurve', None)}"
+_SOLAR_EVAL = f"{_SOLAR_BAND}, {sql.evaluated('s_', 'solar', 'physics_cf', 'clearsky_mw')}"
+
+
+@query("evaluation_frame", "L10", "site_id valid_time:t horizon_h:i is_holdout:b p50_mw:f actual_mw:f physics_mw:f power_at_issue_mw:f", f"{_WIND_EVAL} SELECT * FROM w_ev")
+def _(t):
+    return _wind_evaluated(t)
+
+
+@query("solar_evaluation", "L10", "site_id valid_time:t horizon_h:i is_holdout:b p50_mw:f actual_mw:f physics_mw:f power_at_issue_mw:f clearsky_mw:f clearsky_at_issue_mw:f",
+       f"{_SOLAR_EVAL} SELECT *, clear_now AS clearsky_mw, clear_at_issue AS clearsky_at_issue_mw FROM s_ev")
+def _(t):
+    return _solar_evaluated(t)
+
+
+@query("model_benchmark", "L14 E20", "method lead_bucket n:i nmae_pct:f nrmse_pct:f bias_pct:f skill:f", f"{_WIND_EVAL}, {sql.benchmark('w_')}")
 def _(t):
-    return _evaluated(t)
+    return training.benchmark_report(training.with_baselines(_wind_evaluated(t)))
 
 
-@query("model_benchmark", "L14 E20", "method lead_bucket n:i nmae_pct:f nrmse_pct:f bias_pct:f skill:f")
+@query("solar_benchmark", "L14 F19 E20", "method lead_bucket n:i nmae_pct:f nrmse_pct:f bias_pct:f skill:f", f"{_SOLAR_EVAL}, {sql.benchmark('s_')}")
 def _(t):
-    frame = _once(t, "evaluated", lambda: materialise(_evaluated(t)))
-    return training.benchmark_report(training.with_baselines(frame))
+    """Every method on held-out solar hours; smart persistence holds the clear-sky index of the issue hour."""
+    return training.benchmark_report(training.with_baselines(_solar_evaluated(t)))
 
 
 @query("baseline_benchmark", "L14 E20 F19 E37", "method lead_bucket n:i nmae_pct:f skill:f", """
@@ -175,14 +240,19 @@ def _(t):
     return training.benchmark_report(training.with_baselines(frame), {"band": "p50_mw", "persistence": "persistence_mw", "climatology": "climatology_mw"})
 
 
-@query("leave_sites_out", "L11 E35", "site_id n:i nmae_pct:f bias_pct:f")
+@query("leave_sites_out", "L11 E35", "site_id n:i nmae_pct:f bias_pct:f", f"""
+    WITH {sql.split_ctes('f_', sql.WIND)}, {sql.fold_ctes('f_', WIND_FEATURES, 8, **FOLD)}
+    SELECT site_id, {sql.METRICS} FROM (SELECT site_id, p50_mw AS p, power_mw AS actual_mw, denominator_mw AS capacity_mw FROM f_out WHERE power_mw IS NOT NULL) z GROUP BY 1""")
 def _(t):
-    scored = _once(t, "lso", lambda: training.leave_sites_out(_wind_data(t), WIND_FEATURES, 8))
+    scored = _once(t, "lso", lambda: materialise(training.leave_sites_out(_wind_data(t), WIND_FEATURES, 8, **FOLD)))
     rows = scored.where(F.col("power_mw").isNotNull()).select("site_id", F.col("power_mw").alias("actual_mw"), F.col("denominator_mw").alias("capacity_mw"), "p50_mw")
     return metrics.score(rows, ["site_id"])
 
 
-@query("band_coverage", "E24 E44", "lead_bucket n:i nmae_pct:f coverage:f mean_width:f")
+@query("band_coverage", "E24 E44", "lead_bucket n:i nmae_pct:f coverage:f mean_width:f", f"""
+    {_WIND_BAND}, z AS (SELECT *, {sql.BUCKET} AS b, power_mw AS y_mw, denominator_mw AS c FROM w_out WHERE split = 'test' AND power_mw IS NOT NULL)
+    SELECT lead_bucket, count(*) AS n, avg(abs(p50_mw - y_mw) / c) * 100 AS nmae_pct, avg(CASE WHEN y_mw >= p10_mw AND y_mw <= p90_mw THEN 1.0 ELSE 0 END) AS coverage, avg((p90_mw - p10_mw) / c) AS mean_width
+    FROM (SELECT b AS lead_bucket, * FROM z UNION ALL SELECT 'all', * FROM z) q GROUP BY 1""")
 def _(t):
     scored = training.score_bands(_wind_data(t).where("split = 'test'"), _wind_model(t)).where(F.col("power_mw").isNotNull())
     return metrics.by_lead_bucket(scored.withColumns({"actual_mw": F.col("power_mw"), "capacity_mw": F.col("denominator_mw")}))

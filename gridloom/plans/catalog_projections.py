@@ -8,6 +8,7 @@ from gridloom.functions import bands, clock, solar, weather, wind
 from gridloom.operators import features, seasonal
 from gridloom.plans.adapters import REGION_CLOCKS
 from gridloom.plans.registry import query
+from gridloom.plans.solar_sql import SOLAR_ESTIMATE
 from gridloom.sources import market, payloads, tables
 
 
@@ -154,7 +155,7 @@ def _(t):
     return features.solar_estimate(t.weather.where("tech = 'solar' AND horizon_h = 24"), t.sites)
 
 
-@query("solar_power_estimate", "C18 C21", "site_id valid_time:t horizon_h:i poa_nwp:f cell_temp_c:f physics_cf:f clearsky_cf:f physics_over_clearsky:f")
+@query("solar_power_estimate", "C18 C21", "site_id valid_time:t horizon_h:i poa_nwp:f cell_temp_c:f physics_cf:f clearsky_cf:f physics_over_clearsky:f", SOLAR_ESTIMATE)
 def _(t):
     return features.solar_features(t.weather.where("tech = 'solar'"), t.sites)
 

@@ -1,142 +1,110 @@
 """Learned quantile bands: training, scoring, evaluation frames, cross-validation and reports.
 
-The median comes from gradient-boosted trees with absolute loss and early stopping on the validation
-block. The outer quantiles are residual quantiles per (lead bucket, predicted-value bin), then moved
-by the conformal step on held-out sites. Fits run on Spark; the driver sees tree nodes and a few
-dozen numbers, never rows.
+Each of p10, p50 and p90 is boosted on its own pinball loss by the features (``operators.boosting``), cut at its best
+round on the validation block, sorted per row, then moved by the conformal step on held-out sites. All levels, and in
+cross-validation all folds, grow in the same passes over one written table.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import bands, clock, solar
-from gridloom.operators import calibration, contracts, features, joins, metrics, splits
-from gridloom.operators.quantiles import exact_quantiles
+from gridloom.operators import boosting, calibration, contracts, features, joins, metrics, splits
 from gridloom.session import materialise
 
-BINS = 10
+LEVELS = [0.1, 0.5, 0.9]
 BOOKKEEPING = ("site_id", "region", "tech", "valid_time", "issue_time", "power_mw", "denominator_mw", "target", "split", "clearsky_mw")
+ROLES = {"train": boosting.TRAIN, "val": boosting.VALID, "calib": boosting.CALIB}
 
 
 @dataclass
 class BandModel:
-    """A median model with its feature order, residual table and widening table."""
+    """Boosted quantiles with their feature order, and a widening table."""
 
-    trees: GBTRegressionModel
+    trees: boosting.Ensemble
     feature_order: list[str]
-    residual_bands: DataFrame
     widening: DataFrame
 
-    def importances(self, spark) -> DataFrame:
-        pairs = [(n, float(v)) for n, v in zip(self.feature_order, self.trees.featureImportances.toArray())]
-        return spark.createDataFrame(pairs, "feature string, gain double")
+    def importances(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(list(self.trees.gains().items()), "feature string, gain double")
 
     def save(self, path: str) -> None:
-        self.trees.write().overwrite().save(f"{path}/trees")
-        self.residual_bands.write.mode("overwrite").parquet(f"{path}/residual_bands")
+        spark = self.widening.sparkSession
+        self.trees.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+        spark.createDataFrame([(self.trees.to_json(),)], "model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
         self.widening.write.mode("overwrite").parquet(f"{path}/widening")
 
     @classmethod
-    def load(cls, spark, path: str, feature_order: list[str]) -> "BandModel":
-        return cls(
-            GBTRegressionModel.load(f"{path}/trees"), feature_order,
-            spark.read.parquet(f"{path}/residual_bands"), spark.read.parquet(f"{path}/widening"),
-        )
+    def load(cls, spark: SparkSession, path: str, feature_order: list[str]) -> "BandModel":
+        trees = boosting.Ensemble.from_json(spark.read.parquet(f"{path}/model").first()["model"])
+        return cls(trees, feature_order, spark.read.parquet(f"{path}/widening"))
 
 
 def feature_names(frame: DataFrame) -> list[str]:
     return [c for c in frame.columns if c not in BOOKKEEPING]
 
 
-def _vectors(frame: DataFrame, names: list[str]) -> DataFrame:
-    """Assemble in stored order; rows with any missing feature are dropped."""
-    complete = features.complete_rows(frame, names)
-    return VectorAssembler(inputCols=names, outputCol="features").transform(complete)
-
-
-def _bin(median: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.floor(median * BINS), F.lit(BINS - 1))).cast("int")
-
-
-def _residual_table(scored: DataFrame) -> DataFrame:
-    """Residual p10 and p90 per (lead bucket, bin), and per bucket (bin -1) as fallback."""
-    bucket = clock.lead_bucket(F.col("horizon_h"))
-    rows = scored.select(
-        bucket.alias("lead_bucket"), F.explode(F.array(_bin(F.col("median")), F.lit(-1))).alias("bin"),
-        (F.col("target") - F.col("median")).alias("_e"),
-    )
-    q = exact_quantiles(rows, ["lead_bucket", "bin"], "_e", [0.1, 0.9])
-    return q.groupBy("lead_bucket", "bin").agg(
-        F.max("n").alias("n"), F.max(F.when(F.col("level") < 0.5, F.col("quantile"))).alias("lo"),
-        F.max(F.when(F.col("level") > 0.5, F.col("quantile"))).alias("hi"),
-    )
+def _learnable(frame: DataFrame, names: list[str], label: str) -> DataFrame:
+    """Rows with a known label, a role and every feature."""
+    known = features.complete_rows(frame.where(F.col(label).isNotNull()), names)
+    return known if label == "target" else known.withColumn("target", F.col(label))
 
 
-def _with_raw_band(scored: DataFrame, table: DataFrame) -> DataFrame:
-    """p10, p50, p90 in target units from the residual table, sorted."""
-    fine = table.where(F.col("bin") >= 0).select("lead_bucket", F.col("bin").alias("_bin"), F.col("lo").alias("_l1"), F.col("hi").alias("_h1"))
-    coarse = table.where(F.col("bin") == -1).select("lead_bucket", F.col("lo").alias("_l0"), F.col("hi").alias("_h0"))
-    keyed = scored.withColumns({"lead_bucket": clock.lead_bucket(F.col("horizon_h")), "_bin": _bin(F.col("median"))})
-    # The table holds at most 3 buckets x 11 bins: a few dozen rows by construction.
-    joined = keyed.join(F.broadcast(fine), ["lead_bucket", "_bin"], "left").join(F.broadcast(coarse), "lead_bucket", "left")
-    zero = F.lit(0.0)
-    lo, hi = F.coalesce("_l1", "_l0", zero), F.coalesce("_h1", "_h0", zero)
-    m = F.col("median")
-    staged = joined.withColumns({"_a": m + lo, "_c": m + hi}).drop("_l0", "_l1", "_h0", "_h1", "_bin")
-    return staged.withColumns({c: x for c, x in zip(("p10", "p50", "p90"), bands.sorted_band(F.col("_a"), m, F.col("_c")))}).drop("_a", "_c")
+def with_raw_band(frame: DataFrame, trees: boosting.Ensemble, group: Column | None = None) -> DataFrame:
+    """p10, p50, p90 in target units, sorted, for the rows that have every feature."""
+    scored = boosting.predicted(features.complete_rows(frame, trees.names), trees, "_q", group)
+    q = [F.get("_q", F.lit(i)) for i in range(3)]
+    return scored.withColumns({c: x for c, x in zip(("p10", "p50", "p90"), bands.sorted_band(*q))}).drop("_q")
 
 
 def train_bands(
-    frame: DataFrame, names: list[str], *, label: str = "target", rounds: int = 20, depth: int = 5, step: float = 0.2, seed: int = 42
+    frame: DataFrame, names: list[str], *, label: str = "target", rounds: int = 100, depth: int = 7, step: float = 0.1
 ) -> BandModel:
-    """Fit on ``split`` = train, stop on val, residual quantiles on val, widening on calib."""
-    keep = ["horizon_h", "split", *[c for c in ("region",) if c in frame.columns]]
-    vectors = _vectors(frame.where(F.col(label).isNotNull() & F.col("split").isin("train", "val", "calib")), names)
-    # Boosting reads its input once per round: the assembled table is written once instead of
-    # recomputing joins and windows for every round.
-    data = materialise(vectors.select("features", F.col(label).alias("target"), *keep))
-    trees = GBTRegressor(
-        lossType="absolute", featuresCol="features", labelCol="target", maxIter=rounds, maxDepth=depth, stepSize=step,
-        validationIndicatorCol="_val", seed=seed, predictionCol="median",
-    ).fit(data.where("split <> 'calib'").withColumn("_val", F.col("split") == "val"))
-    scored = trees.transform(data.where("split <> 'train'")).drop("features")
-    residuals = materialise(_residual_table(scored.where("split = 'val'")))
-    banded = _with_raw_band(scored.where("split = 'calib'"), residuals)
+    """Fit on ``split`` = train, best round on val, widening on calib."""
+    by_region = "region" in frame.columns
+    rows = _learnable(frame.where(F.col("split").isin(*ROLES)), names, label)
+    role = F.coalesce(*[F.when(F.col("split") == k, v) for k, v in ROLES.items()], F.lit(boosting.IDLE))
+    kept = [*names, *[c for c in ("horizon_h", "split", "region") if c in rows.columns and c not in names]]
+    data = materialise(rows.select("target", F.array(role).alias("roles"), *kept))
+    trees = boosting.fit(data, names, LEVELS, rounds=rounds, depth=depth, step=step)
+    banded = materialise(with_raw_band(data.where("split = 'calib'"), trees).drop(*[n for n in names if n != "horizon_h"]))
     scores = banded.withColumn("score", calibration.conformity(F.col("target"), F.col("p10"), F.col("p90")))
-    if "region" in keep:
+    if by_region:
         widening = calibration.region_calibration(
             banded.select("region", "horizon_h", F.col("target").alias("actual"), F.col("p10").alias("lower"), F.col("p90").alias("upper"))
         )
     else:
         widening = calibration.widening_by_bucket(scores, [])
-    return BandModel(trees, names, residuals, materialise(widening))
+    return BandModel(trees, names, materialise(widening))
 
 
-def score_bands(frame: DataFrame, model: BandModel) -> DataFrame:
-    """Quantile bands of a feature table in MW: align, score, sort, widen by bucket, keep the median
-    inside, denormalise and clamp. ``frame`` carries ``denominator_mw`` and, for solar,
-    ``clearsky_mw``."""
-    contracts.align_features(frame, model.feature_order)
-    raw = _with_raw_band(model.trees.transform(_vectors(frame, model.feature_order)).drop("features"), model.residual_bands)
-    widened = joins.widening_lookup(raw, model.widening, [])
+def _widened(raw: DataFrame, widening: DataFrame, keys: list[str]) -> DataFrame:
+    """The raw band widened by bucket, the median kept inside, denormalised and clamped, in MW."""
+    widened = joins.widening_lookup(raw, widening, keys)
     lower, upper = bands.widen(F.col("p10"), F.col("p90"), F.col("widening"))
     moved = widened.withColumns({"_lo": lower, "_hi": upper})
     lo, hi = bands.keep_median_inside(F.col("_lo"), F.col("p50"), F.col("_hi"))
     staged = moved.withColumns({"p10": lo, "p90": hi}).drop("_lo", "_hi")
     cap = F.col("denominator_mw")
-    clear = F.col("clearsky_mw") if "clearsky_mw" in frame.columns else None
-    return staged.withColumns({f"{q}_mw": solar.denormalise(F.col(q), cap, cap, clear) for q in ("p10", "p50", "p90")}).drop("p10", "p50", "p90", "median")
+    clear = F.col("clearsky_mw") if "clearsky_mw" in raw.columns else None
+    return staged.withColumns({f"{q}_mw": solar.denormalise(F.col(q), cap, cap, clear) for q in ("p10", "p50", "p90")}).drop("p10", "p50", "p90")
+
+
+def score_bands(frame: DataFrame, model: BandModel) -> DataFrame:
+    """Quantile bands of a feature table in MW: align, score, sort, widen by bucket, keep the median
+    inside, denormalise and clamp. ``frame`` carries ``denominator_mw`` and, for solar,
+    ``clearsky_mw``."""
+    contracts.align_features(frame, model.feature_order)
+    return _widened(with_raw_band(frame, model.trees), model.widening, [])
 
 
 def score_demand(frame: DataFrame, model: BandModel) -> DataFrame:
     """Demand bands: shift all three, widen per region and bucket without a floor, scale by peak."""
-    raw = _with_raw_band(model.trees.transform(_vectors(frame, model.feature_order)).drop("features"), model.residual_bands)
+    raw = with_raw_band(frame, model.trees)
     shifts = model.widening.groupBy("region").agg(F.max("shift").alias("shift"))
     known = joins.small_map(shifts, F.col("region"), F.col("shift"))
     widened = joins.widening_lookup(raw, model.widening, ["region"]).withColumn("shift", F.try_element_at(known, F.col("region")))
@@ -212,21 +180,35 @@ def benchmark_report(frame: DataFrame, methods: dict[str, str] = METHODS) -> Dat
     return metrics.with_skill(scored, "persistence", ["lead_bucket"])
 
 
-def leave_sites_out(frame: DataFrame, names: list[str], k: int, *, rounds: int = 10) -> DataFrame:
-    """Site-fold cross-validation: one distributed fit per fold, all folds scored into one table.
+CALIB_SEED, CALIB_SHARE, FOLD_VAL = 7, 4, 0.125
+
+
+def fold_roles(keyed: DataFrame, k: int) -> DataFrame:
+    """``keyed`` (with ``fold``) with ``roles``, one a fold: rows of the fold itself are idle.
+
+    Of the other folds' sites every fourth, by hash, calibrates; of the rest the last eighth of the time of all the
+    other folds stops the fit. The cut times are ``k`` numbers.
+    """
+    t = F.unix_micros("valid_time")
+    others = keyed.select("fold", t.alias("t")).withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("of <> fold")
+    cuts = {r.of: r.cut for r in others.groupBy("of").agg((F.min("t") + (F.max("t") - F.min("t")) * (1.0 - FOLD_VAL)).alias("cut")).collect()}
+    calib = F.conv(F.substring(splits.seeded(F.col("site_id"), CALIB_SEED), 1, 1), 16, 10).cast("int") % CALIB_SHARE == 0
+    learn = F.when(calib, boosting.CALIB)
+    roles = [F.when(F.col("fold") == g, boosting.IDLE).otherwise(F.coalesce(learn, F.when(t > F.lit(cuts.get(g, 0.0)), boosting.VALID).otherwise(boosting.TRAIN))) for g in range(k)]
+    return keyed.withColumn("roles", F.array(*roles))
+
+
+def leave_sites_out(frame: DataFrame, names: list[str], k: int, *, rounds: int = 100, depth: int = 7, step: float = 0.1) -> DataFrame:
+    """Site-fold cross-validation: the models of all folds grow in the same passes, and all sites are scored in one.
 
-    Each fold trains on the other folds' sites; inside them the last eighth of time stops the fit
-    and every fourth site (by hash) calibrates, so a scored site was never seen.
+    A fold's models never saw its sites, neither to learn, to stop nor to calibrate.
     """
     folds = splits.site_folds(frame, k)
-    keyed = materialise(frame.drop("split").join(folds, "site_id"))
-    out = None
-    for fold in range(k):
-        rest = keyed.where(F.col("fold") != fold)
-        split = splits.holdout_split(rest, 0.125)
-        calib = F.pmod(F.xxhash64("site_id"), F.lit(4)) == 0
-        label = F.when(calib, "calib").when(F.col("is_holdout"), "val").otherwise("train")
-        model = train_bands(split.withColumn("split", label).drop("is_holdout"), names, rounds=rounds)
-        scored = score_bands(keyed.where(F.col("fold") == fold), model)
-        out = scored if out is None else out.unionByName(scored)
-    return out
+    keyed = features.complete_rows(frame.drop("split").join(folds, "site_id"), names)
+    data = materialise(fold_roles(keyed, k))
+    trees = boosting.fit(data.where("target IS NOT NULL"), names, LEVELS, groups=k, rounds=rounds, depth=depth, step=step)
+    held = data.where("target IS NOT NULL").withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    held = with_raw_band(held.where(F.get("roles", F.col("of")) == boosting.CALIB), trees, F.col("of"))
+    scores = held.select(F.col("of").alias("fold"), "horizon_h", calibration.conformity(F.col("target"), F.col("p10"), F.col("p90")).alias("score"))
+    widening = materialise(calibration.widening_by_bucket(materialise(scores), ["fold"]))
+    return _widened(with_raw_band(data.drop("roles"), trees, F.col("fold")), widening, ["fold"])

@@ -88,12 +88,27 @@ def materialise(frame: DataFrame, by: str | None = None) -> DataFrame:
     _WRITTEN.append(path)
     if by is None:
         frame.write.parquet(path)
-        return spark.read.schema(frame.schema).parquet(path)
+        table = spark.read.schema(frame.schema).parquet(path)
+        table._written = path
+        return table
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frame.repartition(n, by).write.bucketBy(n, by).option("path", path).saveAsTable(f"written_{name}")
     return spark.table(f"written_{name}")
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote, once nothing reads it any more; other frames are left alone."""
+    path = getattr(table, "_written", None)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _WRITTEN: list[str] = []
 
 
@@ -101,8 +116,7 @@ def clear_materialised(spark: SparkSession) -> int:
     """Delete the tables written so far; frames that read them end with it. Returns how many there were."""
     n = len(_WRITTEN)
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
     return n
 
 
