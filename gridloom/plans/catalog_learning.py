@@ -163,13 +163,18 @@ def _demand_data(t):
     return training.demand_dataset(t.market_grid, centre, REGION_CLOCKS, features.HORIZONS, sorted(REGION_CLOCKS))
 
 
-@query("demand_scoring", "L9 L7 C30", "region valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f actual_mw:f")
+DEMAND_FEATURES = [
+    "temp_2m_c", "cloud_total", "wind_speed_10m", "ghi_wm2", "cooling_degrees", "heating_degrees", "cooling_degrees_24h", "hour_sin", "hour_cos", "doy_sin", "doy_cos", "dow_sin", "dow_cos",
+    "is_weekend", "is_holiday", "horizon_h", "lead_day", *features.HISTORY_COLUMNS, "region_peak_mw", *[f"region_{r}" for r in sorted(REGION_CLOCKS)],
+]
+
+
+@query("demand_scoring", "L9 L7 C30", "region valid_time:t horizon_h:i split p10_mw:f p50_mw:f p90_mw:f actual_mw:f", sql.demand_bands(DEMAND_FEATURES, sorted(REGION_CLOCKS), **BAND))
 def _(t):
     data = _once(t, "demand data", lambda: materialise(_demand_data(t)))
     # A feature that never changes on the training rows (a holiday flag over a fortnight) is left out, any other is used.
-    fixed = {r.column for r in features.constant_columns(data.where("split = 'train'"), training.feature_names(data)).collect()}
-    names = [c for c in training.feature_names(data) if c not in fixed]
-    model = _once(t, "demand", lambda: training.train_bands(data, names, **BAND))
+    fixed = {r.column for r in features.constant_columns(data.where("split = 'train'"), DEMAND_FEATURES).collect()}
+    model = _once(t, "demand", lambda: training.train_bands(data, [c for c in DEMAND_FEATURES if c not in fixed], **BAND))
     return training.score_demand(data, model)
 
 
