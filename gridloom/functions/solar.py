@@ -24,6 +24,9 @@ GROUND_ALBEDO = 0.25
 CLEAR_INDEX_CAP = 1.3
 NIGHT_FLOOR_MW = 1e-3
 SUBSTEPS = 6
+#: Single-axis trackers: panel width over row distance, and the furthest rotation in radians.
+GROUND_COVER = 0.35
+MAX_ROTATION = 1.0471975511965976
 LOW_SUN = 0.065
 
 
@@ -103,6 +106,28 @@ def cos_incidence(dec: Column, hour: Column, latitude: Column, tilt: Column, azi
     return F.greatest(F.lit(0.0), F.sin(t) * F.sin(a) * east + F.sin(t) * F.cos(a) * north + F.cos(t) * up)
 
 
+def tracker_rotation(dec: Column, hour: Column, latitude: Column) -> Column:
+    """Rotation in radians, west positive, of panels on a level north-south axis: they face the sun as far as they turn.
+
+    With a low sun rows would shade each other; they then turn back until the shadow of one row ends at the next.
+    """
+    phi = F.radians(latitude)
+    west = F.cos(dec) * F.sin(hour)
+    up = F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.cos(hour)
+    ideal = F.atan2(west, up)
+    shaded = F.abs(F.cos(ideal)) / GROUND_COVER
+    back = ideal - F.signum(ideal) * F.acos(F.least(shaded, F.lit(1.0)))
+    return F.when(up > 0, clip(F.when(shaded < 1.0, back).otherwise(ideal), -MAX_ROTATION, MAX_ROTATION)).otherwise(0.0)
+
+
+def tracker_cos_incidence(dec: Column, hour: Column, latitude: Column, rotation: Column) -> Column:
+    """Cosine of the angle between sun and a panel turned by ``rotation``, floored at zero."""
+    phi = F.radians(latitude)
+    west = F.cos(dec) * F.sin(hour)
+    up = F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.cos(hour)
+    return F.greatest(F.lit(0.0), F.sin(rotation) * west + F.cos(rotation) * up)
+
+
 def azimuth_deg(dec: Column, hour: Column, latitude: Column) -> Column:
     """Bearing of the sun, clockwise from north."""
     phi = F.radians(latitude)

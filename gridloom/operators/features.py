@@ -125,7 +125,7 @@ def panel_power(frame: DataFrame, moments: dict[str, tuple[Column, Column]], giv
     """Panel irradiance, cell temperature and AC power for each named (irradiance, wind) pair.
 
     Needs the ``sun_*`` columns of the same names, ``tilt``, ``azimuth``, ``temp_2m_c``,
-    ``capacity_mw`` and ``dc_ac_ratio``. ``given`` (direct normal, diffuse) is used where both are known;
+    ``capacity_mw`` and ``dc_ac_ratio``; where there is a column ``tracking``, panels with it turn on a level axis. ``given`` (direct normal, diffuse) is used where both are known;
     else global irradiance is split by clearness. Stages are separate projections over plain columns.
     """
     names = list(moments)
@@ -134,14 +134,17 @@ def panel_power(frame: DataFrame, moments: dict[str, tuple[Column, Column]], giv
     out = frame.withColumns({f"ghi_{n}": moments[n][0] for n in names})
     out = out.withColumns({f"kt_{n}": solar.clearness_index(col(f"ghi_{n}"), col(f"sun_{n}")) for n in names})
     out = out.withColumns({f"df_{n}": solar.diffuse_fraction(col(f"kt_{n}")) for n in names})
+    aoi = {n: solar.cos_incidence(col(f"sun_{n}_dec"), col(f"sun_{n}_h"), col("latitude"), col("tilt"), col("azimuth")) for n in names}
+    tilts = {n: col("tilt") for n in names}
+    if "tracking" in frame.columns:
+        out = out.withColumns({f"turn_{n}": solar.tracker_rotation(col(f"sun_{n}_dec"), col(f"sun_{n}_h"), col("latitude")) for n in names})
+        turned = {n: solar.tracker_cos_incidence(col(f"sun_{n}_dec"), col(f"sun_{n}_h"), col("latitude"), col(f"turn_{n}")) for n in names}
+        aoi = {n: F.when(col("tracking"), turned[n]).otherwise(aoi[n]) for n in names}
+        out = out.withColumns({f"lean_{n}": F.when(col("tracking"), F.degrees(F.abs(f"turn_{n}"))).otherwise(col("tilt")) for n in names})
+        tilts = {n: col(f"lean_{n}") for n in names}
+    out = out.withColumns({f"aoi_{n}": x for n, x in aoi.items()})
     out = out.withColumns(
-        {
-            f"aoi_{n}": solar.cos_incidence(col(f"sun_{n}_dec"), col(f"sun_{n}_h"), col("latitude"), col("tilt"), col("azimuth"))
-            for n in names
-        }
-    )
-    out = out.withColumns(
-        {f"poa_{n}": solar.plane_of_array(col(f"ghi_{n}"), col(f"df_{n}"), col(f"sun_{n}"), col(f"aoi_{n}"), col("tilt"), given.get(n)) for n in names}
+        {f"poa_{n}": solar.plane_of_array(col(f"ghi_{n}"), col(f"df_{n}"), col(f"sun_{n}"), col(f"aoi_{n}"), tilts[n], given.get(n)) for n in names}
     )
     out = out.withColumns({f"cell_{n}": solar.cell_temperature(col(f"poa_{n}"), col("temp_2m_c"), moments[n][1]) for n in names})
     return out.withColumns(

@@ -26,6 +26,7 @@ LATITUDE_COARSE = [float(x) for x in range(-60, 62, 2)]
 LATITUDE_FINE = [x * 0.25 for x in range(-8, 9)]
 MAX_DAYLENGTH_RMSE = 0.5
 DC_AC_RATIOS = [1.1, 1.25, 1.4, 1.6, 1.8, 2.1, 2.5]
+MOUNTS = ["fixed", "single_axis"]
 YEAR_SLOTS = 366
 
 
@@ -157,27 +158,27 @@ def fit_locations(power: DataFrame) -> DataFrame:
     )
 
 
-def fit_plant(power: DataFrame, sites: DataFrame, ratios: list[float] = DC_AC_RATIOS) -> DataFrame:
-    """DC/AC ratio whose clear-sky envelope lies closest to the observed one.
+def fit_plant(power: DataFrame, sites: DataFrame, ratios: list[float] = DC_AC_RATIOS, mounts: list[str] = MOUNTS) -> DataFrame:
+    """Mount and DC/AC ratio whose clear-sky envelope lies closest to the observed one.
 
-    The modelled side is built per (site, hour) with the ratio as an inline grid; the smallest ratio
-    wins a tie. Mounting is not searched: the irradiance model has no tracking term to fit.
+    The modelled side is built per (site, hour) with mounts and ratios as an inline grid; the fixed mount, then the
+    smallest ratio, wins a tie. A tracking mount turns on a level north-south axis and turns back with a low sun.
     """
     from gridloom.operators.features import clear_sky_power, with_panel
 
     geometry = sites.select("site_id", "capacity_mw", "latitude", "longitude", "tilt_deg", "azimuth_deg")
     hours = power.select("site_id", "valid_time").distinct().join(geometry, "site_id").withColumn("temp_2m_c", F.lit(25.0))
-    modelled = clear_sky_power(with_panel(with_grid(hours, {"ratio": ratios}), dc_ac_ratio=F.col("ratio")))
-    cells = modelled.groupBy("site_id", "ratio", "capacity_mw", F.month("valid_time").alias("month"), F.hour("valid_time").alias("hour")).agg(
+    grid = with_grid(hours, {"mount": mounts, "ratio": ratios}).withColumn("tracking", F.col("mount") == "single_axis")
+    modelled = clear_sky_power(with_panel(grid, dc_ac_ratio=F.col("ratio")))
+    kind = ["site_id", "mount", "ratio", "capacity_mw"]
+    cells = modelled.groupBy(*kind, F.month("valid_time").alias("month"), F.hour("valid_time").alias("hour")).agg(
         F.max("clearsky_ac_mw").alias("modelled_mw")
     )
     gap = F.col("observed_mw") - F.col("modelled_mw")
-    scored = month_envelope(power).join(cells, ["site_id", "month", "hour"]).groupBy("site_id", "ratio", "capacity_mw").agg(
-        F.sqrt(F.avg(gap * gap)).alias("rmse_mw")
-    )
-    best = F.min_by(F.struct("ratio", "rmse_mw"), F.struct(F.round("rmse_mw", 9), "ratio")).alias("b")
+    scored = month_envelope(power).join(cells, ["site_id", "month", "hour"]).groupBy(*kind).agg(F.sqrt(F.avg(gap * gap)).alias("rmse_mw"))
+    best = F.min_by(F.struct("mount", "ratio", "rmse_mw"), F.struct(F.round("rmse_mw", 9), "mount", "ratio")).alias("b")
     return scored.groupBy("site_id", "capacity_mw").agg(best).select(
-        "site_id", F.col("b.ratio").alias("dc_ac_ratio"), F.col("b.rmse_mw").alias("rmse_mw"),
+        "site_id", F.col("b.mount").alias("mount"), F.col("b.ratio").alias("dc_ac_ratio"), F.col("b.rmse_mw").alias("rmse_mw"),
         (F.col("b.rmse_mw") / F.col("capacity_mw") * 100.0).alias("rmse_pct_capacity"),
     )
 

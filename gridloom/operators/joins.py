@@ -89,9 +89,9 @@ def align_price(hours: DataFrame, price: DataFrame, column: str = "rrp_aud_mwh")
     return joined.withColumn(column, fill(column, ["region"], "valid_time"))
 
 
-def forecast_vs_outcome(points: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Forecast hours with the summed outcome of a region's sites."""
-    actual = outcomes.groupBy("region", "valid_time").agg(F.sum("actual_mw").alias("actual_mw"), F.count("*").alias("sites"))
+def forecast_vs_outcome(points: DataFrame, outcomes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Forecast hours with the summed outcome of a region's sites, apart for each of ``keys`` (leads)."""
+    actual = outcomes.groupBy("region", "valid_time", *(keys or [])).agg(F.sum("actual_mw").alias("actual_mw"), F.count("*").alias("sites"))
     return points.join(actual, ["region", "valid_time"])
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import runs
 from gridloom.operators.joins import complete_hours
-from gridloom.operators.splits import scenario_picks, seeded_windows
+from gridloom.operators.splits import seeded, seeded_windows
 
 WINDOW_KEYS = ["region", "window_start"]
 DEFAULT_SCENARIOS = 200
@@ -63,12 +63,19 @@ def window_blocks(
     """``(region, window_start, scenario, block_start)``.
 
     A block starts at the window's hour of day, since errors are strongly diurnal, and never overlaps
-    the window itself, so no scenario contains the outcome it is scored against.
+    the window itself, so no scenario contains the outcome it is scored against. Starts are ordered once
+    per region and hour of day, by hash; every window walks that one list and passes over the few starts
+    that overlap it, so no window meets all starts. A list shorter than the scenarios is used again.
     """
     starts = runs.template_starts(store, hours, min_coverage=min_coverage).select("region", "block_start")
-    apart = F.abs(F.unix_seconds("block_start") - F.unix_seconds("window_start")) >= hours * 3600
-    fitting = windows.join(starts, "region").where((F.hour("block_start") == F.hour("window_start")) & apart)
-    return scenario_picks(fitting, WINDOW_KEYS, n_scenarios, seed)
+    overlapping = 2 * (-(-hours // 24)) - 1
+    order = Window.partitionBy("region", "_hour").orderBy(seeded(F.date_format("block_start", "yyyy-MM-dd HH:mm:ss"), seed))
+    ranked = starts.withColumn("_hour", F.hour("block_start")).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n_scenarios + overlapping)
+    lists = ranked.groupBy("region", "_hour").agg(F.array_sort(F.collect_list(F.struct("_r", "block_start"))).alias("_all"))
+    apart = F.filter("_all", lambda b: F.abs(F.unix_seconds(b["block_start"]) - F.unix_seconds("window_start")) >= hours * 3600)
+    fitting = windows.withColumn("_hour", F.hour("window_start")).join(lists, ["region", "_hour"]).withColumn("_fit", apart).where(F.size("_fit") > 0)
+    wide = fitting.select(*WINDOW_KEYS, "_fit", F.explode(F.sequence(F.lit(0), F.lit(n_scenarios - 1))).alias("scenario"))
+    return wide.select(*WINDOW_KEYS, "scenario", F.get("_fit", F.col("scenario") % F.size("_fit"))["block_start"].alias("block_start"))
 
 
 def window_hours(windows: DataFrame, forecast: DataFrame, hours: int) -> DataFrame:

@@ -10,6 +10,7 @@ from gridloom.operators.quantiles import exact_quantiles
 from gridloom.operators.resample import hourly_mean
 from gridloom.plans.adapters import REGION_CLOCKS
 from gridloom.plans.registry import query
+from gridloom.plans.solar_sql import PLANT_FIT
 
 
 @query("hourly_mean", "E1", "site_id valid_time:t power_mw:f", "SELECT site_id, valid_time, power_mw FROM x_hourly")
@@ -98,7 +99,7 @@ def _(t):
     return fitting.fit_locations(t.grid.where("tech = 'solar'"))
 
 
-@query("plant_fit", "E10", "site_id dc_ac_ratio:f rmse_mw:f rmse_pct_capacity:f")
+@query("plant_fit", "E10", "site_id mount dc_ac_ratio:f rmse_mw:f rmse_pct_capacity:f", PLANT_FIT)
 def _(t):
     return fitting.fit_plant(t.hourly.where("tech = 'solar'"), t.sites)
 

@@ -90,18 +90,18 @@ def _(t):
 
 
 _CLIM = """
-    WITH tr AS (SELECT * FROM x_eval WHERE horizon_h = 24 AND valid_time < TIMESTAMP '2024-01-18'),
+    WITH tr AS (SELECT * FROM x_eval WHERE valid_time < TIMESTAMP '2024-01-18'),
     a AS (SELECT site_id, (dayofyear(valid_time) - 1) // 15 AS b, hour(valid_time) AS h, avg(actual_mw) AS m FROM tr GROUP BY ALL),
     c AS (SELECT site_id, avg(actual_mw) AS m FROM tr GROUP BY site_id)"""
 
 
-@query("climatology_lookup", "D8 E37", "site_id valid_time:t climatology_mw:f", f"""
-    {_CLIM} SELECT e.site_id, e.valid_time, coalesce(a.m, c.m, 0) AS climatology_mw FROM (SELECT * FROM x_eval WHERE horizon_h = 24) e
+@query("climatology_lookup", "D8 E37", "site_id valid_time:t horizon_h:i climatology_mw:f", f"""
+    {_CLIM} SELECT e.site_id, e.valid_time, e.horizon_h, coalesce(a.m, c.m, 0) AS climatology_mw FROM x_eval e
     LEFT JOIN a ON a.site_id = e.site_id AND a.b = (dayofyear(e.valid_time) - 1) // 15 AND a.h = hour(e.valid_time) LEFT JOIN c ON c.site_id = e.site_id""")
 def _(t):
     from gridloom.functions.clock import day_bin
 
-    rows = t.eval.where("horizon_h = 24")
+    rows = t.eval
     cells, means = metrics.climatology(rows.where(F.col("valid_time") < "2024-01-18"))
     keyed = rows.withColumns({"doy_block": day_bin(F.col("valid_time"), 15), "hour": F.hour("valid_time")})
     return joins.with_fallback(keyed, cells, ["site_id", "doy_block", "hour"], means)
@@ -157,11 +157,11 @@ def _(t):
     return joins.align_price(t.market_grid.select("region", "valid_time"), sparse)
 
 
-@query("forecast_outcome", "D17", "region valid_time:t demand_mw:f actual_mw:f sites:i", """
-    SELECT m.region, m.valid_time, m.demand_mw, o.actual_mw, o.sites FROM x_market m
-    JOIN (SELECT region, valid_time, sum(actual_mw) AS actual_mw, count(*) AS sites FROM x_eval WHERE horizon_h = 24 GROUP BY ALL) o ON o.region = m.region AND o.valid_time = m.valid_time""")
+@query("forecast_outcome", "D17", "region valid_time:t horizon_h:i demand_mw:f actual_mw:f sites:i", """
+    SELECT m.region, m.valid_time, o.horizon_h, m.demand_mw, o.actual_mw, o.sites FROM x_market m
+    JOIN (SELECT region, valid_time, horizon_h, sum(actual_mw) AS actual_mw, count(*) AS sites FROM x_eval GROUP BY ALL) o ON o.region = m.region AND o.valid_time = m.valid_time""")
 def _(t):
-    return joins.forecast_vs_outcome(t.market.select("region", "valid_time", "demand_mw"), t.eval.where("horizon_h = 24"))
+    return joins.forecast_vs_outcome(t.market.select("region", "valid_time", "demand_mw"), t.eval, ["horizon_h"])
 
 
 @query("widening_lookup", "D18 E24", "region site_id valid_time:t horizon_h:i lower:f upper:f", """

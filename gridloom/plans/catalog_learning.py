@@ -261,3 +261,24 @@ def _(t):
 def _(t):
     scored = training.score_bands(_wind_data(t).where("split = 'test'"), _wind_model(t)).where(F.col("power_mw").isNotNull())
     return metrics.by_lead_bucket(scored.withColumns({"actual_mw": F.col("power_mw"), "capacity_mw": F.col("denominator_mw")}))
+
+
+_LEADS_FIT = sql.fit_ctes("c_", WIND_FEATURES, sql.LEVELS, [sql.SPLIT_ROLES[0], f"CASE WHEN horizon_h = 24 THEN {sql.SPLIT_ROLES[0]} ELSE 0 END"], **BAND)
+
+
+@query("lead_comparison", "E36", "lead_bucket n:i current_nmae:f baseline_nmae:f gain_pp:f", f"""
+    WITH {sql.split_ctes('c_', sql.WIND)}, {sql.source_cte('c_', WIND_FEATURES)}, {_LEADS_FIT}, c_band AS MATERIALIZED ({sql.sorted_band('c_')}),
+    z AS (SELECT {sql.BUCKET} AS lead_bucket, abs(a.p50 - y) AS now, abs(b.p50 - y) AS old FROM c_src s JOIN c_band a ON a.id = s.id AND a.g = 0 JOIN c_band b ON b.id = s.id AND b.g = 1 WHERE split = 'test' AND y IS NOT NULL)
+    SELECT lead_bucket, count(*) AS n, avg(now) * 100 AS current_nmae, avg(old) * 100 AS baseline_nmae, avg(old) * 100 - avg(now) * 100 AS gain_pp FROM z GROUP BY 1""")
+def _(t):
+    """A model that learned from every lead against one that learned from the day-ahead lead only, on the same held-out rows."""
+    role = F.coalesce(*[F.when(F.col("split") == k, v) for k, v in training.ROLES.items()], F.lit(boosting.IDLE))
+    roles = F.array(role, F.when(F.col("horizon_h") == 24, role).otherwise(F.lit(boosting.IDLE)))
+    data = materialise(training._learnable(_wind_data(t), WIND_FEATURES, "target").withColumn("roles", roles))
+    trees = boosting.fit(data, WIND_FEATURES, training.LEVELS, groups=2, **BAND)
+
+    def held_out(group):
+        rows = training.with_raw_band(data.where("split = 'test'"), trees, F.lit(group))
+        return rows.select("site_id", "valid_time", "horizon_h", F.col("p50").alias("p50_mw"), F.col("target").alias("actual_mw"), F.lit(1.0).alias("capacity_mw"))
+
+    return metrics.compare_models(held_out(0), held_out(1), ["site_id", "valid_time", "horizon_h"])

@@ -146,13 +146,13 @@ _SUN_FROM = """
     (SELECT *, radians(23.45 * sin(radians((dayofyear(ts) + 284) * 360 / 365.0))) AS dec, radians((dayofyear(ts) - 81) * 360 / 364.0) AS b FROM ({}) z)"""
 
 
-@query("solar_estimate", "C18", "site_id valid_time:t solar_elevation:f clearsky_ghi:f kt_nwp:f", f"""
-    SELECT site_id, ts AS valid_time, degrees(asin(up)) AS solar_elevation, ck AS clearsky_ghi,
+@query("solar_estimate", "C18", "site_id valid_time:t horizon_h:i solar_elevation:f clearsky_ghi:f kt_nwp:f", f"""
+    SELECT site_id, ts AS valid_time, horizon_h, degrees(asin(up)) AS solar_elevation, ck AS clearsky_ghi,
            CASE WHEN ck > 1 THEN least(greatest(ghi_wm2, 0) / ck, 1.5) ELSE 0 END AS kt_nwp
     FROM (SELECT *, CASE WHEN up > 0.001 THEN 1098 * up * exp(-0.057 / up) ELSE 0 END AS ck
-      FROM (SELECT *, {_SUN} AS up FROM {_SUN_FROM.format("SELECT w.site_id, w.valid_time AS ts, w.ghi_wm2, s.latitude, s.longitude FROM x_weather w JOIN x_sites s ON w.site_id = s.site_id WHERE w.tech = 'solar' AND w.horizon_h = 24")} q1) q2) q3""")
+      FROM (SELECT *, {_SUN} AS up FROM {_SUN_FROM.format("SELECT w.site_id, w.valid_time AS ts, w.horizon_h, w.ghi_wm2, s.latitude, s.longitude FROM x_weather w JOIN x_sites s ON w.site_id = s.site_id WHERE w.tech = 'solar'")} q1) q2) q3""")
 def _(t):
-    return features.solar_estimate(t.weather.where("tech = 'solar' AND horizon_h = 24"), t.sites)
+    return features.solar_estimate(t.weather.where("tech = 'solar'"), t.sites)
 
 
 @query("solar_power_estimate", "C18 C21", "site_id valid_time:t horizon_h:i poa_nwp:f cell_temp_c:f physics_cf:f clearsky_cf:f physics_over_clearsky:f", SOLAR_ESTIMATE)

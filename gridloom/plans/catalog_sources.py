@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.plans.registry import query
+from gridloom.session import keep_until_end, shared_dir
 from gridloom.sources import hourly_json, market, meter, payloads, stations, tables, tracks
 
 STAMP_FORMAT = "yyyy/MM/dd HH:mm:ss"
@@ -271,6 +274,20 @@ def _(t):
     return per_site.groupBy("tech", "month").agg(F.sum("count").alias("rows"), F.count("*").alias("sites"))
 
 
+@query("month_reload", "A11", "region month rows:i demand:f", """
+    SELECT region, strftime(valid_time, '%Y-%m') AS month, count(*) AS rows, sum(CASE WHEN strftime(valid_time, '%Y-%m') IN ('1995-03', '1996-11') AND hour(valid_time) < 12 THEN demand_mw * 2 ELSE demand_mw END) AS demand
+    FROM x_history GROUP BY 1, 2""")
+def _(t):
+    """A table of all months, then half of the hours of two months loaded again, twice: corrected there, nothing repeated or lost."""
+    path = f"{shared_dir(t.spark)}/tables/{uuid.uuid4().hex}"
+    keep_until_end(path)
+    rows = t.history.select("region", "valid_time", "demand_mw")
+    again = rows.where(F.date_format("valid_time", "yyyy-MM").isin("1995-03", "1996-11") & (F.hour("valid_time") < 12)).withColumn("demand_mw", F.col("demand_mw") * 2)
+    for part in (rows, again, again):
+        tables.load_months(part, path, by=("region",), key=("valid_time",))
+    return t.spark.read.parquet(path).groupBy("region", "month").agg(F.count("*").alias("rows"), F.sum("demand_mw").alias("demand"))
+
+
 @query("site_dimension", "A12 C26", "site_id tech tilt_deg:f azimuth_deg:f hub_height_m:f rotor_diameter_m:f", """
     SELECT site_id, tech, CASE WHEN tilt_deg IS NULL AND tech = 'solar' THEN least(abs(latitude), 40) ELSE tilt_deg END AS tilt_deg,
            CASE WHEN azimuth_deg IS NULL AND tech = 'solar' THEN CASE WHEN latitude >= 0 THEN 180 ELSE 0 END ELSE azimuth_deg END AS azimuth_deg,

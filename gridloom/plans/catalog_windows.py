@@ -104,15 +104,15 @@ def _(t):
     return runs.longest_runs(runs.state_runs(t.grid, ["site_id"], "valid_time", state, []), ["site_id", "state"])
 
 
-@query("operating_signals", "F16", "site_id hours:i near_rated:i max_ramp:f ramp_at:t at_ceiling:i widest_band:f widest_at:t", """
-    WITH e AS (SELECT *, abs(p50_mw - lag(p50_mw) OVER (PARTITION BY site_id ORDER BY valid_time)) AS ramp, p90_mw - p10_mw AS width FROM x_eval WHERE horizon_h = 24)
-    SELECT e.site_id, count(*) AS hours, count(CASE WHEN p50_mw >= 0.9 * greatest(capacity_mw, 1) THEN 1 END) AS near_rated, max(ramp) AS max_ramp, max(a.t) AS ramp_at,
+@query("operating_signals", "F16", "site_id horizon_h:i hours:i near_rated:i max_ramp:f ramp_at:t at_ceiling:i widest_band:f widest_at:t", """
+    WITH e AS (SELECT *, abs(p50_mw - lag(p50_mw) OVER (PARTITION BY site_id, horizon_h ORDER BY valid_time)) AS ramp, p90_mw - p10_mw AS width FROM x_eval)
+    SELECT e.site_id, e.horizon_h, count(*) AS hours, count(CASE WHEN p50_mw >= 0.9 * greatest(capacity_mw, 1) THEN 1 END) AS near_rated, max(ramp) AS max_ramp, max(a.t) AS ramp_at,
         count(CASE WHEN actual_mw > 0 AND p50_mw >= 0.98 * least(actual_mw, capacity_mw) THEN 1 END) AS at_ceiling, max(width) AS widest_band, max(b.t) AS widest_at FROM e
-    JOIN (SELECT site_id, valid_time AS t, row_number() OVER (PARTITION BY site_id ORDER BY round(ramp, 6) DESC NULLS LAST, valid_time) AS k FROM e) a ON a.site_id = e.site_id AND a.k = 1
-    JOIN (SELECT site_id, valid_time AS t, row_number() OVER (PARTITION BY site_id ORDER BY round(width, 6) DESC, valid_time) AS k FROM e) b ON b.site_id = e.site_id AND b.k = 1 GROUP BY 1""")
+    JOIN (SELECT site_id, horizon_h, valid_time AS t, row_number() OVER (PARTITION BY site_id, horizon_h ORDER BY round(ramp, 6) DESC NULLS LAST, valid_time) AS k FROM e) a ON a.site_id = e.site_id AND a.horizon_h = e.horizon_h AND a.k = 1
+    JOIN (SELECT site_id, horizon_h, valid_time AS t, row_number() OVER (PARTITION BY site_id, horizon_h ORDER BY round(width, 6) DESC, valid_time) AS k FROM e) b ON b.site_id = e.site_id AND b.horizon_h = e.horizon_h AND b.k = 1 GROUP BY 1, 2""")
 def _(t):
-    points = t.eval.where("horizon_h = 24").withColumn("clearsky_mw", F.col("actual_mw"))
-    return runs.operating_signals(points, ["site_id"])
+    points = t.eval.withColumn("clearsky_mw", F.col("actual_mw"))
+    return runs.operating_signals(points, ["site_id", "horizon_h"])
 
 
 @query("quietest_window", "F17", "site_id starts:t ends:t total:f", """

@@ -83,9 +83,7 @@ def materialise(frame: DataFrame, by: str | None = None) -> DataFrame:
     """
     spark, name = frame.sparkSession, uuid.uuid4().hex
     path = f"{shared_dir(spark)}/tables/{name}"
-    if not _WRITTEN:
-        atexit.register(_clear_at_exit)
-    _WRITTEN.append(path)
+    keep_until_end(path)
     if by is None:
         frame.write.parquet(path)
         table = spark.read.schema(frame.schema).parquet(path)
@@ -96,6 +94,13 @@ def materialise(frame: DataFrame, by: str | None = None) -> DataFrame:
     return spark.table(f"written_{name}")
 
 
+def keep_until_end(path: str) -> None:
+    """Let a folder be deleted with the written tables."""
+    if not _WRITTEN:
+        atexit.register(_clear_at_exit)
+    _WRITTEN.append(path)
+
+
 def discard(table: DataFrame) -> None:
     """Delete a table that ``materialise`` wrote, once nothing reads it any more; other frames are left alone."""
     path = getattr(table, "_written", None)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.resample import keep_one
+from gridloom.session import materialise
+
 DEFAULT_TILT_CAP = 40.0
 DEFAULT_HUB_M = 100.0
 DEFAULT_ROTOR_M = 90.0
@@ -38,6 +41,39 @@ def write_canonical(frame: DataFrame, path: str, *, by: tuple[str, ...] = ("tech
     )
 
 
+def load_months(frame: DataFrame, path: str, *, by: tuple[str, ...] = ("tech",), key: tuple[str, ...] = ("site_id", "valid_time"), ts: str = "valid_time") -> None:
+    """Load rows into a canonical table: months that ``frame`` has rows of are merged with what is there, others stay.
+
+    A row replaces the stored one with its key, so loading a month twice changes nothing. Only the partitions of
+    (``by``, month) that the rows fall in are read and written again. Of rows of ``frame`` with one key the least, by
+    its other columns, counts.
+    """
+    spark = frame.sparkSession
+    parts, keys = [*by, "month"], [*by, "month", *key]
+    monthly = frame.withColumn("month", F.date_format(ts, "yyyy-MM"))
+    fresh = keep_one(monthly, keys, [c for c in monthly.columns if c not in keys])
+    if _exists(spark, path):
+        fresh = materialise(fresh)
+        stored = spark.read.option("basePath", path).schema(fresh.schema).parquet(path)
+        touched = F.lit(False)
+        for r in fresh.select(*parts).distinct().collect():  # a few partitions, which prune the scan
+            here = F.lit(True)
+            for c in parts:
+                here = here & F.col(c).eqNullSafe(r[c])
+            touched = touched | here
+        old = stored.where(touched)
+        # Written aside first: the files that are read are the ones to be replaced.
+        fresh = materialise(old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh))
+    order = [*parts, *key]
+    rows = fresh.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def preferred_corpora(halves: DataFrame, preference: list[str]) -> DataFrame:
     """Corpora whose weather and power halves both exist, most preferred first.
 
