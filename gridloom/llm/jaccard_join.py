@@ -30,41 +30,25 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import bits_of, free_name, in_filter, map_rows
 from gridloom.llm.components import components
+from gridloom.llm.word_hashes import word_hashes
 from gridloom.session import materialise
 
 #: Buckets of shingle counts sent to every task: 1 MB, whatever the input.
 BUCKETS = 1 << 18
 #: Bits of the parity sketch of a set, by the largest size that takes them. Sketches of other lengths are not compared.
 SKETCH_BITS = ((1_200, 1 << 10), (6_000, 1 << 12), (30_000, 1 << 14), (1 << 62, 1 << 16))
-#: Word hashes remembered by a worker.
-REMEMBERED = 600_000
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= REMEMBERED:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_HASHES = _WordHashes()
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
+    body = text.encode("utf-8", "surrogatepass").lower() if text else b""
+    one = word_hashes(body)
+    if not len(one):
         return np.empty(0, np.uint64)
-    if len(words) < size:
-        whole = blake2b(b" ".join(words), digest_size=8, person=b"whole").digest()
+    if len(one) < size:
+        whole = blake2b(b" ".join(body.split()), digest_size=8, person=b"whole").digest()
         return np.frombuffer(whole, np.uint64).copy()
-    one = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = len(words) - size + 1
+    n = len(one) - size + 1
     mixed = np.zeros(n, np.uint64)
     for k in range(size):
         mixed = (mixed ^ one[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
