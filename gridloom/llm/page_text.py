@@ -248,6 +248,20 @@ def parse(html: str | None) -> tuple[list[tuple[str, int]], list[int], list[int
     return [(text, place) for text, _, place in blocks], parents, hashes
 
 
+def condensed(blocks: list[tuple[str, int]], parents: list[int], hashes: list[int | None]) -> tuple[list[tuple[str, int]], list[int], list[int | None]]:
+    """The same with only the elements that lie around a block and can be templates; the first stands for the page."""
+    near = [0] * len(parents)  # the innermost element at or around a place that can be a template
+    for place in range(1, len(parents)):
+        near[place] = place if hashes[place] is not None else near[parents[place]]
+    wanted = {near[place] for _, place in blocks} | {0}
+    for place in sorted(wanted, reverse=True):
+        while (place := near[parents[place]]) not in wanted:
+            wanted.add(place)
+    kept = sorted(wanted)
+    new = {place: i for i, place in enumerate(kept)}
+    return [(text, new[near[place]]) for text, place in blocks], [new[near[parents[p]]] for p in kept], [hashes[p] for p in kept]
+
+
 def kept_text(blocks: list[dict], parents: list[int], hashes: list[int | None], deleted: list[int] | None) -> str:
     """The blocks outside of deleted subtrees, joined by line ends; an element's parent stands before it."""
     gone = set(deleted or ())
@@ -290,7 +304,7 @@ def main_text(
 
     def one(row: tuple) -> tuple:
         *key, link, body = row
-        blocks, parents, hashes = parse(body)
+        blocks, parents, hashes = condensed(*parse(body))
         return (*key, host_of(link), page_name(body), [{"text": t, "place": p} for t, p in blocks], parents, hashes)
 
     names = ", ".join(f"`{k}` {kinds[k]}" for k in keys)

@@ -56,3 +56,17 @@ def test_parts_in_different_lines_of_a_scope_belong_together(spark):
     assert [bool(rows[i]) for i in range(7)] == [True, False, True, False, False, True, False]
     for i, body in enumerate(texts):
         assert rows[i] == secret_scan.brute_force(body)[4]
+
+
+def test_condensed_pages_lose_the_same_blocks():
+    from random import Random
+
+    r = Random(1)
+    for _ in range(60):
+        html = "".join(r.choice(["<div>", "</div>", "<p>", "</p>", "<ul><li>", "</ul>", "word ", "more words ", "<section class=x>", "</section>"]) for _ in range(80))
+        blocks, parents, hashes = page_text.parse(html)
+        known = [h for h in hashes if h is not None]
+        deleted = r.sample(known, len(known) // 3)
+        full = page_text.kept_text([{"text": t, "place": p} for t, p in blocks], parents, hashes, deleted)
+        few = page_text.condensed(blocks, parents, hashes)
+        assert page_text.kept_text([{"text": t, "place": p} for t, p in few[0]], few[1], few[2], deleted) == full
