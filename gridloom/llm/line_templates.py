@@ -9,7 +9,7 @@ different documents have it and enough of its tokens are constant. All lines tha
 are dropped, in every document.
 
 Documents are told apart by their whole texts: exact copies count once, and so do near copies, by the classes of
-the near-duplicate stage (``NEAR_SIZE`` words, ``NEAR_PERCENT``) among the texts that hold a line in question. So
+``copy_classes`` (``NEAR_SIZE`` words, ``NEAR_PERCENT``) among the texts that hold a line in question. So
 copied documents stay whole, as that stage's work, however often they are copied, and neither copies nor more
 input can take away what speaks for a template.
 
@@ -29,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import bits_of, flat_map_rows, free_name, in_filter, map_rows
-from gridloom.llm.jaccard_join import near_duplicates
-from gridloom.session import materialise
+from gridloom.llm.copy_classes import SIGNATURE, copy_classes, signature
+from gridloom.llm.jaccard_join import shingle_set
+from gridloom.session import discard, materialise
 
 DEPTH, SHARE, MIN_TOKENS = 3, 0.2, 4
 #: Recurring: so many different documents for a line as it is, and for a template with variable words.
@@ -102,12 +103,20 @@ def line_templates(lines: DataFrame) -> DataFrame:
 
 
 def classes_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(whole, class) of the wanted texts: near copies have one class."""
+    """(whole, class) of the wanted texts that have near copies among them."""
     known = bits_of(wanted, "whole")
-    named = lambda r: ((whole, r[0]),) if in_filter(known, whole := number(r[0] or "")) else ()
-    texts = materialise(flat_map_rows(docs.select(text), named, "whole long, body string"))
-    near = near_duplicates(texts, NEAR_SIZE, NEAR_PERCENT, "whole", "body")
-    return materialise(near.select("whole", F.col("component_id").alias("class")).distinct())
+
+    def signed(row: tuple) -> Iterator[tuple]:
+        if in_filter(known, whole := number(row[0] or "")):
+            yield whole, *signature(shingle_set(row[0], NEAR_SIZE))
+
+    texts = flat_map_rows(docs.select(text), signed, f"whole long, {SIGNATURE}")
+    # Copies of a text are one before they are dealt out; texts that the filter let through play no part.
+    texts = texts.groupBy("whole").agg(*(F.first(c).alias(c) for c in ("n", "bands", "sketch")))
+    texts = materialise(texts.join(wanted, "whole", "left_semi"))
+    classes = copy_classes(texts, NEAR_PERCENT)
+    discard(texts)
+    return classes
 
 
 def recurring_templates(docs: DataFrame, text: str, found: DataFrame, templates: DataFrame) -> DataFrame:
@@ -116,13 +125,17 @@ def recurring_templates(docs: DataFrame, text: str, found: DataFrame, templates:
     held = materialise(held)
     likely = held.groupBy("template").agg(F.count("*").alias("texts"))
     likely = materialise(likely.join(templates.select("template", "least").distinct(), "template").where("texts >= least"))
-    held = materialise(held.join(likely.select("template"), "template", "left_semi"))
-    wanted = materialise(held.select("whole").distinct())
+    wanted = materialise(held.join(likely.select("template"), "template", "left_semi").select("whole").distinct())
     if not wanted.take(1):
         return likely.select("template")
-    seen = held.join(classes_of(docs, text, wanted), "whole").select("template", "class").distinct()
-    seen = seen.groupBy("template").agg(F.count("*").alias("classes"))
-    return seen.join(likely, "template").where("classes >= least").select("template")
+    classes = classes_of(docs, text, wanted)
+    # Each text of a class but one adds nothing to a template's texts, so only texts with copies are counted again.
+    copies = held.join(classes, "whole").groupBy("template").agg((F.count("*") - F.count_distinct("class")).alias("copies"))
+    counts = likely.join(copies, "template", "left").where(F.col("texts") - F.coalesce("copies", F.lit(0)) >= F.col("least"))
+    recurring = materialise(counts.select("template"))
+    for read in (held, likely, wanted, classes):
+        discard(read)
+    return recurring
 
 
 def dropped_lines(docs: DataFrame, text: str) -> DataFrame:
@@ -144,8 +157,11 @@ def dropped_lines(docs: DataFrame, text: str) -> DataFrame:
     lines = materialise(found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")))
     same = lines.where(F.col("n") >= MIN_LINES).select("line", F.xxhash64("line").alias("template"), F.lit(MIN_LINES).alias("least"))
     templates = materialise(same.unionByName(line_templates(lines).withColumn("least", F.lit(MIN_LINES_VARIED))))
-    recurring = materialise(recurring_templates(docs, text, found, templates))
-    return materialise(templates.join(recurring, "template", "left_semi").select("line").distinct())
+    recurring = recurring_templates(docs, text, found, templates)
+    dropped = materialise(templates.join(recurring, "template", "left_semi").select("line").distinct())
+    for read in (leaves, found, lines, templates, recurring):
+        discard(read)
+    return dropped
 
 
 def without(text: str | None, dropped) -> tuple[str | None, int, int]:
