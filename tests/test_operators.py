@@ -269,6 +269,18 @@ def test_dense_grid_and_dedup_under_a_hot_key(spark):
     assert dense.where("k = 'hot'").count() == 193 and dense.where("v IS NOT NULL").count() == one.count()
 
 
+def test_calendars_are_written_where_their_rows_lie(spark):
+    rows = [(k, t, v) for k in ("a", None) for t, v in ((0, 1.0), (5400, 2.0), (5400, 3.0), (14400, None), (None, 7.0))] + [("one", 60, 4.0), ("none", None, 5.0)]
+    frame = spark.createDataFrame(rows, "k string, s long, v double").withColumn("t", F.timestamp_seconds("s"))
+    dense = dense_hours(frame, ["k"], "t", ["v"])
+    wanted = [(k, t, v) for k in ("a", None) for t, v in ((0, 1.0), (3600, None), (5400, 3.0), (7200, None), (10800, None), (14400, None), (None, 7.0))] + [("one", 60, 4.0), ("none", None, 5.0)]
+    got = [(r.k, r.s, r.v) for r in dense.select("k", F.unix_seconds("t").alias("s"), "v").collect()]
+    assert sorted(got, key=str) == sorted(wanted, key=str)
+    # Nothing is hashed or shuffled after the calendar is written: one task cannot hold the hours of all keys.
+    plan = dense._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.index("Generate") < plan.index("Aggregate")
+
+
 def test_site_balance_conserves_energy(spark):
     rng = np.random.default_rng(4)
     points = spark.createDataFrame([("S", HOUR0 + i * 3600, float(g), 10.0, 6.0, 20.0, 5.0) for i, g in enumerate(rng.uniform(0, 25, 72).round(2))],
