@@ -9,6 +9,9 @@ first wide shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,32 +121,130 @@ def regional_scenarios(
 ) -> DataFrame:
     """Regional total per scenario hour, summed over sites as early as possible.
 
-    total = sum of clipped p50 (once per hour) + sum of the moves caused by known errors. Sites and
-    hours without an error add nothing to the second term, so they are never multiplied by the
-    number of scenarios. With ``factors`` every total is given per dispersion factor.
+    total = sum of clipped p50 (once per hour) + sum of the moves caused by known errors. ``hours`` and ``blocks`` are as
+    ``window_hours`` and ``window_blocks`` make them: an hour has one forecast whatever the window, and a block starts at its
+    window's hour of day. With ``factors`` every total is
+    given per dispersion factor.
     """
     at = [*WINDOW_KEYS, "offset"]
     still = F.least(F.greatest("p50_mw", F.lit(0.0)), F.col("capacity_mw"))
     base = hours.groupBy(*at).agg(F.sum(still).alias("_base"), F.max("valid_time").alias("valid_time"))
-    moved = block_errors(blocks, store, n_hours).join(
-        hours.select(*at, "site_id", "p50_mw", "capacity_mw"), [*at, "site_id"]
-    )
-    extra = []
-    d: float | Column = dispersion
-    if factors:
-        moved = moved.withColumn("dispersion", F.explode(F.array(*[F.lit(f) for f in factors])))
-        extra, d = ["dispersion"], F.col("dispersion")
-    moves = moved.groupBy(*at, "scenario", *extra).agg(F.sum(site_mw(d) - still).alias("_move"))
-    every = base.join(blocks.select(*WINDOW_KEYS, "scenario"), WINDOW_KEYS)
+    grid = factors or [dispersion]
+    moves = _moves(hours, blocks, store, n_hours, grid)
+    extra = ["dispersion"] if factors else []
+    every = base.join(blocks.select(*WINDOW_KEYS, "scenario", "block_start"), WINDOW_KEYS)
     if factors:
         every = every.withColumn("dispersion", F.explode(F.array(*[F.lit(f) for f in factors])))
-    joined = every.join(moves, [*at, "scenario", *extra], "left")
+    joined = every.join(moves, [*at, "block_start", *extra], "left")
     return joined.select(
         *WINDOW_KEYS, "scenario", "offset", "valid_time", *extra,
         (F.col("_base") + F.coalesce("_move", F.lit(0.0))).alias("renewable_mw"),
     )
 
 
+#: Forecast and error rows of one group at most, by the mean size of a share of sites.
+GROUP_ROWS = 400_000
+
+
+def _moves(hours: DataFrame, blocks: DataFrame, store: DataFrame, n_hours: int, grid: list[float]) -> DataFrame:
+    """``(window keys, offset, block_start, dispersion, _move)``: what the errors of a block move the regional total by.
+
+    A window and its blocks start at one hour of day, so the forecast of an hour only ever meets errors of its own
+    hour of day. Forecast, errors and the wanted pairs of hours are dealt by region, hour of day and share of the sites, each
+    row once whatever the windows and scenarios; a group multiplies out its pairs over the sites it holds and sends one sum a pair.
+    """
+    pairs = blocks.select(*WINDOW_KEYS, "block_start").distinct().withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(n_hours - 1))))
+    pairs = pairs.select(*WINDOW_KEYS, "offset", "block_start", _plus_hours(F.col("window_start"), F.col("offset")).alias("_w"), _plus_hours(F.col("block_start"), F.col("offset")).alias("_b"))
+    known = store.where(F.col("residual").isNotNull() & F.col("site_id").isNotNull()).select("region", "valid_time", "site_id", "residual")
+    # An hour of several windows is one row here: its forecast is the same in all of them.
+    asked = hours.where(F.col("site_id").isNotNull()).select(*WINDOW_KEYS, "valid_time", "site_id", "p50_mw", "capacity_mw")
+    one = asked.groupBy("region", "valid_time").agg(F.min("window_start").alias("window_start"))
+    asked = asked.join(one, ["region", "valid_time", "window_start"])
+    unknown = F.col("p50_mw").isNull() | F.col("capacity_mw").isNull()
+    # A move from an unknown forecast or capacity ends at zero; without a capacity nothing is cut above.
+    ready = {"_p": F.when(unknown, F.lit(float("-inf"))).otherwise(F.col("p50_mw").cast("double")), "_c": F.coalesce(F.col("capacity_mw").cast("double"), F.lit(0.0)),
+             "_top": F.coalesce(F.col("capacity_mw").cast("double"), F.lit(float("inf"))),
+             "_still": F.least(F.greatest("p50_mw", F.lit(0.0)), F.col("capacity_mw")).cast("double")}
+    nothing = F.lit(None).cast("double")
+
+    def part(frame: DataFrame, kind: int, t: str, **columns: Column) -> DataFrame:
+        given = {"site_id": F.lit(None).cast("string"), **dict.fromkeys(("_p", "_c", "_top", "_still", "residual"), nothing),
+                 **dict.fromkeys(("window_start", "block_start", "_b"), F.lit(None).cast("timestamp")), "offset": F.lit(None).cast("int")} | columns
+        return frame.select("region", F.hour(t).alias("_hour"), F.lit(kind).alias("_kind"), F.col(t).alias("_t"), *[c.alias(n) for n, c in given.items()])
+
+    forecast = part(asked, 0, "valid_time", site_id=F.col("site_id").cast("string"), **ready)
+    errors = part(known, 1, "valid_time", site_id=F.col("site_id").cast("string"), residual=F.col("residual").cast("double"))
+    wanted = part(pairs, 2, "_w", window_start=F.col("window_start"), block_start=F.col("block_start"), _b=F.col("_b"), offset=F.col("offset"))
+    rows = known.groupBy("region", F.hour("valid_time")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    shares = -(-rows // GROUP_ROWS) or 1
+    dealt = forecast.unionByName(errors).withColumn("_share", F.pmod(F.xxhash64("site_id"), F.lit(shares)).cast("int"))
+    dealt = dealt.unionByName(wanted.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))))
+
+    def summed(table: pa.Table) -> pa.Table:
+        return _group_moves(table, grid)
+
+    out = "region string, window_start timestamp, offset int, block_start timestamp, dispersion double, _move double"
+    sums = dealt.groupBy("region", "_hour", "_share").applyInArrow(summed, out)
+    return sums.groupBy(*WINDOW_KEYS, "offset", "block_start", "dispersion").agg(F.sum("_move").alias("_move"))
+
+
+def _slots(table: pa.Table, hour: dict, site: dict, columns: list[str], empty: list[float]) -> list[list[np.ndarray]]:
+    """Matrices (hour, site) of the columns; rows that share hour and site go to further matrices."""
+    t, s = (np.array([of[x] for x in table[c].to_pylist()], np.int64) for c, of in (("_t", hour), ("site_id", site)))
+    cell = t * len(site) + s
+    order = np.argsort(cell, kind="stable")
+    cell = cell[order]
+    first = np.r_[True, cell[1:] != cell[:-1]] if len(cell) else np.zeros(0, bool)
+    turn = np.arange(len(cell)) - np.maximum.accumulate(np.where(first, np.arange(len(cell)), 0)) if len(cell) else cell
+    out = []
+    for k in range(int(turn.max()) + 1 if len(turn) else 0):
+        mine = turn == k
+        made = []
+        for c, e in zip(columns, empty):
+            m = np.full(len(hour) * len(site), e)
+            m[cell[mine]] = table[c].to_numpy()[order[mine]]
+            made.append(m.reshape(len(hour), len(site)))
+        has = np.zeros(len(hour) * len(site), bool)
+        has[cell[mine]] = True
+        out.append([*made, has.reshape(len(hour), len(site))])
+    return out
+
+
+def _group_moves(table: pa.Table, grid: list[float]) -> pa.Table:
+    """The moves of each wanted pair of hours, summed over the sites of one region, hour of day and share of sites."""
+    kind = table["_kind"].to_numpy()
+    forecast, errors, wanted = (table.filter(pa.array(kind == k)) for k in range(3))
+    sites = sorted(set(forecast["site_id"].to_pylist()) & set(errors["site_id"].to_pylist()))
+    site = {s: i for i, s in enumerate(sites)}
+    both = pa.array(sites, pa.string())
+    forecast, errors = (x.filter(pc.is_in(x["site_id"], value_set=both)) for x in (forecast, errors))
+    at = [{x: i for i, x in enumerate(sorted(set(x["_t"].to_pylist())))} for x in (forecast, errors)]
+    base = _slots(forecast, at[0], site, ["_p", "_c", "_top", "_still"], [0.0, 0.0, 0.0, 0.0])
+    moved = _slots(errors, at[1], site, ["residual"], [0.0])
+    w = np.array([at[0].get(x, -1) for x in wanted["_t"].to_pylist()], np.int64)
+    b = np.array([at[1].get(x, -1) for x in wanted["_b"].to_pylist()], np.int64)
+    total, met = np.zeros((len(w), len(grid))), np.zeros(len(w), bool)
+    order = np.lexsort((b, w))
+    order = order[(w[order] >= 0) & (b[order] >= 0)]
+    # Pairs of the same two hours are worked out once.
+    first = np.flatnonzero(np.r_[True, (w[order][1:] != w[order][:-1]) | (b[order][1:] != b[order][:-1])]) if len(order) else order
+    ends = np.r_[first[1:], len(order)]
+    for lo, hi in zip(first, ends):
+        i, j, mine = w[order[lo]], b[order[lo]], order[lo:hi]
+        for p, c, top, still, here in base:
+            for residual, there in moved:
+                on = here[i] & there[j]
+                if not on.any():
+                    continue
+                met[mine] = True
+                for k, d in enumerate(grid):
+                    mw = np.fmin(np.maximum(p[i] + d * residual[j] * c[i], 0.0), top[i])
+                    total[mine, k] += np.where(on, mw - still[i], 0.0).sum()
+    rows = np.flatnonzero(met)
+    keys = wanted.take(pa.array(np.repeat(rows, len(grid)))).select(["region", "window_start", "offset", "block_start"])
+    return keys.append_column("dispersion", pa.array(np.tile(np.array(grid, float), len(rows)))).append_column("_move", pa.array(total[rows].ravel()))
+
+
 def ensemble_quantiles(ensemble: DataFrame, keys: list[str], value: str = "renewable_mw") -> DataFrame:
     """Mean and p10/p50/p90 over scenarios; a group holds at most the number of scenarios."""
     q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
