@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from gridloom.operators import runs
 from gridloom.operators.joins import complete_hours
@@ -106,13 +107,88 @@ def site_mw(dispersion: float | Column = 1.0) -> Column:
     return F.least(F.greatest(moved, F.lit(0.0)), F.col("capacity_mw"))
 
 
-def site_scenarios(hours: DataFrame, blocks: DataFrame, store: DataFrame, n_hours: int, dispersion: float = 1.0) -> DataFrame:
-    """The full ensemble per site, for export and per-site checks; unknown sites carry p50."""
-    wanted = hours.select(*WINDOW_KEYS, "offset", "valid_time", "site_id", "p50_mw", "capacity_mw")
-    fan = wanted.join(blocks.select(*WINDOW_KEYS, "scenario"), WINDOW_KEYS)
-    errors = block_errors(blocks, store, n_hours)
-    joined = fan.join(errors, [*WINDOW_KEYS, "scenario", "offset", "site_id"], "left")
-    return joined.select(*WINDOW_KEYS, "scenario", "offset", "valid_time", "site_id", site_mw(dispersion).alias("mw"))
+def site_scenarios(
+    hours: DataFrame, blocks: DataFrame, store: DataFrame, n_hours: int, dispersion: float = 1.0, *, packed: bool = False
+) -> DataFrame:
+    """The full ensemble per site, for export and per-site checks; unknown sites carry p50.
+
+    Forecast hours and errors are dealt once by site, a site's forecast of a window with the picks of that window; no row of
+    a site and scenario is joined or shuffled. ``hours`` are as ``window_hours`` makes them. With ``packed`` a site hour is
+    one row, its scenarios and their ``mw`` two arrays.
+    """
+    kinds = dict(hours.dtypes) | dict(blocks.dtypes)
+    points = hours.groupBy(*WINDOW_KEYS, "site_id").agg(
+        F.collect_list(F.struct("offset", "valid_time", *[c.alias(n) for n, c in _move_terms().items()])).alias("_hours")
+    )
+    picks = blocks.groupBy(*WINDOW_KEYS).agg(F.collect_list(F.struct("scenario", "block_start")).alias("_picks"))
+    offsets = F.explode(F.sequence(F.lit(0), F.lit(n_hours - 1))).alias("offset")
+    needed = blocks.select("region", "block_start", offsets).select("region", _plus_hours(F.col("block_start"), F.col("offset")).alias("valid_time")).distinct()
+    known = store.where(F.col("residual").isNotNull() & F.col("site_id").isNotNull()).join(needed, ["region", "valid_time"], "left_semi")
+    known = known.select(F.col("region").alias("_region"), F.col("site_id").alias("_site"), "valid_time", F.col("residual").cast("double").alias("residual"))
+
+    def spread(asked: pa.Table, errors: pa.Table) -> pa.Table:
+        return _site_members(asked, errors, n_hours, dispersion)
+
+    out = ", ".join(f"{c} {kinds[c]}" for c in [*WINDOW_KEYS, "site_id", "offset", "valid_time"])
+    by_site = points.join(picks, WINDOW_KEYS).groupBy("region", "site_id").cogroup(known.groupBy("_region", "_site"))
+    made = by_site.applyInArrow(spread, f"{out}, scenario array<{kinds['scenario']}>, mw array<double>")
+    if packed:
+        return made
+    member = made.select(*WINDOW_KEYS, "offset", "valid_time", "site_id", F.explode(F.arrays_zip("scenario", "mw")).alias("_m"))
+    return member.select(*WINDOW_KEYS, "_m.scenario", "offset", "valid_time", "site_id", "_m.mw")
+
+
+def _move_terms() -> dict[str, Column]:
+    """Forecast, capacity and upper end of a move, without nulls, so that arithmetic gives what ``site_mw`` does.
+
+    A move from an unknown forecast or capacity ends at zero; without a capacity nothing is cut above.
+    """
+    unknown = F.col("p50_mw").isNull() | F.col("capacity_mw").isNull()
+    capacity = F.col("capacity_mw").cast("double")
+    return {"_p": F.when(unknown, F.lit(float("-inf"))).otherwise(F.col("p50_mw").cast("double")),
+            "_c": F.coalesce(capacity, F.lit(0.0)), "_top": F.coalesce(capacity, F.lit(float("inf")))}
+
+
+HOUR_MICROS = 3_600_000_000
+
+
+def _site_members(asked: pa.Table, errors: pa.Table, n_hours: int, dispersion: float) -> pa.Table:
+    """One site: for each of its windows and hours the scenarios and their mw; a repeated error gives a member each time."""
+    if not asked.num_rows:
+        point, pick = (asked.schema.field(c).type.value_type for c in ("_hours", "_picks"))
+        kinds = {c: point.field(c).type for c in ("offset", "valid_time")} | {"scenario": pa.list_(pick.field("scenario").type), "mw": pa.list_(pa.float64())}
+        none = asked.select([*WINDOW_KEYS, "site_id"])
+        for name, kind in kinds.items():
+            none = none.append_column(name, pa.array([], kind))
+        return none
+    t = errors["valid_time"].cast(pa.int64()).to_numpy()
+    order = np.argsort(t, kind="stable")
+    t, residual = t[order], np.r_[errors["residual"].to_numpy()[order], 0.0]
+    parts = []
+    for w in range(asked.num_rows):
+        points, picks = asked["_hours"][w].values, asked["_picks"][w].values
+        first = np.argsort(points.field("offset").to_numpy(), kind="stable")
+        offset, p, c, top = (points.field(n).to_numpy(zero_copy_only=False)[first] for n in ("offset", "_p", "_c", "_top"))
+        at = picks.field("block_start").cast(pa.int64()).to_numpy()[None, :] + offset.astype(np.int64)[:, None] * HOUR_MICROS
+        lo = np.searchsorted(t, at, "left")
+        found = np.where((offset >= 0) & (offset < n_hours), 1, 0)[:, None] * (np.searchsorted(t, at, "right") - lo)
+        times = np.maximum(found, 1)
+        cell = np.repeat(np.arange(times.size), times.ravel())
+        turn = np.arange(len(cell)) - np.repeat(np.cumsum(times.ravel()) - times.ravel(), times.ravel())
+        e = residual[np.where(found.ravel()[cell] > 0, lo.ravel()[cell] + turn, len(t))]
+        hour, pick = cell // at.shape[1], cell % at.shape[1]
+        mw = np.fmin(np.maximum(p[hour] + dispersion * e * c[hour], 0.0), top[hour])
+        # Rows of one hour are one row here.
+        heads = np.flatnonzero(np.r_[True, offset[1:] != offset[:-1]])
+        ends = pa.array(np.r_[np.concatenate(([0], np.cumsum(times.sum(axis=1))))[heads], len(cell)].astype(np.int32))
+        rows = points.take(pa.array(first[heads]))
+        same = asked.slice(w, 1).select([*WINDOW_KEYS, "site_id"]).take(pa.array(np.zeros(len(heads), np.int64)))
+        made = {"offset": rows.field("offset"), "valid_time": rows.field("valid_time"),
+                "scenario": pa.ListArray.from_arrays(ends, picks.field("scenario").take(pa.array(pick))), "mw": pa.ListArray.from_arrays(ends, pa.array(mw))}
+        for name, column in made.items():
+            same = same.append_column(name, column)
+        parts.append(same)
+    return pa.concat_tables(parts)
 
 
 def regional_scenarios(
@@ -160,11 +236,7 @@ def _moves(hours: DataFrame, blocks: DataFrame, store: DataFrame, n_hours: int,
     asked = hours.where(F.col("site_id").isNotNull()).select(*WINDOW_KEYS, "valid_time", "site_id", "p50_mw", "capacity_mw")
     one = asked.groupBy("region", "valid_time").agg(F.min("window_start").alias("window_start"))
     asked = asked.join(one, ["region", "valid_time", "window_start"])
-    unknown = F.col("p50_mw").isNull() | F.col("capacity_mw").isNull()
-    # A move from an unknown forecast or capacity ends at zero; without a capacity nothing is cut above.
-    ready = {"_p": F.when(unknown, F.lit(float("-inf"))).otherwise(F.col("p50_mw").cast("double")), "_c": F.coalesce(F.col("capacity_mw").cast("double"), F.lit(0.0)),
-             "_top": F.coalesce(F.col("capacity_mw").cast("double"), F.lit(float("inf"))),
-             "_still": F.least(F.greatest("p50_mw", F.lit(0.0)), F.col("capacity_mw")).cast("double")}
+    ready = _move_terms() | {"_still": F.least(F.greatest("p50_mw", F.lit(0.0)), F.col("capacity_mw")).cast("double")}
     nothing = F.lit(None).cast("double")
 
     def part(frame: DataFrame, kind: int, t: str, **columns: Column) -> DataFrame:
@@ -246,13 +318,28 @@ def _group_moves(table: pa.Table, grid: list[float]) -> pa.Table:
 
 
 def ensemble_quantiles(ensemble: DataFrame, keys: list[str], value: str = "renewable_mw") -> DataFrame:
-    """Mean and p10/p50/p90 over scenarios; a group holds at most the number of scenarios."""
+    """Mean and p10/p50/p90 over scenarios; a group holds at most the number of scenarios.
+
+    Where ``value`` is an array, a group is one row that holds its scenarios.
+    """
+    if isinstance(ensemble.schema[value].dataType, ArrayType):
+        mean = F.aggregate(value, F.lit(0.0), lambda a, x: a + x) / F.size(value)
+        ordered = ensemble.select(*keys, mean.alias("mean_mw"), F.sort_array(value).alias("_x"))
+        return ordered.select(*keys, "mean_mw", *[_percentile_of("_x", p).alias(n) for n, p in (("p10_mw", 0.1), ("p50_mw", 0.5), ("p90_mw", 0.9))])
     q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     return ensemble.groupBy(*keys).agg(
         F.avg(value).alias("mean_mw"), q[0].alias("p10_mw"), q[1].alias("p50_mw"), q[2].alias("p90_mw")
     )
 
 
+def _percentile_of(ordered: str, p: float) -> Column:
+    """What ``percentile`` gives over the elements of an ordered array."""
+    place = (F.size(ordered) - 1) * F.lit(p)
+    low, high = F.floor(place), F.ceil(place)
+    a, b = F.get(ordered, low.cast("int")), F.get(ordered, high.cast("int"))
+    return F.when(a == b, a).otherwise((high - place) * a + (place - low) * b)
+
+
 def naive_quantile_sum(hours: DataFrame, keys: list[str]) -> DataFrame:
     """Sum of per-site quantiles, kept for comparison: it assumes all sites err together."""
     return hours.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("p10_mw", "p50_mw", "p90_mw")])

@@ -163,7 +163,7 @@ def _(t):
     _, blocks, _ = _latest(t)
     banded = t.stored("residuals").withColumns({"p10_mw": F.col("p50_mw") * 0.6, "p90_mw": F.col("p50_mw") * 1.4})
     hours = scenarios.window_hours(scenarios.latest_window(t.stored("residuals"), HOURS), banded, HOURS)
-    return scenarios.site_coverage(hours, scenarios.site_scenarios(hours, blocks, t.stored("residuals"), HOURS))
+    return scenarios.site_coverage(hours, scenarios.site_scenarios(hours, blocks, t.stored("residuals"), HOURS, packed=True))
 
 
 @query("demand_scenarios", "D12", "region offset:i scenario:i demand_mw:f", f"""
