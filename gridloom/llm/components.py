@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.session import materialise
+from gridloom.session import discard, materialise
 
 
 def _linked_to_least(edges: DataFrame, larger: bool) -> DataFrame:
@@ -32,8 +32,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     stars, sign = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct())
     while sign[0]:
-        before = sign
+        before, read = sign, stars
         stars, sign = written(_linked_to_least(_linked_to_least(stars, True).where("u <> v"), False))
+        discard(read)
         if sign == before:
             break
     roots = stars.select(F.col("u").alias("node"), F.col("v").alias("root"))

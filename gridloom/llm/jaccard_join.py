@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import bits_of, free_name, in_filter, map_rows
 from gridloom.llm.components import components
 from gridloom.llm.word_hashes import word_hashes
-from gridloom.session import materialise
+from gridloom.session import discard, materialise
 
 #: Buckets of shingle counts sent to every task: 1 MB, whatever the input.
 BUCKETS = 1 << 18
@@ -144,19 +144,23 @@ def posting_lists(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     members = materialise(rows.where("n > 0").join(many, "grp").groupBy("node", F.col("set").alias("member")).agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch")
     ))
+    discard(many)
     entries = groups.select("node", "n", "multi", F.posexplode("prefix").alias("pos", "token"))
     shared = entries.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    entries = materialise(entries.join(shared, "token", "left_semi"))
-    entries = materialise(entries.alias("x").join(entries.alias("y"), sizes_and_places("x", "y", percent), "left_semi"))
-    drawn = entries.select("node").distinct().join(groups.select("node", "sketch"), "node")
-    entries = entries.join(drawn, "node")
+    common = materialise(entries.join(shared, "token", "left_semi"))
+    held = materialise(common.alias("x").join(common.alias("y"), sizes_and_places("x", "y", percent), "left_semi"))
+    discard(common)
+    drawn = held.select("node").distinct().join(groups.select("node", "sketch"), "node")
+    entries = held.join(drawn, "node")
     inside = members.select(
         F.xxhash64("node").alias("token"), F.col("member").alias("node"), "n", F.lit(0).alias("pos"), F.lit(False).alias("multi"), "sketch"
     )
     columns = ("token", "node", "n", "pos", "multi", "sketch")
-    lists = materialise(entries.select(*columns).unionByName(inside.select(*columns)))
-    lists = lists.alias("x").join(lists.alias("y"), can_reach("x", "y", percent), "left_semi")
-    return materialise(lists), members.select("node", "member")
+    drawn = materialise(entries.select(*columns).unionByName(inside.select(*columns)))
+    lists = materialise(drawn.alias("x").join(drawn.alias("y"), can_reach("x", "y", percent), "left_semi"))
+    for read in (groups, held, drawn):
+        discard(read)
+    return lists, members
 
 
 def sets_of(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> DataFrame:
@@ -182,7 +186,7 @@ def spark_hash(value: bytes) -> int:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold; only the sets of the pairs are dealt out."""
+    """The pairs (a, b) whose whole sets reach the threshold, as a written table; only the sets of the pairs are dealt out."""
     pairs = materialise(pairs)
     named = materialise(pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct())
     sets = sets.join(named, "set", "left_semi")
@@ -195,7 +199,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return a, b, 100 * both >= percent * (len(sa) + len(sb) - both)
 
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return map_rows(rows, check, "a binary, b binary, linked boolean").where("linked").select("a", "b")
+    linked = materialise(map_rows(rows, check, "a binary, b binary, linked boolean").where("linked").select("a", "b"))
+    discard(pairs)
+    discard(named)
+    return linked
 
 
 def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -208,10 +215,12 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
 def set_components(docs: DataFrame, rows: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     """(node, root) of every set that is linked to another."""
-    lists, members = posting_lists(rows, percent)
+    lists, grouped = posting_lists(rows, percent)
+    members = grouped.select("node", "member")
     wanted = lists.select("node").distinct().join(members, "node", "left").select(F.explode(F.array("node", "member")).alias("set"))
     wanted = materialise(wanted.where("set IS NOT NULL").distinct())
     sets = materialise(sets_of(docs, text, wanted, size))
+    discard(wanted)
 
     hubs = lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "multi", "sketch"), F.struct("pos", "n", "node")).alias("h"))
     hubs = hubs.select("token", "h.*")
@@ -219,37 +228,46 @@ def set_components(docs: DataFrame, rows: DataFrame, text: str, size: int, perce
     first = x.join(y, can_reach("x", "y", percent)).select(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
     ).distinct()
-    links = materialise(verified(first, sets, percent))
+    links = verified(first, sets, percent)
     labels = components(links)
 
     part = F.when(~F.col("multi"), F.coalesce("root", "node"))
-    lists = materialise(lists.join(labels, "node", "left").withColumn("part", part).drop("root"))
-    per_part = lists.groupBy("token", "part").agg(F.count("*").alias("n"))
+    named = materialise(lists.join(labels, "node", "left").withColumn("part", part).drop("root"))
+    discard(lists)
+    per_part = named.groupBy("token", "part").agg(F.count("*").alias("n"))
     largest = per_part.groupBy("token").agg(
         F.max_by("part", F.when(F.col("part").isNotNull(), F.col("n"))).alias("largest"), F.count("*").alias("parts"), F.max(F.col("part").isNull()).alias("mixed")
     ).where("parts > 1 OR mixed").select("token", "largest")
-    lists = lists.join(largest, "token").withColumn("outside", F.coalesce(F.col("part") != F.col("largest"), F.lit(True)))
-    lists = materialise(lists)
+    lists = materialise(named.join(largest, "token").withColumn("outside", F.coalesce(F.col("part") != F.col("largest"), F.lit(True))))
+    discard(named)
     x, y = lists.where("outside").alias("x"), lists.alias("y")
     apart = F.coalesce(F.col("x.part") != F.col("y.part"), F.lit(True))
     once = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))
     second = x.join(y, once & apart & can_reach("x", "y", percent)).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b")
     ).distinct()
-    more = materialise(verified(expanded(second, members), sets, percent))
-    return components(links.unionByName(more))
+    more = verified(expanded(second, members), sets, percent)
+    found = components(links.unionByName(more))
+    for read in (lists, grouped, sets, links, more):
+        discard(read)
+    return found
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text", *, spent: list[DataFrame] | None = None
 ) -> DataFrame:
-    """Key, n_shingles and component_id (least key of the texts reachable by links of ``percent`` or more)."""
+    """Key, n_shingles and component_id (least key of the texts reachable by links of ``percent`` or more).
+
+    The written tables that the result reads are added to ``spent``, for a caller that is done with it to discard.
+    """
     rows = materialise(profiles(docs, key, text, size, percent))
     roots = set_components(docs, rows.select("set", "n", "grp", "prefix", "sketch"), text, size, percent)
     full = rows.where("n > 0").select(key, "n", "set").join(roots.withColumnRenamed("node", "set"), "set", "left")
     full = full.select(key, "n", F.coalesce("root", "set").alias("part"))
     # A table of its own, so that the join below can split a component with very many texts.
     least = materialise(full.groupBy("part").agg(F.min(key).alias("component_id")))
+    if spent is not None:
+        spent += [rows, least]
     full = full.join(least, "part").select(key, F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("n = 0").select(key, F.col("n").alias("n_shingles"), F.col(key).alias("component_id"))
     return full.unionByName(alone)
@@ -266,10 +284,13 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80, ident: str =
         F.xxhash64(text).cast("string"), F.xxhash64(text, F.lit(1)).cast("string"),
     )
     rows = docs.withColumn(key, name)
-    found = near_duplicates(rows.select(key, text), size, percent, key, text).groupBy(key).agg(
+    spent: list[DataFrame] = []
+    found = near_duplicates(rows.select(key, text), size, percent, key, text, spent=spent).groupBy(key).agg(
         F.min("component_id").alias("component_id"), F.count("*").alias("rows")
     )
     found = materialise(found.where((F.col(key) != F.col("component_id")) | (F.col("rows") > 1)))
+    for read in spent:
+        discard(read)
     kept = rows.join(found.where(F.col(key) != F.col("component_id")).select(key), key, "left_anti")
     again = materialise(found.where(F.col(key) == F.col("component_id")).select(key))
     if again.take(1):

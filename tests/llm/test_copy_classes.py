@@ -40,3 +40,18 @@ def test_classes_equal_plain_components(spark):
     found = {r["whole"]: r["class"] for r in copy_classes(materialise(frame), 80).collect()}
     assert {i: found.get(i, i) for i in expected} == expected
     assert copy_classes(materialise(frame.limit(0)), 80).count() == 0
+
+
+def test_near_duplicates_keep_no_table_that_nothing_reads(spark):
+    from gridloom import session
+    from gridloom.llm.jaccard_join import one_of_each
+
+    words = [" ".join(f"w{d}x{i}" for i in range(40)) for d in range(6)]
+    texts = [*words, *(w + " end" for w in words), words[0], None, "two words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = set(session._WRITTEN)
+    kept = one_of_each(docs)
+    # Profiles, lists, sets, links and stars are gone before the result is written; what is left names removed rows.
+    left = [spark.read.parquet(p).count() for p in session._WRITTEN if p not in before]
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 3, 4, 5, 13, 14]
+    assert len(left) <= 4 and max(left) <= 13
