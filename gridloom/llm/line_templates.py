@@ -22,11 +22,12 @@ by 64-bit hashes.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from hashlib import blake2b
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from gridloom.llm.common import bits_of, flat_map_rows, free_name, in_filter, map_rows
 from gridloom.llm.copy_classes import SIGNATURE, copy_classes, signature
@@ -44,17 +45,18 @@ FIELD = "<*>"
 #: Dropped lines that every worker holds at most, as 64-bit hashes.
 IN_MEMORY = 1_000_000
 DIGITS = frozenset("0123456789")
+ANY_DIGIT = re.compile("[0-9]").search
 
 
 def number(*parts: str) -> int:
-    data = "\x00".join(parts).encode("utf-8", "surrogatepass")
-    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+    hashed = xxh3_64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"))
+    return hashed if hashed < 1 << 63 else hashed - (1 << 64)
 
 
 def masked(line: str) -> list[str]:
     """Tokens of a line, those with a digit as a variable field."""
     tokens = line.split()
-    return tokens if DIGITS.isdisjoint(line) else [t if DIGITS.isdisjoint(t) else FIELD for t in tokens]
+    return [t if DIGITS.isdisjoint(t) else FIELD for t in tokens] if ANY_DIGIT(line) else tokens
 
 
 def leaf_of(tokens: list[str]) -> int:
@@ -104,7 +106,7 @@ def line_templates(lines: DataFrame) -> DataFrame:
 
 def classes_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     """(whole, class) of the wanted texts that have near copies among them."""
-    known = bits_of(wanted, "whole")
+    known = bits_of(wanted, "whole").tobytes()
 
     def signed(row: tuple) -> Iterator[tuple]:
         if in_filter(known, whole := number(row[0] or "")):
@@ -141,7 +143,7 @@ def recurring_templates(docs: DataFrame, text: str, found: DataFrame, templates:
 def dropped_lines(docs: DataFrame, text: str) -> DataFrame:
     """(line): hashes of the masked lines whose template recurs."""
     leaves = recurring_leaves(docs, text)
-    known = bits_of(leaves, "leaf")
+    known = bits_of(leaves, "leaf").tobytes()
 
     def lines_of(row: tuple) -> Iterator[tuple]:
         whole, seen = number(row[0] or ""), set()
@@ -189,7 +191,7 @@ def clean_lines(docs: DataFrame, text: str = "text", in_memory: int = IN_MEMORY)
         return map_rows(docs, lambda row: (*row, *without(row[at], dropped)), schema), new, n_lines, n_dropped
     row_id, found = free_name(docs, "_row"), free_name(docs, "_found")
     rows = materialise(docs.withColumn(row_id, F.monotonically_increasing_id()))
-    bits = bits_of(lines, "line")
+    bits = bits_of(lines, "line").tobytes()
 
     def candidates(row: tuple) -> Iterator[tuple]:
         for line in (row[1] or "").split("\n"):
