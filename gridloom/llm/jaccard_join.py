@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import bits_of, free_name, in_filter, map_rows
+from gridloom.llm.common import bits_of, free_name, in_filter, map_rows, small_batches
 from gridloom.llm.components import components
 from gridloom.llm.word_hashes import word_hashes
 from gridloom.session import discard, materialise
@@ -78,6 +78,7 @@ def bucket_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
 
+    small_batches(docs.sparkSession)
     counts = docs.select(text).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[counts["bucket"].to_numpy()] = counts["n"].to_numpy()
@@ -119,8 +120,8 @@ def sizes_and_places(x: str, y: str, percent: int) -> Column:
     return (c(x, "token") == c(y, "token")) & (c(x, "node") != c(y, "node")) & sizes & (rest >= need)
 
 
-def can_reach(x: str, y: str, percent: int) -> Column:
-    """The same, and by the parity sketches; a node that stands for a group has none."""
+def sketches_alike(x: str, y: str, percent: int) -> Column:
+    """Whether two sets can reach the threshold by their parity sketches."""
     c = lambda s, n: F.col(f"{s}.{n}")
     both = c(x, "n") + c(y, "n")
     most = both - 2 * F.ceil(percent * both / (100 + percent))
@@ -128,39 +129,54 @@ def can_reach(x: str, y: str, percent: int) -> Column:
         F.zip_with(c(x, "sketch"), c(y, "sketch"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, n: acc + n
     )
     unlike = F.size(c(x, "sketch")) != F.size(c(y, "sketch"))
-    return sizes_and_places(x, y, percent) & (c(x, "multi") | c(y, "multi") | unlike | (differing <= most))
+    return unlike | (differing <= most)
+
 
+def can_reach(x: str, y: str, percent: int) -> Column:
+    """The same, and by the parity sketches; a node that stands for a group has none."""
+    return sizes_and_places(x, y, percent) & (F.col(f"{x}.multi") | F.col(f"{y}.multi") | sketches_alike(x, y, percent))
 
-def posting_lists(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Lists (token, node, n, pos, multi, sketch) of members that can reach another one, and members (node, member) of groups.
 
-    Members are first held against their lists without the sketch, so that only few rows carry one.
-    """
-    groups = materialise(rows.where("n > 0").groupBy("grp").agg(
+def grouped(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups (grp, node, multi, n, prefix, sketch), and members (node, member, n, sketch) of those of several sets."""
+    rows = rows.where("n > 0")
+    groups = materialise(rows.groupBy("grp").agg(
         F.min("set").alias("node"), (F.min("set") != F.max("set")).alias("multi"), F.first("n").alias("n"),
         F.first("prefix").alias("prefix"), F.min_by("sketch", "set").alias("sketch"),
     ))
     many = materialise(groups.where("multi").select("grp", "node"))  # few, and known to be few
-    members = materialise(rows.where("n > 0").join(many, "grp").groupBy("node", F.col("set").alias("member")).agg(
+    members = materialise(rows.join(many, "grp").groupBy("node", F.col("set").alias("member")).agg(
         F.first("n").alias("n"), F.first("sketch").alias("sketch")
     ))
     discard(many)
+    return groups, members
+
+
+def posting_lists(groups: DataFrame, members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Lists (token, node, n, pos, multi) of members that can reach another one, and marks (node, n, sketch) of their sets.
+
+    Members are first held against their lists without the sketch, so that only few rows carry one; each step is a
+    table of its own, so that the files it deals out are gone before the next one.
+    """
     entries = groups.select("node", "n", "multi", F.posexplode("prefix").alias("pos", "token"))
-    shared = entries.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+    shared = materialise(entries.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token"))
     common = materialise(entries.join(shared, "token", "left_semi"))
+    discard(shared)
     held = materialise(common.alias("x").join(common.alias("y"), sizes_and_places("x", "y", percent), "left_semi"))
     discard(common)
-    drawn = held.select("node").distinct().join(groups.select("node", "sketch"), "node")
-    entries = held.join(drawn, "node")
+    own = held.where(~F.col("multi")).select("node").distinct().join(groups.select("node", "n", "sketch"), "node")
+    marks = materialise(own.unionByName(members.select(F.col("member").alias("node"), "n", "sketch")))
+    discard(groups)
+    entries = held.join(marks.select("node", "sketch"), "node")
     inside = members.select(
         F.xxhash64("node").alias("token"), F.col("member").alias("node"), "n", F.lit(0).alias("pos"), F.lit(False).alias("multi"), "sketch"
     )
     columns = ("token", "node", "n", "pos", "multi", "sketch")
     drawn = materialise(entries.select(*columns).unionByName(inside.select(*columns)))
-    lists = materialise(drawn.alias("x").join(drawn.alias("y"), can_reach("x", "y", percent), "left_semi"))
-    for read in (groups, held, drawn):
-        discard(read)
-    return lists, members
+    discard(held)
+    lists = materialise(drawn.alias("x").join(drawn.alias("y"), can_reach("x", "y", percent), "left_semi").drop("sketch"))
+    discard(drawn)
+    return lists, marks
 
 
 def sets_of(docs: DataFrame, text: str, wanted: DataFrame, size: int) -> DataFrame:
@@ -213,22 +229,26 @@ def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def set_components(docs: DataFrame, rows: DataFrame, text: str, size: int, percent: int) -> DataFrame:
-    """(node, root) of every set that is linked to another."""
-    lists, grouped = posting_lists(rows, percent)
-    members = grouped.select("node", "member")
+def set_components(docs: DataFrame, groups: DataFrame, members: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """(node, root) of every set that is linked to another; ``groups`` and ``members`` are deleted."""
+    lists, marks = posting_lists(groups, members, percent)
+    whole, members = members, members.select("node", "member")
     wanted = lists.select("node").distinct().join(members, "node", "left").select(F.explode(F.array("node", "member")).alias("set"))
     wanted = materialise(wanted.where("set IS NOT NULL").distinct())
     sets = materialise(sets_of(docs, text, wanted, size))
     discard(wanted)
 
-    hubs = lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "multi", "sketch"), F.struct("pos", "n", "node")).alias("h"))
+    hubs = lists.groupBy("token").agg(F.min_by(F.struct("node", "n", "pos", "multi"), F.struct("pos", "n", "node")).alias("h"))
     hubs = hubs.select("token", "h.*")
     x, y = lists.alias("x"), hubs.alias("y")
-    first = x.join(y, can_reach("x", "y", percent)).select(
+    met = x.join(y, sizes_and_places("x", "y", percent)).groupBy(
         F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")
-    ).distinct()
-    links = verified(first, sets, percent)
+    ).agg(F.max(F.col("x.multi") | F.col("y.multi")).alias("multi"))
+    # A pair has many tokens in common; sketches are only held against each other once.
+    met = materialise(met)
+    first = met.join(marks.alias("x"), F.col("a") == F.col("x.node")).join(marks.alias("y"), F.col("b") == F.col("y.node"))
+    links = verified(first.where(F.col("multi") | sketches_alike("x", "y", percent)).select("a", "b"), sets, percent)
+    discard(met)
     labels = components(links)
 
     part = F.when(~F.col("multi"), F.coalesce("root", "node"))
@@ -240,6 +260,8 @@ def set_components(docs: DataFrame, rows: DataFrame, text: str, size: int, perce
     ).where("parts > 1 OR mixed").select("token", "largest")
     lists = materialise(named.join(largest, "token").withColumn("outside", F.coalesce(F.col("part") != F.col("largest"), F.lit(True))))
     discard(named)
+    read, lists = lists, materialise(lists.join(marks.select("node", "sketch"), "node"))
+    discard(read)
     x, y = lists.where("outside").alias("x"), lists.alias("y")
     apart = F.coalesce(F.col("x.part") != F.col("y.part"), F.lit(True))
     once = ~F.col("y.outside") | (F.col("x.node") < F.col("y.node"))
@@ -248,7 +270,7 @@ def set_components(docs: DataFrame, rows: DataFrame, text: str, size: int, perce
     ).distinct()
     more = verified(expanded(second, members), sets, percent)
     found = components(links.unionByName(more))
-    for read in (lists, grouped, sets, links, more):
+    for read in (lists, whole, marks, sets, links, more):
         discard(read)
     return found
 
@@ -260,8 +282,11 @@ def near_duplicates(
 
     The written tables that the result reads are added to ``spent``, for a caller that is done with it to discard.
     """
-    rows = materialise(profiles(docs, key, text, size, percent))
-    roots = set_components(docs, rows.select("set", "n", "grp", "prefix", "sketch"), text, size, percent)
+    whole = materialise(profiles(docs, key, text, size, percent))
+    groups, members = grouped(whole)
+    rows = materialise(whole.select(key, "n", "set"))
+    discard(whole)
+    roots = set_components(docs, groups, members, text, size, percent)
     full = rows.where("n > 0").select(key, "n", "set").join(roots.withColumnRenamed("node", "set"), "set", "left")
     full = full.select(key, "n", F.coalesce("root", "set").alias("part"))
     # A table of its own, so that the join below can split a component with very many texts.
